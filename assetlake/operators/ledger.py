@@ -165,11 +165,12 @@ def lineage(jobs: DataFrame) -> DataFrame:
     Pointers are doubled each round, so a chain of length n takes log2(n) rounds. A job still pointing
     somewhere when no chain can be that long is in a cycle and is returned with a null root.
     """
-    ids = jobs.select("run", F.col("id").alias("_known"))
-    step = (
-        jobs.select("run", "id", "retry_of")
-        .join(ids, (ids["run"] == jobs["run"]) & (ids["_known"] == F.col("retry_of")), "left")
-        .select(jobs["run"], "id", F.col("_known").alias("up"), F.when(F.col("_known").isNull(), 0).otherwise(1).cast("long").alias("hops"))
+    known = jobs.select("run", F.col("id").alias("retry_of"), F.lit(True).alias("_known"))
+    linked = jobs.select("run", "id", "retry_of").join(known, ["run", "retry_of"], "left")
+    step = linked.select(
+        "run", "id",
+        F.when(F.col("_known"), F.col("retry_of")).alias("up"),
+        F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("hops"),
     )
     # (id, up, hops): ``up`` is the ancestor ``hops`` steps above; roots point at themselves with 0.
     state = materialize(step.withColumn("up", F.coalesce("up", "id")), "lineage")

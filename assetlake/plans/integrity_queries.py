@@ -175,7 +175,7 @@ _MARKED = """marked AS (SELECT f.* REPLACE (CASE doc_id % 40 WHEN 1 THEN 'cri_ac
 
 @query(
     "output_rules",
-    f"""WITH {_MARKED}, j AS (SELECT m.*, output_directory || '/' || path AS k, t.acb_preserve, t.usm_preserve, t.raw_mode FROM marked m JOIN totals t ON t.run = m.run WHERE NOT failed) """
+    f"""WITH {_MARKED}, j AS (SELECT m.*, output_directory || '/' || path AS k, t.acb_preserve, t.usm_preserve, t.raw_mode FROM marked m JOIN totals t ON t.run = m.run WHERE NOT m.failed) """
     + rules("k", {"output_path": "path <> 'x//y'", "output_digest": "regexp_full_match(sha256, '[0-9a-f]{64}')",
                   "container_kind": "NOT ((kind = 'cri_acb_container' AND NOT acb_preserve) OR (kind = 'cri_usm_container' AND NOT usm_preserve))",
                   "raw_allowed": "kind <> 'raw_bundle' OR raw_mode IS NOT NULL",
@@ -527,11 +527,8 @@ def dependencies(b: Bound):
     """Each file depends on the files at half and a third of its number."""
     r = b.receipts.select("run", "relative_path", "id")
     need = r.select("run", F.col("relative_path").alias("owner"), "id", F.explode(F.array(F.expr("id div 6 * 3 + id % 3"), F.expr("id div 9 * 3 + id % 3"))).alias("need"))
-    on = [need["run"] == r["run"], need["need"] == r["id"]]
-    return (
-        need.join(r, on).where(F.col("owner") != F.col("relative_path"))
-        .select(need["run"], "owner", F.col("relative_path").alias("dependency")).distinct()
-    )
+    found = r.select("run", F.col("id").alias("need"), F.col("relative_path").alias("dependency"))
+    return need.join(found, ["run", "need"]).where("owner <> dependency").select("run", "owner", "dependency").distinct()
 
 
 _DEPS = """deps AS (SELECT DISTINCT o.run, o.relative_path AS owner, r.relative_path AS dependency FROM
