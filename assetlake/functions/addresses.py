@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _MAPPED = "0" * 20 + "ffff"
@@ -15,7 +17,7 @@ _MAPPED = "0" * 20 + "ffff"
 
 def _v4_hex(c: Column) -> Column:
     return F.array_join(
-        F.transform(F.split(c, r"\."), lambda o: F.lpad(F.lower(F.hex(F.try_to_number(o, F.lit("999")).cast("int"))), 2, "0")),
+        F.transform(F.split(c, r"\."), lambda o: F.lpad(F.lower(F.conv(o, 10, 16)), 2, "0")),
         "",
     )
 
@@ -28,67 +30,74 @@ def _padded(groups: Column) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(g), 4, "0")), "")
 
 
-def ip_hex(c: Column) -> Column:
-    """32 hex digits, or null when the text is not an address. IPv4 and mapped IPv6 give the same value."""
-    tail = F.regexp_extract(c, rf":({_V4})\z", 1)
-    tail_hex = _v4_hex(tail)
-    six = F.when(
-        tail != "",
-        F.concat(
-            F.substring(c, F.lit(1), F.length(c) - F.length(tail)),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(c)
-    group = r"[0-9A-Fa-f]{1,4}"
-    full = six.rlike(rf"\A{group}(?::{group}){{7}}\z")
-    short = six.rlike(rf"\A(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?\z")
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_FULL = rf"\A{_GROUP}(?::{_GROUP}){{7}}\z"
+_SHORT = rf"\A(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?\z"
+
+
+def _six_hex(six: Column) -> Column:
+    """IPv6 text without an embedded IPv4 part."""
     left = _groups(F.substring_index(six, "::", 1))
     right = _groups(F.substring_index(six, "::", -1))
-    used = F.size(left) + F.size(right)
-    return (
-        F.when(c.rlike(rf"\A{_V4}\z"), F.concat(F.lit(_MAPPED), _v4_hex(c)))
-        .when(full, _padded(_groups(six)))
-        .when(
-            short & (used <= 7),
-            F.concat(_padded(left), F.repeat(F.lit("0000"), (8 - used).cast("int")), _padded(right)),
+
+    def filled(sides: Column) -> Column:
+        gap = 8 - F.size(sides["a"]) - F.size(sides["b"])
+        return F.when(
+            gap >= 1, F.concat(_padded(sides["a"]), F.repeat(F.lit("0000"), gap.cast("int")), _padded(sides["b"]))
         )
+
+    return F.when(six.rlike(_FULL), _padded(_groups(six))).when(
+        six.rlike(_SHORT), let(F.struct(left.alias("a"), right.alias("b")), filled)
+    )
+
+
+def _mixed_hex(text: Column) -> Column:
+    """IPv6 text whose last two groups may be written as an IPv4 address."""
+    tail = F.regexp_extract(text, rf":({_V4})\z", 1)
+
+    def joined(t: Column) -> Column:
+        h = _v4_hex(t)
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(t))
+        return F.when(
+            t != "", F.concat(head, F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4))
+        ).otherwise(text)
+
+    return let(let(tail, joined), _six_hex)
+
+
+def ip_hex(c: Column) -> Column:
+    """32 hex digits, or null when the text is not an address. IPv4 and mapped IPv6 give the same value."""
+    return let(
+        c, lambda x: F.when(x.rlike(rf"\A{_V4}\z"), F.concat(F.lit(_MAPPED), _v4_hex(x))).otherwise(_mixed_hex(x))
     )
 
 
+def _v4_text(h: Column) -> Column:
+    return F.concat_ws(".", *[F.conv(F.substring(h, 25 + 2 * i, 2), 16, 10) for i in range(4)])
+
+
+def _six_text(h: Column) -> Column:
+    groups = [F.regexp_replace(F.substring(h, 1 + 4 * i, 4), r"\A0{1,3}", "") for i in range(8)]
+    joined = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+
+    def shortened(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):
+            run = ":0" * n + ":"
+            pos = F.instr(text, run)
+            out = F.when(
+                pos > 0,
+                F.concat(F.substring(text, F.lit(1), pos - 1), F.lit("::"), F.substring(text, pos + len(run), F.lit(64))),
+            ).otherwise(out)
+        # Drop the helper colons at both ends, keeping a real "::".
+        return F.regexp_replace(out, r"\A:(?!:)|(?<!:):\z", "")
+
+    return let(joined, shortened)
+
+
 def ip_text(h: Column) -> Column:
     """Canonical text of a 32-digit address: dotted for IPv4, shortest form for IPv6."""
-    v4 = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(3)),
-            lambda i: F.conv(F.substring(h, 25 + 2 * i, F.lit(2)), 16, 10),
-        ),
-        ".",
-    )
-    joined = F.concat(
-        F.lit(":"),
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(7)),
-                lambda i: F.regexp_replace(F.substring(h, 1 + 4 * i, F.lit(4)), r"\A0{1,3}", ""),
-            ),
-            ":",
-        ),
-        F.lit(":"),
-    )
-    out = joined
-    for n in range(2, 9):
-        run = ":0" * n + ":"
-        pos = F.instr(joined, run)
-        out = F.when(
-            pos > 0,
-            F.concat(
-                F.substring(joined, F.lit(1), pos - 1), F.lit("::"),
-                F.substring(joined, pos + len(run), F.lit(64)),
-            ),
-        ).otherwise(out)
-    # Drop the helper colons at both ends, keeping a real "::".
-    out = F.regexp_replace(F.regexp_replace(out, r"\A:(?!:)", ""), r"(?<!:):\z", "")
-    return F.when(h.startswith(_MAPPED), v4).otherwise(out)
+    return let(h, lambda x: F.when(x.startswith(_MAPPED), _v4_text(x)).otherwise(_six_text(x)))
 
 
 def in_networks(h: Column, networks: Sequence[str]) -> Column:

@@ -14,9 +14,9 @@ def catalog_hash(c: Column) -> Column:
 
 def latency_text(ms: Column) -> Column:
     """Two decimals; seconds from one second upward."""
-    seconds = F.concat(F.format_number(ms / 1000.0, "0.00"), F.lit("s"))  # type: ignore[arg-type]
+    seconds = F.concat(F.call_function("format_number", ms / 1000.0, F.lit("0.00")), F.lit("s"))
     return F.when(ms >= 1000.0, seconds).otherwise(
-        F.concat(F.format_number(ms, "0.00"), F.lit("ms"))  # type: ignore[arg-type]
+        F.concat(F.call_function("format_number", ms, F.lit("0.00")), F.lit("ms"))
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
 from assetlake.functions import escape_line, ip_hex, ip_text, in_networks, latency_text
 from assetlake.operators.windows import previous
 
@@ -39,22 +40,21 @@ def parse_access(lines: DataFrame, form: str = "json") -> tuple[DataFrame, DataF
         parsed = lines.withColumn("r", F.when(F.try_parse_json("value").isNotNull(), rec))
         parsed = parsed.withColumn("r", F.when(F.col("r.request_id").isNotNull() & F.col("r.timestamp").isNotNull(), F.col("r")))
     elif form == "text":
-        line = F.col("value")
+        marked = F.regexp_replace("value", _TEXT_LINE, "\x00".join(f"${i}" for i in range(1, 11)))
+        fields = F.when(F.col("value").rlike(_TEXT_LINE), F.split(marked, "\x00"))
+        parsed = lines.withColumn("f", fields)
+        part = [F.get("f", F.lit(i)) for i in range(10)]
 
-        def part(i: int) -> Column:
-            return F.regexp_extract(line, _TEXT_LINE, i)
+        def dash(c: Column) -> Column:
+            return F.when(c != "-", c)
 
-        def dash(i: int) -> Column:
-            return F.when(part(i) != "-", part(i))
-
-        unescape = F.replace(F.replace(part(6), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+        route = F.replace(F.replace(part[5], F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
         rec = F.struct(
-            part(1).alias("timestamp"), part(2).alias("request_id"), part(5).alias("method"), unescape.alias("route"),
-            dash(3).alias("peer_ip"), dash(4).alias("client_ip"), dash(7).cast("int").alias("status"),
-            part(8).alias("outcome"), part(9).cast("long").alias("duration_ms"),
-            part(10).cast("long").alias("queue_dropped_records"),
+            part[0].alias("timestamp"), part[1].alias("request_id"), part[4].alias("method"), route.alias("route"),
+            dash(part[2]).alias("peer_ip"), dash(part[3]).alias("client_ip"), dash(part[6]).cast("int").alias("status"),
+            part[7].alias("outcome"), part[8].cast("long").alias("duration_ms"), part[9].cast("long").alias("queue_dropped_records"),
         )
-        parsed = lines.withColumn("r", F.when(line.rlike(_TEXT_LINE), rec))
+        parsed = parsed.withColumn("r", F.when(F.col("f").isNotNull(), rec))
     else:
         raise ValueError(f"unknown log form {form!r}")
     good = parsed.where(F.col("r").isNotNull()).select("run", "r.*").withColumn(
@@ -69,17 +69,19 @@ def client_address(peer: Column, forwarded: Column, trusted: Sequence[str]) -> C
     The result is the first hop that is not trusted, else the last one. A malformed or oversized list,
     or an untrusted peer, leaves the peer.
     """
-    peer_hex = ip_hex(peer)
     hops = F.transform(F.split(forwarded, ","), lambda p: ip_hex(F.regexp_replace(p, r"(?U)\A\s+|\s+\z", "")))
-    usable = (
-        (F.octet_length(forwarded) <= MAX_HEADER)
-        & forwarded.rlike(r"\A[\x20-\x7e\t]*\z")
-        & (F.size(hops) <= MAX_HOPS)
-        & ~F.exists(hops, lambda h: h.isNull())
-    )
-    chain = F.when(F.coalesce(usable, F.lit(False)), F.concat(F.array(peer_hex), F.reverse(hops))).otherwise(F.array(peer_hex))
-    stranger = F.get(F.filter(chain, lambda h: ~in_networks(h, trusted)), F.lit(0))
-    return ip_text(F.coalesce(stranger, F.element_at(chain, -1)))
+    readable = (F.octet_length(forwarded) <= MAX_HEADER) & forwarded.rlike(r"\A[\x20-\x7e\t]*\z")
+
+    def walk(x: Column) -> Column:
+        good = F.coalesce((F.size(x["hops"]) <= MAX_HOPS) & ~F.exists(x["hops"], lambda h: h.isNull()), F.lit(False))
+        chain = F.when(good, F.concat(F.array(x["peer"]), F.reverse(x["hops"]))).otherwise(F.array(x["peer"]))
+        return let(
+            chain,
+            lambda c: F.coalesce(F.get(F.filter(c, lambda h: ~in_networks(h, trusted)), F.lit(0)), F.element_at(c, -1)),
+        )
+
+    start = F.struct(ip_hex(peer).alias("peer"), F.when(readable, hops).alias("hops"))
+    return ip_text(let(start, walk))
 
 
 def client_ip(df: DataFrame, trusted: Sequence[str], header: str = "forwarded") -> DataFrame:
