@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
 from assetlake.functions.paths import ascii_lower
 
 MAX_STEM = 220
@@ -19,16 +20,18 @@ def compress_clones(c: Column) -> Column:
     tail = F.length(F.regexp_extract(c, r"((?:\(Clone\))*)\z", 1))
     head = F.substring(c, F.lit(1), F.length(c) - tail)
     return F.when(
-        tail >= 14,
+        c.endswith("(Clone)(Clone)"),
         F.concat(F.regexp_replace(head, r"(?U)\s+\z", ""), F.lit("__clone"), (tail / 7).cast("int").cast("string")),
     ).otherwise(c)
 
 
 def fix_file_name(c: Column) -> Column:
     safe = F.regexp_replace(F.translate(c, UNSAFE, "_" * len(UNSAFE)), r"\p{Cc}", "_")
-    safe = compress_clones(F.regexp_replace(safe, _TRIM, ""))
-    return F.when(F.length(safe) <= MAX_STEM, safe).otherwise(
-        F.concat(F.substring(safe, 1, MAX_STEM - len(CUT_MARK)), F.lit(CUT_MARK))
+    return let(
+        let(F.regexp_replace(safe, _TRIM, ""), compress_clones),
+        lambda s: F.when(F.length(s) <= MAX_STEM, s).otherwise(
+            F.concat(F.substring(s, 1, MAX_STEM - len(CUT_MARK)), F.lit(CUT_MARK))
+        ),
     )
 
 

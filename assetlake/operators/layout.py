@@ -172,7 +172,7 @@ def branches(located_outputs: DataFrame, textures: DataFrame) -> DataFrame:
         .when(cid.isin(LEAF_CLASSES) | known_class(cid).isNull(), "flat")
         .otherwise("nested")
     )
-    return df.drop("flat").withColumn("_branch", branch)
+    return df.withColumn("_branch", branch).drop("flat")
 
 
 _NEEDS_STEM = ["bundle", "text_nested", "font", "nested"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assetlake.functions import valid_digest
 from assetlake.operators.snapshots import ALIASES, REGIONS, RESERVED_REGION
 from assetlake.operators.windows import previous, running
-from assetlake.session import materialize
+from assetlake.session import materialize_counted
 from assetlake.violations import all_of, rule_violations, violation
 
 # Fixed values.
@@ -173,19 +173,18 @@ def lineage(jobs: DataFrame) -> DataFrame:
         F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("hops"),
     )
     # (id, up, hops): ``up`` is the ancestor ``hops`` steps above; roots point at themselves with 0.
-    state = materialize(step.withColumn("up", F.coalesce("up", "id")), "lineage")
-    rounds = max(1, (state.count() + 1).bit_length())
-    for _ in range(rounds):
+    state, rows = materialize_counted(step.withColumn("up", F.coalesce("up", "id")), "lineage")
+    for _ in range(rows.bit_length()):
         above = state.select("run", F.col("id").alias("up"), F.col("up").alias("_up2"), F.col("hops").alias("_h2"))
-        joined = state.join(above, ["run", "up"])
-        moved = joined.where(F.col("_h2") > 0)
-        if moved.isEmpty():
-            break
         # Capped so that a cycle cannot overflow; no real chain is longer than the table.
-        state = materialize(
-            joined.select("run", "id", F.col("_up2").alias("up"), F.least(F.col("hops") + F.col("_h2"), F.lit(2**60)).alias("hops")),
-            "lineage",
+        further = state.join(above, ["run", "up"]).select(
+            "run", "id", F.col("_up2").alias("up"),
+            F.least(F.col("hops") + F.col("_h2"), F.lit(2**60)).alias("hops"), (F.col("_h2") > 0).alias("_moved"),
         )
+        state, moved = materialize_counted(further, "lineage", F.col("_moved"))
+        state = state.drop("_moved")
+        if not moved:
+            break
     roots = step.where(F.col("hops") == 0).select("run", F.col("id").alias("up"), F.col("id").alias("root"))
     return state.join(roots, ["run", "up"], "left").select(
         "run", "id", "root", F.when(F.col("root").isNotNull(), F.col("hops") + 1).alias("attempt")

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
 from assetlake.plans import (  # noqa: F401
-    catalog_queries, integrity_queries, publication_queries, relation_queries,
+    catalog_queries, integrity_queries, layout_queries, publication_queries, relation_queries,
 )
 from assetlake.plans.bound import ORACLES, QUERIES  # noqa: F401

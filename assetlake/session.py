@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -56,10 +56,10 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return materialize_counted(df, label)[0]
 
 
-def materialize_counted(df: DataFrame, label: str = "step") -> tuple[DataFrame, int]:
-    """Like :func:`materialize`, with the number of rows, counted while they are written."""
+def materialize_counted(df: DataFrame, label: str = "step", where: Column | None = None) -> tuple[DataFrame, int]:
+    """Like :func:`materialize`, with the number of rows (that satisfy ``where``), counted while written."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
