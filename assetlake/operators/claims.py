@@ -41,7 +41,6 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Give each row of one component, in order, the first name that is free or holds its content."""
     pdf = pdf.sort_values(_ORDER, kind="stable")
     held: dict[str, tuple] = {}
-    start: dict[str, int] = {}
     places, kept = [], []
     for folded, head, tail, size, sha in zip(pdf["folded"], pdf["_head"], pdf["_tail"], pdf["bytes"], pdf["sha256"]):
         content = (size, sha)
@@ -59,10 +58,116 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
                 kept.append(False)
                 break
             n += 1
-    del start
     return pdf.assign(_place=places, _kept=kept)
 
 
+_KEY = ["run", "component", "folded"]
+_DUP = r"(?s)\A(.+)__dup([2-9]|[1-9][0-9]{1,8})\z"
+
+
+def _contested(rows: DataFrame) -> DataFrame:
+    """Names two keys can want: a key ``child`` that is also the ``n``-th name of its parent key ``folded``.
+
+    ``t`` and ``content`` are those of the child's first output, the only one that wants the bare name.
+    """
+    keys = rows.groupBy(*_KEY).agg(F.min("t").alias("t"), F.min_by("content", "t").alias("content"))
+    folder, stem, ext = _split_key(F.col("folded"))
+    parent = F.concat(folder, join_ext(F.regexp_extract(stem, _DUP, 1), ext))
+    children = keys.where(stem.rlike(_DUP)).select(
+        "run", "component", parent.alias("folded"), F.regexp_extract(stem, _DUP, 2).cast("long").alias("n"),
+        F.col("folded").alias("child"), "t", "content",
+    )
+    return children.join(keys.select(*_KEY), _KEY, "left_semi")
+
+
+def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The sequential rule for components of any size, as a fixpoint of joins and running counts.
+
+    Within one key, outputs take its names in order, skipping names that another key's output holds. So
+    an output's place follows from a running count, once it is known (a) which contested names the
+    child's first output got before the parent reached them and (b) which outputs met their own content
+    on the way. Starting from a guess, both are recomputed from the places they lead to until nothing
+    changes. Every round fixes at least the earliest wrong output, so this ends, and a state that
+    reproduces itself is the sequential outcome: each output has the first name that no earlier output
+    holds with other content.
+    """
+    rows = rows.withColumn("t", F.struct(*_ORDER)).withColumn("content", F.struct("bytes", "sha256"))
+    base = materialize(rows, "large-components")
+    lean = base.select(*_KEY, "t", "content", *_ORDER)
+    edges = materialize(
+        _contested(lean).withColumns(
+            {"theirs": F.lit(True), "taken": F.lit(None).cast("struct<bytes: bigint, sha256: string>")}
+        ),
+        "contested",
+    )
+    met = materialize(lean.select(*_KEY, "content", F.lit(False).alias("same")), "met")
+    order = [F.col(c) for c in _ORDER]
+    while True:
+        # Place of every output under the current state.
+        taken = edges.where("NOT theirs").select(
+            "run", "component", F.col("child").alias("folded"), F.col("taken").alias("own"), F.lit(1).alias("shift")
+        )
+        state = lean.join(met, [*_KEY, "content"]).withColumn("_new", (~F.col("same")).cast("long"))
+        state = materialize(state.join(taken, _KEY, "left"), "state")
+        state = running(state, _KEY, order, sums={"_count": "_new"}, hot_rows=hot_rows)
+        slot = F.col("_count") + F.col("same").cast("long") + F.coalesce("shift", F.lit(0))
+        state = materialize(state.withColumn("slot", slot), "slots")
+        held = edges.withColumn("_b", F.col("theirs").cast("long"))
+        held = running(held, _KEY, [F.col("n")], sums={"_upto": "_b"}, hot_rows=hot_rows)
+        held = held.withColumn("slot", F.col("n") - F.col("_upto") + F.col("_b"))
+        held = materialize(held, "held")
+        blank = [c for c in state.columns if c not in (*_KEY, "slot")]
+        marks = held.where("theirs").select(
+            *_KEY, "slot", F.lit(1).cast("long").alias("_mark"), F.col("n").alias("_tie"),
+            *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in blank],
+        )
+        points = state.select(
+            *_KEY, "slot", F.lit(0).cast("long").alias("_mark"), F.lit(2**62).cast("long").alias("_tie"), *blank
+        )
+        both = running(
+            materialize(points.unionByName(marks), "points"), _KEY,
+            [F.col("slot"), F.col("_tie"), *order], sums={"_skipped": "_mark"}, hot_rows=hot_rows,
+        )
+        placed = materialize(
+            both.where("_mark = 0").withColumn("place", F.col("slot") + F.col("_skipped")).drop("_mark", "_tie"), "placed"
+        )
+        # Who reaches each contested name first, and with what.
+        reach = placed.where("NOT same").select(
+            *_KEY, "slot", F.col("t").alias("_t"), F.col("content").alias("_content")
+        )
+        renewed = held.join(reach, [*_KEY, "slot"], "left")
+        theirs = F.col("_t").isNull() | (F.col("t") < F.col("_t"))
+        renewed = renewed.select(
+            *_KEY, "n", "child", "t", "content", theirs.alias("theirs"), F.when(~theirs, F.col("_content")).alias("taken"),
+            (~theirs.eqNullSafe(F.col("theirs")) | ~F.when(~theirs, F.col("_content")).eqNullSafe(F.col("taken"))).alias("_changed"),
+        )
+        edges, moved = materialize_counted(renewed, "contested", F.col("_changed"))
+        edges = edges.drop("_changed")
+        # Outputs that meet their own content: under the parent's name, or at a name another key holds.
+        others = edges.where("theirs").select(*_KEY, "content", F.col("n").alias("_n"), F.col("t").alias("_te"))
+        meets = (
+            placed.join(others, [*_KEY, "content"])
+            .where((F.col("_te") < F.col("t")) & (F.col("_n") < F.col("place")))
+            .select(*_KEY, "content").distinct().withColumn("_meets", F.lit(True))
+        )
+        mine = edges.where("NOT theirs").select(
+            "run", "component", F.col("child").alias("folded"), F.col("taken").alias("_own")
+        )
+        again = (
+            placed.select(*_KEY, "content", F.col("same").alias("_was"))
+            .join(meets, [*_KEY, "content"], "left")
+            .join(mine, _KEY, "left")
+            .withColumn("same", F.coalesce("_meets", F.lit(False)) | F.coalesce(F.col("_own") == F.col("content"), F.lit(False)))
+        )
+        again = again.select(*_KEY, "content", "same", (F.col("same") != F.col("_was")).alias("_changed"))
+        met, changed = materialize_counted(again, "met", F.col("_changed"))
+        met = met.drop("_changed")
+        if not moved and not changed:
+            break
+    final = placed.select(*_KEY, "content", F.col("place").alias("_place"), (~F.col("same")).alias("_kept"))
+    return base.join(final, [*_KEY, "content"]).drop("t", "content")
+
+
 def claim_keys(wanted: DataFrame, component_rows: int | None = None, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Entries with their final ``path``, and ``(run, deduplicated, renamed)`` counts.
 

@@ -7,16 +7,18 @@ in its receipt, then the output's place in the resource, so numbering does not d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import (
-    ascii_lower, container_key, fix_file_name, join_ext, loose, snake_case, split_ext, valid_key,
+    ascii_lower, container_key, fix_file_name, join_ext, loose, split_ext, valid_key,
     with_extension,
 )
 from assetlake.operators.windows import running
+from assetlake.session import materialize
 from assetlake.violations import violation
 
 DEFAULT_STRIP = ("Assets/AddressableResources",)
@@ -50,9 +52,30 @@ LEAF_CLASSES = [83, 329, 152, 687078895]
 TEXT, BEHAVIOUR, TEXTURE, FONT, TEXTURE_ARRAY = 49, 114, 28, 128, 187
 
 
+def _literal_map(items: dict) -> Column:
+    """A constant map, parsed once: the optimizer folds it to a single literal."""
+
+    def text(x: object) -> str:
+        return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in items.items()) + ")")
+
+
+def _directory(name: str) -> str:
+    low = name.lower()
+    if low in SPECIAL_DIRS:
+        return SPECIAL_DIRS[low]
+    if low in PLAIN_DIRS:
+        return low
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
+
+
+# One directory per class, worked out once instead of per row.
+CLASS_DIRS = {class_id: _directory(name) for class_id, name in CLASS_NAMES.items()}
+
+
 def known_class(class_id: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])
-    return F.try_element_at(names, class_id)
+    return F.try_element_at(_literal_map(CLASS_NAMES), class_id)
 
 
 def class_label(class_id: Column) -> Column:
@@ -60,12 +83,9 @@ def class_label(class_id: Column) -> Column:
 
 
 def class_dir(class_id: Column) -> Column:
-    label = class_label(class_id)
-    low = ascii_lower(label)
-    out = F.when(low.isin(PLAIN_DIRS), low).otherwise(snake_case(label))
-    for name, folder in SPECIAL_DIRS.items():
-        out = F.when(low == name, F.lit(folder)).otherwise(out)
-    return out
+    return F.coalesce(
+        F.try_element_at(_literal_map(CLASS_DIRS), class_id), F.concat(F.lit("class_id"), class_id.cast("string"))
+    )
 
 
 def class_dirs(class_ids: DataFrame) -> DataFrame:
@@ -189,6 +209,8 @@ def number_unnamed(branched: DataFrame, hot_rows: int | None = None) -> DataFram
     first = unnamed.groupBy("run", "source_file", "path_id").agg(
         F.min(F.struct("resource_index", "position", "_scope", "class_id")).alias("f")
     ).select("run", "source_file", "path_id", "f.*")
+    # Stored: the numbering looks at its input twice, and the input is a long way from the scan.
+    first = materialize(first, "unnamed")
     numbered = running(
         first, ["run", "_scope", "class_id"], [F.col("resource_index"), F.col("position")], row_number="_n", hot_rows=hot_rows
     )
@@ -368,5 +390,4 @@ CONTENT_TYPES = {
 
 def content_type(key: Column) -> Column:
     ext = ascii_lower(F.regexp_extract(key, r"\.([^./]*)\z", 1))
-    types = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(types, ext), F.lit("application/octet-stream"))
+    return F.coalesce(F.try_element_at(_literal_map(CONTENT_TYPES), ext), F.lit("application/octet-stream"))

@@ -1,10 +1,13 @@
 """Readers for catalogs, receipts, journals, manifests, file trees, ledgers and logs.
 
-Every file lies in a folder named after its run (``.../<run>/<file>``); the run is taken from the path.
+Each kind of file has its own root, with one folder per run below it (``root/<run>/<file>`` or
+``root/<column>=<run>/<file>``); the run is taken from the folder.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,25 +66,26 @@ MAX_REPORT = 16 * 1024 * 1024
 
 
 def run_of() -> Column:
-    """The folder a file lies in."""
-    return F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+\z", 1)).alias("run")
+    """The folder a file lies in; a partition folder ``<column>=<run>`` gives its value."""
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+\z", 1)
+    return F.url_decode(F.replace(F.regexp_replace(folder, r"\A[^=]*=", ""), F.lit("+"), F.lit("%2B"))).alias("run")
 
 
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(f"locations ARRAY<{LOCATION}>").json(f"{path}/*/locations.json", multiLine=True)
+    docs = spark.read.schema(f"locations ARRAY<{LOCATION}>").json(f"{path}/*/*", multiLine=True)
     return docs.select(run_of(), F.inline("locations"))
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     """One row per (run, key, id); a key without locations keeps one row with a null id."""
-    docs = spark.read.text(f"{path}/*/keys.json", wholetext=True)
+    docs = spark.read.text(f"{path}/*/*", wholetext=True)
     keys = docs.select(run_of(), F.explode(F.from_json("value", "MAP<STRING, ARRAY<LONG>>")).alias("key", "ids"))
     return keys.select("run", "key", F.explode_outer("ids").alias("id"))
 
 
 def read_receipts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Receipt heads and received files. Older receipts state no layout; they are of the first one."""
-    docs = spark.read.schema(RECEIPT).json(f"{path}/*/receipt.json", multiLine=True).select(run_of(), "*")
+    docs = spark.read.schema(RECEIPT).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
     heads = docs.select(
         "run", "snapshot.region", "snapshot.platform", "snapshot.resource_version", "snapshot.effective_cdn_root",
         "catalog_url", "bytes", "sha256", F.coalesce("catalog_layout", F.lit("jp")).alias("catalog_layout"),
@@ -110,17 +114,17 @@ def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_journal(spark.read.text(f"{path}/*/resources.jsonl").select(run_of(), "value"))
+    return parse_journal(spark.read.text(f"{path}/*/*").select(run_of(), "value"))
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SUMMARY).json(f"{path}/*/summary.json", multiLine=True).select(run_of(), "*")
+    return spark.read.schema(SUMMARY).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows; a place nothing was published to yet gives no rows."""
     try:
-        lines = spark.read.schema(ENTRY).json(f"{path}/*/files.jsonl")
+        lines = spark.read.schema(ENTRY).json(f"{path}/*/*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -134,21 +138,19 @@ def file_inventory(spark: SparkSession, root: str, digests: bool = True) -> Data
     Without digests no content is read. One file is one row, so files are limited to 2 GiB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("/")[-1])
-    tail = F.substring_index("path", F.concat(F.lit("/"), base, F.lit("/")), -1)
-    out = files.select(
-        F.substring_index(tail, "/", 1).alias("run"),
-        F.url_decode(F.regexp_replace(F.regexp_extract(tail, r"(?s)\A[^/]*/(.*)\z", 1), r"\+", "%2B")).alias("path"),
+    below = re.escape(re.sub(r"\A[a-z0-9]+:/*", "/", root).rstrip("/")) + r"/([^/]+)/(.*)\z"
+    return files.select(
+        F.regexp_extract("path", f"(?s){below}", 1).alias("run"),
+        F.regexp_extract("path", f"(?s){below}", 2).alias("path"),
         "length",
         *([F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 8).alias("prefix8")] if digests else []),
     )
-    return out
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Jobs in ledger order and undelivered notices (one row per target) of every ledger."""
     schema = f"schema_version INT, jobs ARRAY<{JOB}>, completions ARRAY<{COMPLETION}>"
-    docs = spark.read.schema(schema).json(f"{path}/*/jobs.json", multiLine=True).select(run_of(), "*")
+    docs = spark.read.schema(schema).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
     docs = docs.where(F.col("schema_version").isin(1, 2))
     rows = docs.select("run", F.posexplode("jobs").alias("position", "j"))
     jobs = rows.select(
@@ -164,4 +166,4 @@ def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_access_log(spark: SparkSession, path: str, form: str = "json") -> tuple[DataFrame, DataFrame]:
-    return parse_access(spark.read.text(f"{path}/*/access.log").select(run_of(), "value"), form)
+    return parse_access(spark.read.text(f"{path}/*/*").select(run_of(), "value"), form)
