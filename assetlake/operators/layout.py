@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
 from assetlake.functions import (
     ascii_lower, container_key, fix_file_name, join_ext, loose, split_ext, valid_key,
     with_extension,
@@ -110,22 +111,28 @@ def strip_container(c: Column, prefixes: Sequence[str] = DEFAULT_STRIP) -> Colum
     return F.transform(_normal(F.split(out, "/")), lambda p: F.regexp_replace(p, r"\p{Cc}", "_"))
 
 
-def source_location(c: Column) -> tuple[Column, Column]:
-    """Directory parts and stem of a resource name: the hash suffix and a doubled group are removed."""
-    parts = F.transform(_normal(F.split(c, "/")), fix_file_name)
-    size = F.size(parts)
-    first = F.get(parts, F.lit(0))
-    at = F.instr(first, "_assets_")
-    group = F.substring(first, F.lit(1), at - 1)
-    rest = F.substring(first, at + 8, F.length(first))
-    head = F.when((at > 1) & (group == rest), group).otherwise(first)
-    dirs = F.when(
-        size > 1, F.concat(F.array(head), F.slice(parts, 2, F.greatest(size - 2, F.lit(0))))
-    ).otherwise(F.array().cast("array<string>"))
-    last = F.coalesce(F.get(parts, size - 1), F.lit("resource"))
+def source_location(c: Column) -> Column:
+    """Struct ``(dirs, stem)`` of a resource name: the hash suffix and a doubled group are removed."""
     hashed = r"(?s)\A(.+)_[0-9A-Fa-f]{32}\z"
-    stem = F.when(last.rlike(hashed), F.regexp_extract(last, hashed, 1)).otherwise(last)
-    return dirs, stem
+
+    def head(first: Column) -> Column:
+        at = F.instr(first, "_assets_")
+        group = F.substring(first, F.lit(1), at - 1)
+        return F.when((at > 1) & (group == F.substring(first, at + 8, F.length(first))), group).otherwise(first)
+
+    def located_(parts: Column) -> Column:
+        size = F.size(parts)
+        dirs = F.when(
+            size > 1,
+            F.concat(F.array(let(F.get(parts, F.lit(0)), head)), F.slice(parts, 2, F.greatest(size - 2, F.lit(0)))),
+        ).otherwise(F.array().cast("array<string>"))
+        stem = let(
+            F.coalesce(F.get(parts, size - 1), F.lit("resource")),
+            lambda last: F.when(last.rlike(hashed), F.regexp_extract(last, hashed, 1)).otherwise(last),
+        )
+        return F.struct(dirs.alias("dirs"), stem.alias("stem"))
+
+    return let(F.transform(_normal(F.split(c, "/")), fix_file_name), located_)
 
 
 def _blank(c: Column) -> Column:
@@ -144,8 +151,14 @@ def located(outputs: DataFrame, prefixes: Sequence[str] = DEFAULT_STRIP) -> Data
     df = df.withColumn("_leaf", F.when(size > 0, F.element_at("_parts", -1)))
     leaf_stem, leaf_ext = split_ext(F.col("_leaf"))
     df = df.withColumn("_leaf_stem", leaf_stem).withColumn("_leaf_ext", leaf_ext)
-    _, bundle = source_location(F.regexp_replace("source", r"(?:\.bundle)+\z", ""))
-    df = df.withColumn("_bundle", bundle)
+    bare = F.regexp_replace("source", r"(?:\.bundle)+\z", "")
+    df = df.withColumns(
+        {
+            "_bundle": source_location(bare)["stem"],
+            "_media": F.when(F.col("class_id").isNull(), source_location(F.col("source"))),
+            "_name": fix_file_name(F.col("name")),
+        }
+    )
     return df.withColumn(
         "_scope",
         F.when(F.col("_parts").isNull(), F.concat(F.lit(BUNDLES + "/"), "_bundle")).when(
@@ -162,10 +175,10 @@ def texture_rule(located_outputs: DataFrame) -> DataFrame:
     per_texture = (
         located_outputs.where(F.col("class_id") == TEXTURE)
         .groupBy("run", "output_directory", "source_file", "path_id")
-        .agg(F.min_by(F.struct("_scope", "_parts", "_leaf_stem", "name"), "position").alias("t"))
+        .agg(F.min_by(F.struct("_scope", "_parts", "_leaf_stem", "_name"), "position").alias("t"))
         .where(F.size("t._parts") > 0)
     )
-    named = F.coalesce(fix_file_name(F.col("t.name")) == fix_file_name(F.col("t._leaf_stem")), F.lit(False))
+    named = F.coalesce(F.col("t._name") == fix_file_name(F.col("t._leaf_stem")), F.lit(False))
     return per_texture.groupBy("run", F.col("t._scope").alias("_scope")).agg(
         F.count(F.lit(1)).alias("textures"), F.every(named).alias("_named")
     ).select("run", "_scope", "textures", ((F.col("textures") == 1) & F.col("_named")).alias("flat"))
@@ -175,7 +188,7 @@ def branches(located_outputs: DataFrame, textures: DataFrame) -> DataFrame:
     """Add ``_branch``: which rule makes the key of an object's output."""
     df = located_outputs.join(textures.select("run", "_scope", "flat"), ["run", "_scope"], "left")
     cid = F.col("class_id")
-    like = F.when(F.col("name").isNotNull(), loose(fix_file_name(F.col("name"))) == loose(F.col("_leaf_stem")))
+    like = F.when(F.col("_name").isNotNull(), loose(F.col("_name")) == loose(F.col("_leaf_stem")))
     bytes_ext = ascii_lower(F.col("_leaf_ext")) == "bytes"
     branch = (
         F.when(cid.isNull(), "media")
@@ -204,7 +217,7 @@ def number_unnamed(branched: DataFrame, hot_rows: int | None = None) -> DataFram
     Numbers follow first appearance within ``(run, scope, class)``; one object gets one number.
     """
     unnamed = branched.where(
-        F.col("_branch").isin(_NEEDS_STEM) & (F.coalesce(fix_file_name(F.col("name")), F.lit("")) == "")
+        F.col("_branch").isin(_NEEDS_STEM) & (F.coalesce("_name", F.lit("")) == "")
     )
     first = unnamed.groupBy("run", "source_file", "path_id").agg(
         F.min(F.struct("resource_index", "position", "_scope", "class_id")).alias("f")
@@ -253,12 +266,12 @@ def layer_parts(parts: Column, class_id: Column, file_stem: Column, ext: Column)
 
 def object_keys(outputs: DataFrame, prefixes: Sequence[str] = DEFAULT_STRIP, hot_rows: int | None = None) -> DataFrame:
     """Add ``_key_parts`` to every succeeded output that belongs to an object (null for the others)."""
-    rows = located(outputs, prefixes)
+    # Stored: three steps below read these rows, and behind them lies the parsing of the journal.
+    rows = materialize(located(outputs, prefixes), "located")
     branched = branches(rows, texture_rule(rows))
     numbers = number_unnamed(branched, hot_rows)
     df = branched.join(numbers, ["run", "source_file", "path_id"], "left")
-    fixed = fix_file_name(F.col("name"))
-    df = df.withColumn("_stem", F.when(F.coalesce(fixed, F.lit("")) != "", fixed).otherwise(F.col("_number_stem")))
+    df = df.withColumn("_stem", F.when(F.coalesce("_name", F.lit("")) != "", F.col("_name")).otherwise(F.col("_number_stem")))
     df = df.withColumn("_key_parts", object_parts(df))
     return df.withColumn(
         "_key_parts", layer_parts(F.col("_key_parts"), F.col("class_id"), F.col("_file_stem"), F.col("_ext"))
@@ -267,7 +280,7 @@ def object_keys(outputs: DataFrame, prefixes: Sequence[str] = DEFAULT_STRIP, hot
 
 def media_parts(cue: Column) -> Column:
     """Key parts of an output outside any object; ``cue`` names the track or is null."""
-    dirs, stem = source_location(F.col("source"))
+    dirs, stem = F.col("_media.dirs"), F.col("_media.stem")
     file, ext = F.col("_file"), F.col("_ext")
     dot = F.instr(file, ".")
     rest = F.when(dot > 0, F.substring(file, dot + 1, F.length(file))).otherwise(ext)

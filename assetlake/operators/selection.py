@@ -116,7 +116,7 @@ def closure(roots: DataFrame, locations: DataFrame) -> DataFrame:
     of rounds is the greatest distance from a root.
     """
     scope = [c for c in roots.columns if c != "id"]
-    edges = materialize(_edges(locations).distinct(), "edges")
+    edges = materialize(_edges(locations), "edges")
     frontier, found = materialize_counted(roots.select(*scope, "id").distinct(), "frontier")
     visited, rounds = frontier, 0
     while found:

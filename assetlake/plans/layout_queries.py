@@ -127,8 +127,8 @@ def _(b):
     "flat",
 )
 def _(b):
-    folder, stem = layout.source_location(F.col("source"))
-    return b.flat.select("source", F.array_join(folder, "/").alias("folder"), stem.alias("stem")).distinct()
+    rows = b.flat.select("source", layout.source_location(F.col("source")).alias("l"))
+    return rows.select("source", F.array_join("l.dirs", "/").alias("folder"), F.col("l.stem").alias("stem")).distinct()
 
 
 @query("texture_rule", f"WITH {_LOCATED}, {_TEXTURES} SELECT run, scope, textures, flat FROM textures", "flat")

@@ -69,11 +69,11 @@ def test_small_components(spark):
 
 
 def test_components_settled_by_joins(spark):
-    compare(spark, *cases(2, 300, 16, 7), component_rows=0)
+    compare(spark, *cases(2, 200, 16, 7), component_rows=0)
 
 
 def test_components_settled_by_joins_in_chunks(spark):
-    compare(spark, *cases(3, 6, 60, 30), component_rows=0, hot_rows=5)
+    compare(spark, *cases(3, 3, 60, 30), component_rows=0, hot_rows=12)
 
 
 def test_one_hot_key_is_numbered_in_chunks(spark):
