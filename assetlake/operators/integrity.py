@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import fingerprint, multiset_digest, safe_path, valid_digest
 from assetlake.operators.exports import export_totals, payload_counts
+from assetlake.operators.selection import matches_policy
 from assetlake.operators.sides import side_by_side
 from assetlake.violations import all_of, rule_violations, violation
 
@@ -103,7 +106,11 @@ def graph_digest(locations: DataFrame) -> DataFrame:
 
 
 def summary_rules(summaries: DataFrame, max_failed: int = 0) -> DataFrame:
-    """The invariants a summary must satisfy on its own."""
+    """The invariants a summary must satisfy on its own.
+
+    Besides the summary's fields: ``want_region`` (that of the receipt), ``kinds_valid``, ``native_kinds``,
+    ``media_full``, ``raw_mode`` and ``raw_valid`` describe its stated options.
+    """
     c = F.col
     raw_only = F.coalesce(c("raw_mode") == "only", F.lit(False))
     return rule_violations(
@@ -111,6 +118,9 @@ def summary_rules(summaries: DataFrame, max_failed: int = 0) -> DataFrame:
         c("run"),
         {
             "schema_version": c("schema_version") == SUMMARY_SCHEMA,
+            "region": c("region") == c("want_region"),
+            "read_kinds": c("kinds_valid"),
+            "raw_config": c("raw_mode").isNull() | c("raw_valid"),
             "retained": c("retained"),
             "all_finished": c("succeeded") + c("failed") == c("input_files"),
             "failed_allowed": c("failed") <= max_failed,
@@ -166,7 +176,26 @@ def failure_rules(journal: DataFrame, max_failed: int) -> DataFrame:
     )
 
 
-def output_rules(outputs: DataFrame, summaries: DataFrame, raw_prefix: str = "raw") -> DataFrame:
+def raw_only_rules(journal: DataFrame, summaries: DataFrame) -> DataFrame:
+    """In raw-only mode a succeeded resource has exactly one output and no objects."""
+    rows = journal.where(F.size("errors") == 0).join(summaries.select("run", "raw_mode"), "run")
+    return rule_violations(
+        rows.where(F.col("raw_mode") == "only"),
+        F.col("source"),
+        {
+            "raw_only_outputs": F.size("outputs") == 1,
+            "raw_only_objects": (F.col("objects") == 0) & (F.col("selected_objects") == 0) & (F.col("skipped_objects") == 0),
+        },
+    )
+
+
+def output_rules(
+    outputs: DataFrame,
+    summaries: DataFrame,
+    raw_prefix: str = "raw",
+    raw_include: Sequence[str] = (),
+    raw_exclude: Sequence[str] = (),
+) -> DataFrame:
     """Per-output rules of succeeded resources."""
     ok = outputs.where(~F.col("failed")).join(
         summaries.select("run", "acb_preserve", "usm_preserve", "raw_mode"), "run", "left"
@@ -190,6 +219,8 @@ def output_rules(outputs: DataFrame, summaries: DataFrame, raw_prefix: str = "ra
                 (F.col("path") == F.concat(F.lit(raw_prefix + "/"), F.col("source")))
                 & (F.col("sha256") == F.col("source_sha256"))
                 & F.col("class_id").isNull()
+                & safe_path(F.col("source"), 2048)
+                & matches_policy(raw_include, raw_exclude, F.col("source"))
             ),
             "raw_only": ~raw_only | raw,
         },

@@ -16,6 +16,7 @@ TERMINAL = ["completed", "failed", "cancelled"]
 ACTIVE = ["running", "cancelling"]
 OPERATIONS = ["update", "export", "verify"]
 MAX_EVENTS = 4096
+MAX_TARGETS = 16
 LEGAL = [
     (None, "queued"),
     ("queued", "running"),
@@ -60,6 +61,29 @@ def ledger_rules(jobs: DataFrame) -> DataFrame:
     return all_of(rows, repeated("id", "job_id_repeated"), repeated("idempotency_sha256", "job_digest_repeated"))
 
 
+def event_rules(events: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
+    """Rules of undelivered notices, given as one row per (run, job_id, region, identity)."""
+    rows = rule_violations(
+        events,
+        F.col("job_id"),
+        {
+            "event_job_id": F.col("job_id").rlike(_UUID),
+            "event_region": F.col("region").isin(REGIONS) & (F.col("region") != RESERVED_REGION),
+            "event_target": valid_digest(F.col("identity")),
+        },
+        detail=F.col("identity"),
+    )
+    per_target = events.groupBy("run", "job_id", "identity").agg(F.count(F.lit(1)).alias("n"))
+    per_event = per_target.groupBy("run", "job_id").agg(F.count(F.lit(1)).alias("n"))
+    per_run = per_event.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return all_of(
+        rows,
+        violation(per_target.where("n > 1"), "event_target_repeated", F.col("job_id"), F.col("n")),
+        violation(per_event.where(F.col("n") > MAX_TARGETS), "event_targets", F.col("job_id"), F.col("n")),
+        violation(per_run.where(F.col("n") > max_events), "too_many_events", F.col("run"), F.col("n")),
+    )
+
+
 def recover(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs caught running by a restart become failures; everything else is untouched."""
     caught = F.col("status").isin(ACTIVE)

@@ -330,6 +330,7 @@ def summaries(d) -> str:
     k = "o_orderkey"
     return f"""
 SELECT 's' || cast({k} as string) AS run, CASE WHEN {k} % 101 = 1 THEN 3 ELSE 4 END AS schema_version, {k} % 103 <> 2 AS retained,
+  CASE WHEN {k} % 107 = 3 THEN 'kr' ELSE 'jp' END AS region, 'jp' AS want_region, {k} % 109 <> 4 AS kinds_valid, {k} % 7 <> 5 AS raw_valid,
   {k} % 100 AS input_files, {k} % 100 + CASE WHEN {k} % 17 = 3 THEN -1 WHEN {k} % 5 = 2 THEN 1 ELSE 0 END AS catalog_files,
   {k} % 100 - {k} % 4 AS succeeded, {k} % 4 + CASE WHEN {k} % 61 = 4 THEN 1 ELSE 0 END AS failed,
   CASE WHEN {k} % 47 = 5 THEN {k} % 4 > 0 ELSE {k} % 4 = 0 END AS complete, {k} % 79 AS output_files, {k} % 3 = 0 AS full_export,

@@ -112,7 +112,7 @@ def _(b):
     rules(
         "run",
         {
-            "schema_version": "schema_version = 4", "retained": "retained", "all_finished": "succeeded + failed = input_files",
+            "schema_version": "schema_version = 4", "region": "region = 'jp'", "read_kinds": "kinds_valid", "raw_config": "raw_mode IS NULL OR raw_valid", "retained": "retained", "all_finished": "succeeded + failed = input_files",
             "failed_allowed": "failed <= 2", "complete_flag": "complete = (failed = 0)", "some_succeeded": "succeeded > 0",
             "some_input": "input_files > 0", "input_limit": "input_files <= 100000", "input_in_catalog": "input_files <= catalog_files",
             "some_output": "output_files > 0", "media_full": "NOT full_export OR media_full",
@@ -187,6 +187,24 @@ def _(b):
     return integrity.output_rules(marked(b), b.totals)
 
 
+@query(
+    "raw_only_rules",
+    """SELECT run, c AS code, source AS key, cast(NULL AS VARCHAR) AS detail FROM (SELECT DISTINCT run, source, resource_index FROM flat WHERE NOT failed AND run = 'x1'), (VALUES ('raw_only_outputs'), ('raw_only_objects')) v(c)
+    WHERE resource_index % 6 <> 2""",
+    "flat",
+)
+def _(b):
+    tidy = F.col("output_directory").cast("long") % 6 == 2
+    journal = b.journal.withColumns(
+        {
+            "outputs": F.when(tidy, F.slice("outputs", 1, 1)).otherwise(F.concat("outputs", F.slice("outputs", 1, 1))),
+            **{c: F.when(tidy, 0).otherwise(F.col(c)) for c in ("objects", "selected_objects", "skipped_objects")},
+        }
+    )
+    modes = journal.select("run").distinct().withColumn("raw_mode", F.when(F.col("run") == "x1", "only"))
+    return integrity.raw_only_rules(journal, modes)
+
+
 @query(
     "exact_tree",
     """WITH tree AS (SELECT run, output_directory, path FROM flat WHERE doc_id % 45 <> 7 UNION ALL SELECT run, output_directory, path || '.tmp' FROM flat WHERE doc_id % 50 = 8),

@@ -149,6 +149,26 @@ def _(b):
     return ledger.ledger_rules(b.jobs)
 
 
+@query(
+    "event_rules",
+    """WITH due AS (SELECT j.run, j.id AS job_id, CASE WHEN j.position % 223 = 4 THEN 'cn' ELSE j.region END AS region, CASE WHEN j.position % 227 = 5 THEN 'short' ELSE t.identity END AS identity
+      FROM jobs j JOIN job_targets t ON t.run = j.run AND t.region = j.region WHERE j.status = 'completed'),
+    n AS (SELECT run, job_id, identity, count(*) AS n FROM due GROUP BY 1, 2, 3), e AS (SELECT run, count(DISTINCT job_id) AS n FROM due GROUP BY 1)
+    """
+    + rules("job_id", {"event_job_id": "job_id <> 'bad id'", "event_region": "region <> 'cn'", "event_target": "identity <> 'short'"}, "due", "identity")
+    + """ UNION ALL SELECT run, 'event_target_repeated', job_id, cast(n AS VARCHAR) FROM n WHERE n > 1
+    UNION ALL SELECT run, 'too_many_events', run, cast(n AS VARCHAR) FROM e WHERE n > 600""",
+    "jobs", "job_targets",
+)
+def _(b):
+    done = b.jobs.where("status = 'completed'").join(b.job_targets.select("run", "region", "identity"), ["run", "region"])
+    events = done.select(
+        "run", F.col("id").alias("job_id"), F.expr("CASE WHEN position % 223 = 4 THEN 'cn' ELSE region END").alias("region"),
+        F.expr("CASE WHEN position % 227 = 5 THEN 'short' ELSE identity END").alias("identity"),
+    )
+    return ledger.event_rules(events, 600)
+
+
 @query(
     "recover",
     """SELECT run, position, CASE WHEN status IN ('running', 'cancelling') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('running', 'cancelling') THEN 'service_interrupted' ELSE failure END AS failure,

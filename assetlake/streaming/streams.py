@@ -13,6 +13,7 @@ from assetlake.operators.exports import export_totals
 from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL
 from assetlake.operators.logs import client_ip, normalize_access, rotation_period
 from assetlake.operators.snapshots import MAX_AGE_MS
+from assetlake.session import materialize
 from assetlake.sources.readers import parse_journal, run_of
 
 STATE_STORE = {
@@ -97,7 +98,8 @@ def stream_outbox(
     """Deliver notices at least once and record each delivery.
 
     A batch replayed after a failure skips what is already recorded; a failure between delivery and
-    record delivers again, so receivers deduplicate by job. Within a target the order is by completion.
+    record delivers again, so receivers deduplicate by job. Within a target the order is by completion:
+    notices are range-partitioned in that order, so a target with very many of them spans several tasks.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -105,7 +107,9 @@ def stream_outbox(
         keys = ["run", "job_id", "identity"]
         done = spark.read.schema("run STRING, job_id STRING, identity STRING").parquet(acks_path)
         due = df.dropDuplicates(keys).join(done, keys, "left_anti")
-        due = due.repartition("run", "identity").sortWithinPartitions("run", "identity", "completed_at", "job_id")
+        order = ["run", "identity", "completed_at", "job_id"]
+        # Stored, so that exactly what was delivered is what gets recorded.
+        due = materialize(due.repartitionByRange(*order).sortWithinPartitions(*order), "due")
         if deliver is not None:
             deliver(due)
         due.select(*keys).write.mode("append").parquet(acks_path)
