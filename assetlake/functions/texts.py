@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assetlake.functions.binding import let
+
 
 def catalog_hash(c: Column) -> Column:
     """The 32 hexadecimal digits of a hash file, lower case; null when it holds anything else."""
@@ -20,23 +22,30 @@ def latency_text(ms: Column) -> Column:
     )
 
 
+# Characters with an escape of their own.
+_ESCAPES = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r", "\x00": "\\0"}
+_BREAKING = r"[\p{Cc}\u2028\u2029]"
+
+
 def escape_line(c: Column) -> Column:
-    """Escape backslashes and line-breaking characters so that one record stays one line."""
-
-    def one(ch: Column) -> Column:
-        return (
-            F.when(ch == "\\", F.lit("\\\\"))
-            .when(ch == "\t", F.lit("\\t"))
-            .when(ch == "\n", F.lit("\\n"))
-            .when(ch == "\r", F.lit("\\r"))
-            .when(ch == "\x00", F.lit("\\0"))
-            .when(ch.rlike(r"[\p{Cc}\u2028\u2029]"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(ch))), F.lit("}")))
-            .otherwise(ch)
-        )
+    """Escape backslashes and line-breaking characters so that one record stays one line.
+
+    Only the distinct other control characters of a text (hardly ever any) are looked at one by one.
+    """
+    out = c
+    for char, escape in _ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(escape))
+
+    def code(ch: Column) -> Column:
+        return F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(ch))), F.lit("}"))
+
+    def rest(text: Column) -> Column:
+        others = F.array_distinct(F.regexp_extract_all(text, F.lit(_BREAKING), F.lit(0)))
+        return F.when(
+            text.rlike(_BREAKING), F.aggregate(others, text, lambda t, ch: F.replace(t, ch, code(ch)))
+        ).otherwise(text)
 
-    return F.when(
-        c.rlike(r"[\\\p{Cc}\u2028\u2029]"), F.array_join(F.transform(F.split(c, ""), one), "")
-    ).otherwise(c)
+    return let(out, rest)
 
 
 _MESH = (
