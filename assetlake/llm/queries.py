@@ -44,10 +44,215 @@ def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(materialize(pieces, "pieces"), CAPACITY)
 
 
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+#: A host with one of these words is listed; its pages' canonical URLs make the list.
+LISTED = r"(^|[.-])(adult|bets|casino|spam)([.-]|$)"
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.url_filter import host_of, judge_urls
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url")
+    return judge_urls(pages, pages.where(host_of(F.col("url")).rlike(LISTED)).select("url"), RULES)
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.quality_rules import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+LEVELS = ("domain", "lang", "source")
+WEIGHTS = [
+    ("domain", "crawl", 2), ("domain", "reference", 5), ("domain", "forum", 3),
+    ("lang", "en", 4), ("lang", "de", 2), ("lang", "es", 2), ("lang", "fr", 2),
+]
+EPOCHS, SEED = 2, 17
+
+
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+    """The tree's first level: the one large source by itself, the others by the form of their name."""
+    source = F.col("source")
+    domain = F.when(source == "src0", "crawl").when(source.rlike("^src[0-9]$"), "reference").otherwise("forum")
+    return docs.withColumn(name, domain)
+
+
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.columns import words
+    from assetlake.llm.mixing import ends, take
+
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    sizes = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *LEVELS, F.size(words(F.col("text"))).cast("long").alias("n_tokens")
+    )
+    sizes = materialize(sizes, "sizes")
+    weights = spark.createDataFrame(WEIGHTS, "level string, name string, weight long")
+    total = F.call_function("div", F.sum("tokens") * 3, F.lit(5).cast("long"))
+    return take(sizes, LEVELS, ends(sizes, LEVELS, weights, total, EPOCHS, SEED), SEED)
+
+
+def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.syncmers import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files,
     "op4_token_counts": token_counts,
+    "op5_url_filter": url_filter,
     "op6_best_fit_packing": best_fit,
+    "op7_quality_rules": quality_rules,
+    "op9_mixing": mixing,
+    "op10_syncmer_fingerprints": syncmer_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+_HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+def _url_sql() -> str:
+    longest = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    rule = " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
+    verdict = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for v, h, p in longest)
+    return f"""
+    WITH u AS (
+      SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    c AS (
+      SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM u),
+    w AS (
+      SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '{LISTED}') AND canonical <> '')
+    SELECT page_id, host, path, CASE {rule} END AS rule,
+      coalesce(CASE {verdict} END, CASE WHEN w.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+      w.canonical IS NOT NULL AS listed
+    FROM c LEFT JOIN w USING (canonical)
+    """
+
+
+def _quality_sql() -> str:
+    from assetlake.llm.quality_rules import REACH, RULES as MEASURES
+
+    visible = "[^\\x20\\x09-\\x0D]"
+    values = ", ".join(
+        f"('{rule}', ({top} * {scale}) // greatest({below}, 1))" for rule, (top, below, scale, _, _) in MEASURES.items()
+    )
+    checks = " AND ".join(
+        f"max(CASE WHEN v.rule = '{rule}' THEN v.value <= q3 + {REACH} * greatest(q3 - q1, {least})"
+        + (f" AND v.value >= q1 - {REACH} * greatest(q3 - q1, {least})" if both else "")
+        + " END)"
+        for rule, (_, _, _, least, both) in MEASURES.items()
+    )
+    return f"""
+    WITH t AS (
+      SELECT doc_id, lang, source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{visible}+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{visible}')) AS l
+      FROM documents),
+    p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+    g AS (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+      FROM p WHERE i + 2 <= len(w)),
+    r AS (
+      SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1)
+      GROUP BY 1),
+    m AS (
+      SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words,
+        length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+      FROM t LEFT JOIN r ON t.doc_id = r.doc_id),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+    e AS (
+      SELECT doc_id, lang, source, base_failed, v.rule, v.value FROM b,
+        LATERAL (SELECT * FROM (VALUES {values}) x(rule, value)) v),
+    k AS (
+      SELECT lang, source, rule, (value >> greatest(length(bin(value)) - 7, 0)::INT)
+        << greatest(length(bin(value)) - 7, 0)::INT AS bucket, count(*) AS n
+      FROM e WHERE NOT base_failed GROUP BY ALL),
+    c AS (
+      SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto,
+        sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM k),
+    q AS (
+      SELECT lang, source, rule, min(bucket) FILTER (4 * upto >= total) AS q1,
+        min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY ALL),
+    j AS (
+      SELECT v.doc_id, {checks} AS inside
+      FROM e v LEFT JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source
+        AND v.rule = q.rule GROUP BY 1)
+    SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND coalesce(inside, FALSE) AS kept
+    FROM b JOIN j ON b.doc_id = j.doc_id
+    """
+
+
+def _mixing_sql() -> str:
+    weights = ", ".join(f"('{a}', '{b}', {c})" for a, b, c in WEIGHTS)
+    steps = []
+    for n, level in enumerate(LEVELS):
+        keys = ", ".join(LEVELS[: n + 1])
+        parent = ", ".join(LEVELS[:n]) or "0"
+        up = "root u ON TRUE" if n == 0 else f"b{n - 1} u ON " + " AND ".join(
+            f"s.{c} IS NOT DISTINCT FROM u.{c}" for c in LEVELS[:n]
+        )
+        steps.append(f"""
+    s{n} AS (
+      SELECT s.*, coalesce(w.weight, 1) AS weight, u.budget AS above,
+        s.capacity / coalesce(w.weight, 1) AS rate
+      FROM (SELECT {keys}, sum(capacity) AS capacity FROM leaves GROUP BY ALL) s
+      LEFT JOIN weights w ON w.level = '{level}' AND w.name IS NOT DISTINCT FROM s.{level} JOIN {up}),
+    f{n} AS (
+      SELECT *, capacity * sum(weight) OVER (PARTITION BY {parent} ORDER BY rate, {level} NULLS FIRST
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= weight * (above - coalesce(sum(capacity) OVER (PARTITION BY {parent} ORDER BY rate, {level} NULLS FIRST
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM s{n}),
+    o{n} AS (
+      SELECT *, above - sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER (PARTITION BY {parent}) AS rest,
+        sum(CASE WHEN filled THEN 0 ELSE weight END) OVER (PARTITION BY {parent}) AS weights,
+        sum(CASE WHEN filled THEN 0 ELSE weight END) OVER (PARTITION BY {parent} ORDER BY rate, {level} NULLS FIRST
+          ROWS UNBOUNDED PRECEDING) AS upto FROM f{n}),
+    b{n} AS (
+      SELECT {keys}, capacity, CASE WHEN filled THEN capacity
+        ELSE (rest * upto) // weights - (rest * (upto - weight)) // weights END AS budget FROM o{n})""")
+    same_leaf = " AND ".join(f"s.{c} IS NOT DISTINCT FROM p.{c}" for c in LEVELS)
+    return f"""
+    WITH sizes AS (
+      SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[0-9]$') THEN 'reference'
+        ELSE 'forum' END AS domain, lang, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+    weights(level, name, weight) AS (VALUES {weights}),
+    leaves AS (
+      SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {EPOCHS} AS capacity
+      FROM sizes GROUP BY ALL HAVING sum(n_tokens) > 0),
+    root AS (SELECT least(sum(capacity), sum(tokens) * 3 // 5) AS budget FROM leaves),{",".join(steps)},
+    p AS (
+      SELECT domain, lang, source, budget // (capacity // {EPOCHS}) AS full_, budget % (capacity // {EPOCHS}) AS rest
+      FROM b{len(LEVELS) - 1}),
+    d AS (
+      SELECT s.*, p.full_, p.rest,
+        md5(concat('{SEED}-', p.full_, '-', coalesce(s.doc_id::VARCHAR, ''))) AS place
+      FROM sizes s JOIN p ON {same_leaf} WHERE s.n_tokens > 0),
+    r AS (
+      SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, n_tokens
+        ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM d)
+    SELECT doc_id, domain, lang, source, e::BIGINT AS epoch, n_tokens, n_tokens AS taken
+    FROM (SELECT *, unnest(range(0, full_::BIGINT)) AS e FROM d)
+    UNION ALL
+    SELECT doc_id, domain, lang, source, full_::BIGINT, n_tokens, least(n_tokens, rest - before)::BIGINT
+    FROM r WHERE before < rest
+    """
+
+
+ORACLES: dict[str, str] = {
+    "op5_url_filter": _url_sql(),
+    "op7_quality_rules": _quality_sql(),
+    "op9_mixing": _mixing_sql(),
+}
