@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
-import numpy as np
+assert sys.byteorder == "little" and array("I").itemsize == 4  # the byte form of ids
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per generation; a worker holds two generations at most (about 150 MB).
-KEPT = 400_000
+#: Pieces kept per generation; a worker holds two generations at most (about 200 MB).
+KEPT = 600_000
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}
 _RUN = re.compile(r"\s\s")
@@ -56,11 +58,12 @@ class Encoder:
         lowers = self._raw(["Ab ab"])[0] == self._raw(["ab ab"])[0]
         drops = self._raw(["ab ab"])[0] == self._raw([" ab\tab "])[0]
         self.lowers = lowers and drops
+        self.ends = dict(zip(".,", self._raw([".", ","]), strict=True)) | {"": b""}
+        self.letters: dict[str, bool] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -73,59 +76,50 @@ class Encoder:
             return [head, *[x[1:] for x in rest]]
         return text.replace("\n", " \n").split(" ")
 
-    def _written(self, piece: str) -> str:
-        return piece if piece[0] == "\n" else " " + piece
-
     def _learn(self, wanted: set[str]) -> None:
-        if len(self.new) + len(wanted) > self.kept:
-            self.old, self.new = self.new, {}
-        known, ends, bases = self.new, [], set()
+        known, old, lowers, letters = self.new, self.old, self.lowers, self.letters
+        ended, plain = [], set()
         for piece in wanted:
-            if piece in self.old:
-                known[piece] = self.old[piece]
+            ids = old.get(piece)
+            if ids is not None:
+                known[piece] = ids
                 continue
             base, end = piece, ""
-            if len(piece) > 1 and piece[-1] in ".," and _stays_letter(piece[-2]):
-                base, end = piece[:-1], piece[-1]
-            if self.lowers and base.isascii() and "<|" not in base:
+            if piece[-1] in ".," and len(piece) > 1:
+                char = piece[-2]
+                letter = letters.get(char)
+                if letter is None:
+                    letter = letters[char] = _stays_letter(char)
+                if letter:
+                    base, end = piece[:-1], piece[-1]
+            if lowers and base.isascii() and "<|" not in base:
                 base = base.lower()
-            if base != piece:
-                ends.append((piece, base, end))
+            if base is not piece and base != piece:
+                ended.append((piece, base, end))
                 if base in known:
                     continue
-                if base in self.old:
-                    known[base] = self.old[base]
+                ids = old.get(base)
+                if ids is not None:
+                    known[base] = ids
                     continue
-            bases.add(base)
-        todo = list(bases)
-        for piece, ids in zip(todo, self._raw([self._written(x) for x in todo]), strict=True):
-            known[piece] = ids
-        if ends:
-            end_ids = dict(zip(".,", self._raw([".", ","]), strict=True)) | {"": b""}
-            for piece, base, end in ends:
-                known[piece] = known[base] + end_ids[end]
+            plain.add(base)
+        todo = list(plain)
+        known.update(zip(todo, self._raw([x if x[0] == "\n" else " " + x for x in todo]), strict=True))
+        ends = self.ends
+        for piece, base, end in ended:
+            known[piece] = known[base] + ends[end]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > self.kept:
+            self.old, self.new = self.new, {}
         cut = [self.pieces(t) for t in texts]
         wanted = set().union(*[p[1:] for p in cut]) if cut else set()
         wanted.difference_update(self.new)
         if wanted:
             self._learn(wanted)
         heads = self._raw([p[0] if p else "" for p in cut])
-        get = self._get
-        known = self.new
-        out = []
-        for head, p in zip(heads, cut, strict=True):
-            try:
-                out.append(head + b"".join(map(known.__getitem__, p[1:])))
-            except KeyError:
-                out.append(head + b"".join(map(get, p[1:])))
-        return out
-
-    def _get(self, piece: str) -> bytes:
-        if piece not in self.new:
-            self._learn({piece})
-        return self.new[piece]
+        known = self.new.__getitem__
+        return [head + b"".join(map(known, p[1:])) for head, p in zip(heads, cut, strict=True)]
 
 
 def batches(texts: list[str], most_chars: int = 4_000_000, most_rows: int = 2_000):
