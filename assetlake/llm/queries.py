@@ -97,6 +97,17 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take(sizes, LEVELS, ends(sizes, LEVELS, weights, total, EPOCHS, SEED), SEED)
 
 
+#: Stands for a secret that a deployment passes in.
+KEY = b"a key for tests"
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.surrogates import pseudonymize
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pseudonymize(docs, KEY)
+
+
 def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlake.llm.syncmers import compare_with_edits
 
@@ -105,6 +116,7 @@ def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files,
+    "op3_pii_surrogates": pii_surrogates,
     "op4_token_counts": token_counts,
     "op5_url_filter": url_filter,
     "op6_best_fit_packing": best_fit,
