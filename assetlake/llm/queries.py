@@ -108,6 +108,12 @@ def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(docs, KEY)
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.jaccard_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlake.llm.syncmers import compare_with_edits
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": url_filter,
     "op6_best_fit_packing": best_fit,
     "op7_quality_rules": quality_rules,
+    "op8_jaccard_join": jaccard_join,
     "op9_mixing": mixing,
     "op10_syncmer_fingerprints": syncmer_fingerprints,
 }
