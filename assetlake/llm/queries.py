@@ -22,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.suffix_dedup import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlake.llm.token_files import read_token_files, token_digest, write_token_files
 
@@ -121,6 +127,7 @@ def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup,
     "op2_token_files": token_files,
     "op3_pii_surrogates": pii_surrogates,
     "op4_token_counts": token_counts,
