@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetlake.llm.columns import fresh
 from assetlake.llm.shingles import mixed, sets_of, text_slices
 from assetlake.session import materialize, materialize_counted
 
@@ -376,3 +377,20 @@ def link_documents(docs: DataFrame, percent: int = 80, width: int = 5, leaf: int
     linked = known.join(of_set, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = meta.where("s IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: the one with the smallest id stays, of several
+    rows with that id one. Rows without words are alone; of such rows with the same id and text one stays. All
+    columns are kept."""
+    row = fresh(docs.columns, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    ids = keyed.select(F.col(row).alias("doc_id"), "text")
+    # Every row is known by its hash here, so that rows without an id, or with the same one, are told apart.
+    parts = link_documents(ids, percent, width).select("doc_id", "component_id").distinct()
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("doc_id"))
+    known = keyed.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("long").alias("_id")).distinct()
+    best = parts.join(known, "doc_id").groupBy("component_id").agg(F.min(order).alias("_best"))
+    best = materialize(best.select(F.col("_best.doc_id").alias(row)), "kept-rows")
+    kept = keyed.join(best.hint("shuffle_hash"), row, "left_semi").dropDuplicates([row])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
