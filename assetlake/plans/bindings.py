@@ -244,9 +244,9 @@ def access(d) -> str:
 SELECT 'w' || cast({u} % 3 as string) AS run, {d.instant('ts')} AS timestamp, 'req-' || cast(event_id as string) AS request_id,
   CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'POST' WHEN 'signup' THEN 'PUT' WHEN 'error' THEN 'BREW' ELSE 'DELETE' END AS method,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE '/v1/' || event_type || '/{{id}}' END AS route,
-  CASE {u} % 6 WHEN 0 THEN '203.0.113.9' WHEN 1 THEN '127.0.0.1' WHEN 2 THEN '10.1.2.3' WHEN 3 THEN '::ffff:127.0.0.1' WHEN 4 THEN '::1' ELSE 'fd00::7' END AS peer_ip,
-  CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '198.51.100.' || cast({u} as string) || ', 10.0.0.2' WHEN 2 THEN '192.0.2.66, 203.0.113.' || cast({u} as string) || ', 10.0.0.2'
-    WHEN 3 THEN 'unknown, 10.0.0.2' WHEN 4 THEN '2001:db8::2, fd00::1' WHEN 5 THEN '10.0.0.' || cast({u} as string) || ',10.0.0.2' WHEN 6 THEN '' ELSE '198.51.100.300' END AS forwarded,
+  CASE {u} % 6 WHEN 0 THEN '8.20.30.40' WHEN 1 THEN '172.16.5.5' WHEN 2 THEN '192.168.2.3' WHEN 3 THEN '::ffff:172.16.5.5' WHEN 4 THEN 'fe80::5' ELSE 'fe80::7' END AS peer_ip,
+  CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '9.1.1.' || cast({u} as string) || ', 192.168.7.7' WHEN 2 THEN '9.9.9.9, 8.8.1.' || cast({u} as string) || ', 192.168.7.7'
+    WHEN 3 THEN 'nobody, 192.168.7.7' WHEN 4 THEN '2400:cb00::77, fe80::6' WHEN 5 THEN '192.168.1.' || cast({u} as string) || ',192.168.7.7' WHEN 6 THEN '' ELSE '9.1.1.300' END AS forwarded,
   CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN NULL ELSE 200 END AS status,
   CASE WHEN event_id % 13 = 0 AND event_type <> 'error' THEN 'cancelled' ELSE 'response' END AS outcome,
   event_id % 3000 AS duration_ms, event_id % 500 AS queue_dropped_records, value

@@ -313,10 +313,10 @@ def _(b):
 
 # --- logs ------------------------------------------------------------------------------------------
 
-TRUSTED = ["127.0.0.0/8", "10.0.0.0/8", "::1/128", "fd00::/8"]
-_PEER = "CASE user_id % 6 WHEN 0 THEN '203.0.113.9' WHEN 1 THEN '127.0.0.1' WHEN 2 THEN '10.1.2.3' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '::1' ELSE 'fd00::7' END"
-_CLIENT = f"""CASE WHEN user_id % 6 = 0 THEN '203.0.113.9' ELSE CASE event_id % 8 WHEN 1 THEN '198.51.100.' || cast(user_id AS VARCHAR) WHEN 2 THEN '203.0.113.' || cast(user_id AS VARCHAR)
-  WHEN 4 THEN '2001:db8::2' WHEN 5 THEN '10.0.0.' || cast(user_id AS VARCHAR) ELSE {_PEER} END END"""
+TRUSTED = ["172.16.0.0/12", "192.168.0.0/16", "fe80::/10"]
+_PEER = "CASE user_id % 6 WHEN 0 THEN '8.20.30.40' WHEN 1 THEN '172.16.5.5' WHEN 2 THEN '192.168.2.3' WHEN 3 THEN '172.16.5.5' WHEN 4 THEN 'fe80::5' ELSE 'fe80::7' END"
+_CLIENT = f"""CASE WHEN user_id % 6 = 0 THEN '8.20.30.40' ELSE CASE event_id % 8 WHEN 1 THEN '9.1.1.' || cast(user_id AS VARCHAR) WHEN 2 THEN '8.8.1.' || cast(user_id AS VARCHAR)
+  WHEN 4 THEN '2400:cb00::77' WHEN 5 THEN '192.168.1.' || cast(user_id AS VARCHAR) ELSE {_PEER} END END"""
 
 
 @query("client_ip", f"SELECT 'req-' || cast(event_id AS VARCHAR) AS request_id, {_CLIENT} AS client_ip FROM events")

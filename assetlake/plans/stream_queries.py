@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetlake.plans.bindings import BINDINGS
 from assetlake.plans.bound import Bound, query
 from assetlake.plans.dialects import SparkText
+from assetlake.operators.ledger import LEGAL
 from assetlake.plans.publication_queries import TRUSTED, _CLIENT, _OUTBOX, _pending
 from assetlake.plans.source_queries import journal_files
 from assetlake.session import scratch_path
@@ -58,16 +59,38 @@ def _(b):
 
 @query(
     "stream_submissions",
-    "SELECT run, key, count(*) AS accepted FROM (SELECT DISTINCT run, key FROM requests WHERE key IS NOT NULL) GROUP BY 1, 2",
+    "SELECT run, key, CASE WHEN key IS NULL THEN count(*) ELSE 1 END AS accepted FROM requests GROUP BY 1, 2",
     "requests",
 )
 def _(b):
-    rows = streamed(b, "requests", "events").where("key IS NOT NULL")
-    done = landed(b, streams.stream_submissions(rows, "60 days"))
+    done = landed(b, streams.stream_submissions(streamed(b, "requests", "events"), "60 days"))
     return done.groupBy("run", "key").agg(F.count(F.lit(1)).alias("accepted"))
 
 
-@query("stream_jobs", None)
+_LEGAL = ", ".join(f"('{old or ''}', '{new}')" for old, new in LEGAL)
+_FAILS = "s = 'running' AND status = 'completed' AND (failure IS NOT NULL OR greatest(f, failed) > 0)"
+_STEP = f"""
+  SELECT run, job_id, n, seq, s AS from_status, t AS to_status, why AS failure, ok AS accepted,
+    CASE WHEN ok THEN t ELSE s END AS s, CASE WHEN ok THEN greatest(f, failed) ELSE f END AS f
+  FROM (
+    SELECT *, (s, t) IN ({_LEGAL}) OR (s IN ('running', 'cancelling') AND t = 'failed'
+      AND coalesce(why, '') = 'service_interrupted') AS ok
+    FROM (
+      SELECT *, CASE WHEN {_FAILS} THEN 'failed' ELSE status END AS t,
+        CASE WHEN {_FAILS} THEN coalesce(failure, 'partial_failure') ELSE failure END AS why
+      FROM ({{}})))"""
+_FIRST = "SELECT *, '' AS s, cast(0 AS BIGINT) AS f FROM ordered WHERE n = 1"
+_NEXT = """SELECT o.*, p.s, p.f FROM steps p JOIN ordered o ON o.run = p.run AND o.job_id = p.job_id AND o.n = p.n + 1"""
+
+
+@query(
+    "stream_jobs",
+    f"""WITH RECURSIVE ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY run, job_id ORDER BY seq) AS n FROM history),
+    steps AS ({_STEP.format(_FIRST)} UNION ALL {_STEP.format(_NEXT)})
+    SELECT run, job_id, seq, from_status, to_status, failure, accepted FROM steps""",
+    "history",
+)
 def _(b):
     for key, value in streams.STATE_STORE.items():
         b.spark.conf.set(key, value)

@@ -34,47 +34,49 @@ def stream_summary(journal_lines: DataFrame) -> DataFrame:
 
 
 def stream_submissions(requests: DataFrame, keep: str = "7 days") -> DataFrame:
-    """Each idempotency key once while it is remembered.
+    """Each idempotency key once while it is remembered, and every request without a key.
 
     The watermark bounds the state; a key may be accepted again after ``keep``.
     """
-    return (
-        requests.withColumn("digest", F.sha2("key", 256))
-        .withWatermark("submitted_at", keep)
-        .dropDuplicatesWithinWatermark(["run", "digest"])
-    )
+    rows = requests.withColumn("digest", F.sha2("key", 256)).withWatermark("submitted_at", keep)
+    keyed = rows.where("digest IS NOT NULL").dropDuplicatesWithinWatermark(["run", "digest"])
+    return keyed.unionByName(rows.where("digest IS NULL"))
 
 
 _LEGAL = {(old or "", new) for old, new in LEGAL}
 
 
 class JobState(StatefulProcessor):
-    """Applies legal status changes of one job as they arrive; rejected ones are emitted as such.
+    """Applies legal status changes of one job in the order of ``seq``; rejected ones are emitted as such.
 
-    Rows are taken batch by batch, so a job with very many steps never has to fit in memory. A step that
-    arrives after a later one was applied is rejected.
+    All steps of a job in a micro-batch are ordered before they are applied, so neither their order in files nor
+    the size of Arrow batches matters; the source's limit per trigger bounds them. A step that arrives in a later
+    micro-batch than one it precedes is rejected. A run that ends with a failure code or failed items has failed.
     """
 
+    def __init__(self, remembered_ms: int | None = None):
+        self.remembered_ms = remembered_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "status STRING, failed LONG, seq LONG")
+        self.state = handle.getValueState("job", "status STRING, failed LONG, seq LONG", self.remembered_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, failed, last = self.state.get() if self.state.exists() else ("", 0, -1)
-        for steps in rows:
-            out = []
-            for step in steps.sort_values("seq").itertuples(index=False):
-                new, failure = step.status, step.failure
-                failed_now = max(failed or 0, int(step.failed or 0))
-                if status == "running" and new == "completed" and failed_now > 0:
-                    new, failure = "failed", "partial_failure"
-                restart = status in ACTIVE and new == "failed" and failure == INTERRUPTED
-                legal = step.seq > last and ((status, new) in _LEGAL or restart)
-                out.append((*key, step.seq, status, new, failure, legal))
-                if legal:
-                    status, failed, last = new, failed_now, int(step.seq)
-            yield pd.DataFrame(out, columns=["run", "job_id", "seq", "from_status", "to_status", "failure", "accepted"])
-        if status:
+        steps = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        out, changed = [], False
+        for seq, new, count, failure in zip(steps["seq"], steps["status"], steps["failed"], steps["failure"]):
+            failure = None if pd.isna(failure) else failure
+            failed_now = max(failed or 0, 0 if pd.isna(count) else int(count))
+            if status == "running" and new == "completed" and (failed_now > 0 or failure is not None):
+                new, failure = "failed", failure or "partial_failure"
+            restart = status in ACTIVE and new == "failed" and failure == INTERRUPTED
+            legal = bool(seq > last and ((status, new) in _LEGAL or restart))
+            out.append((*key, seq, status, new, failure, legal))
+            if legal:
+                status, failed, last, changed = new, failed_now, int(seq), True
+        if changed:
             self.state.update((status, failed, last))
+        yield pd.DataFrame(out, columns=["run", "job_id", "seq", "from_status", "to_status", "failure", "accepted"])
 
     def close(self) -> None:
         pass
@@ -85,11 +87,17 @@ JOB_STEPS = (
 )
 
 
-def stream_jobs(steps: DataFrame) -> DataFrame:
-    """Status changes ``(run, job_id, seq, status, failed, failure)`` with what each one led to."""
+def stream_jobs(steps: DataFrame, remembered_ms: int | None = None) -> DataFrame:
+    """Status changes ``(run, job_id, seq, status, failed, failure)`` with what each one led to.
+
+    A finished job's state (one short row) is kept, since only it tells that a late step is no new job. With
+    ``remembered_ms`` it is forgotten that long after the last accepted step; that needs a continuous trigger, as
+    ``availableNow`` never ends with processing time.
+    """
     return steps.groupBy("run", "job_id").transformWithStateInPandas(
-        JobState(), outputStructType=JOB_STEPS, outputMode="Append", timeMode="None"
-    )
+        JobState(remembered_ms), outputStructType=JOB_STEPS, outputMode="Append",
+        timeMode="None" if remembered_ms is None else "ProcessingTime",
+    )
 
 
 def stream_outbox(
