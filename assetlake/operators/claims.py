@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,6 @@ from assetlake.session import materialize, materialize_counted
 
 _ORDER = ["resource_index", "position", "alias"]
 _MARK = "__dup"
-# Rows of one collision component that a single task may settle.
-COMPONENT_ROWS = 100_000
 
 
 def _split_key(key: Column) -> tuple[Column, Column, Column]:
@@ -37,30 +34,6 @@ def component_of(folded: Column) -> Column:
     return F.concat(folder, F.regexp_replace(stem, r"(?:__dup[0-9]+)+\z", ""), F.lit("\x00"), ext)
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Give each row of one component, in order, the first name that is free or holds its content."""
-    pdf = pdf.sort_values(_ORDER, kind="stable")
-    held: dict[str, tuple] = {}
-    places, kept = [], []
-    for folded, head, tail, size, sha in zip(pdf["folded"], pdf["_head"], pdf["_tail"], pdf["bytes"], pdf["sha256"]):
-        content = (size, sha)
-        n = 1
-        while True:
-            name = folded if n == 1 else f"{head}{_MARK}{n}{tail}"
-            owner = held.get(name)
-            if owner is None:
-                held[name] = content
-                places.append(n)
-                kept.append(True)
-                break
-            if owner == content:
-                places.append(n)
-                kept.append(False)
-                break
-            n += 1
-    return pdf.assign(_place=places, _kept=kept)
-
-
 _KEY = ["run", "component", "folded"]
 _DUP = r"(?s)\A(.+)__dup([2-9]|[1-9][0-9]{1,8})\z"
 
@@ -80,7 +53,7 @@ def _contested(rows: DataFrame) -> DataFrame:
     return children.join(keys.select(*_KEY), _KEY, "left_semi")
 
 
-def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def settle(rows: DataFrame) -> DataFrame:
     """The sequential rule for components of any size, as a fixpoint of joins and running counts.
 
     Within one key, outputs take its names in order, skipping names that another key's output holds. So
@@ -92,7 +65,7 @@ def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     holds with other content.
     """
     rows = rows.withColumn("t", F.struct(*_ORDER)).withColumn("content", F.struct("bytes", "sha256"))
-    base = materialize(rows, "large-components")
+    base = materialize(rows, "mixed-claims")
     lean = base.select(*_KEY, "t", "content", *_ORDER)
     edges = materialize(
         _contested(lean).withColumns(
@@ -109,11 +82,11 @@ def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
         )
         state = lean.join(met, [*_KEY, "content"]).withColumn("_new", (~F.col("same")).cast("long"))
         state = materialize(state.join(taken, _KEY, "left"), "state")
-        state = running(state, _KEY, order, sums={"_count": "_new"}, hot_rows=hot_rows)
+        state = running(state, _KEY, order, sums={"_count": "_new"})
         slot = F.col("_count") + F.col("same").cast("long") + F.coalesce("shift", F.lit(0))
         state = materialize(state.withColumn("slot", slot), "slots")
         held = edges.withColumn("_b", F.col("theirs").cast("long"))
-        held = running(held, _KEY, [F.col("n")], sums={"_upto": "_b"}, hot_rows=hot_rows)
+        held = running(held, _KEY, [F.col("n")], sums={"_upto": "_b"})
         held = held.withColumn("slot", F.col("n") - F.col("_upto") + F.col("_b"))
         held = materialize(held, "held")
         blank = [c for c in state.columns if c not in (*_KEY, "slot")]
@@ -126,7 +99,7 @@ def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
         )
         both = running(
             materialize(points.unionByName(marks), "points"), _KEY,
-            [F.col("slot"), F.col("_tie"), *order], sums={"_skipped": "_mark"}, hot_rows=hot_rows,
+            [F.col("slot"), F.col("_tie"), *order], sums={"_skipped": "_mark"},
         )
         placed = materialize(
             both.where("_mark = 0").withColumn("place", F.col("slot") + F.col("_skipped")).drop("_mark", "_tie"), "placed"
@@ -168,15 +141,13 @@ def settle_large(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return base.join(final, [*_KEY, "content"]).drop("t", "content")
 
 
-def claim_keys(wanted: DataFrame, component_rows: int | None = None, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def claim_keys(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their final ``path``, and ``(run, deduplicated, renamed)`` counts.
 
     Only the first output of each (folded key, content) can matter, so that pair is aggregated first.
     A component with one folded key is a plain numbering by first appearance, done with windows however
-    large it is. Components mixing several keys (``a`` next to a real ``a__dup2``) are settled in order:
-    small ones one per task, larger ones by :func:`settle_large`.
+    large it is. Components mixing several keys (``a`` next to a real ``a__dup2``) go to :func:`settle`.
     """
-    component_rows = COMPONENT_ROWS if component_rows is None else component_rows
     df = wanted.withColumn("folded", F.lower("key")).withColumn("component", component_of(F.col("folded")))
     rest = [c for c in wanted.columns if c not in ("run", "bytes", "sha256")]
     firsts = (
@@ -185,27 +156,14 @@ def claim_keys(wanted: DataFrame, component_rows: int | None = None, hot_rows: i
         .select("run", "component", "folded", "bytes", "sha256", "first.*", "_copies")
     )
     firsts = materialize(firsts, "claims")
-    shape = firsts.groupBy("run", "component").agg(
-        F.count(F.lit(1)).alias("_rows"), (F.min("folded") != F.max("folded")).alias("_mixed")
-    )
+    shape = firsts.groupBy("run", "component").agg((F.min("folded") != F.max("folded")).alias("_mixed"))
     mixed, any_mixed = materialize_counted(shape.where("_mixed"), "mixed-components")
     simple = firsts.join(mixed, ["run", "component"], "left_anti")
-    numbered = running(simple, ["run", "component"], [F.col(c) for c in _ORDER], row_number="_place", hot_rows=hot_rows)
+    numbered = running(simple, ["run", "component"], [F.col(c) for c in _ORDER], row_number="_place")
     settled = numbered.withColumn("_kept", F.lit(True))
-    small = mixed.where(F.col("_rows") <= component_rows)
-    if any_mixed and not small.isEmpty():
-        rows = firsts.join(small.select("run", "component"), ["run", "component"], "left_semi")
-        folder, stem, ext = _split_key(F.col("folded"))
-        rows = rows.withColumn("_head", F.concat(folder, stem)).withColumn(
-            "_tail", F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("."), ext))
-        )
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        done = rows.groupBy("run", "component").applyInPandas(_settle, f"{fields}, _place bigint, _kept boolean")
-        settled = settled.unionByName(done.select(*settled.columns))
-    large = mixed.where(F.col("_rows") > component_rows)
-    if any_mixed and not large.isEmpty():
-        rows = firsts.join(large.select("run", "component"), ["run", "component"], "left_semi")
-        settled = settled.unionByName(settle_large(rows, hot_rows).select(*settled.columns))
+    if any_mixed:
+        rows = firsts.join(mixed.select("run", "component"), ["run", "component"], "left_semi")
+        settled = settled.unionByName(settle(rows).select(*settled.columns))
     settled = materialize(settled, "settled")
     entries = (
         settled.where("_kept")

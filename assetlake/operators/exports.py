@@ -177,10 +177,10 @@ def partial_decision(summaries: DataFrame, allowances: Sequence[int]) -> DataFra
     return summaries.select("run", "failed", decision.alias("decision"))
 
 
-def resource_budget(outputs: DataFrame, limit: int, hot_rows: int | None = None) -> DataFrame:
+def resource_budget(outputs: DataFrame, limit: int) -> DataFrame:
     """First output of each resource whose running size exceeds the limit."""
     totals = running(
-        outputs, ["run", "output_directory"], [F.col("position")], sums={"running_bytes": "bytes"}, hot_rows=hot_rows
+        outputs, ["run", "output_directory"], [F.col("position")], sums={"running_bytes": "bytes"}
     )
     over = totals.where(F.col("running_bytes") > limit)
     first = over.groupBy("run", "output_directory").agg(

@@ -91,7 +91,7 @@ def cache_plan(wanted: DataFrame, index: DataFrame, max_bytes: int) -> DataFrame
 
 
 def lru_survivors(
-    index: DataFrame, max_bytes: int | None = None, max_entries: int | None = None, hot_rows: int | None = None
+    index: DataFrame, max_bytes: int | None = None, max_entries: int | None = None
 ) -> DataFrame:
     """Entries left after evicting the oldest (by access time, then identity) until both limits hold.
 
@@ -103,7 +103,6 @@ def lru_survivors(
         [F.col("accessed_at").desc(), F.col("identity").desc()],
         row_number="_n",
         sums={"_bytes": "bytes"},
-        hot_rows=hot_rows,
     )
     keep = F.lit(True)
     if max_bytes is not None:

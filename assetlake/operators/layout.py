@@ -211,7 +211,7 @@ def branches(located_outputs: DataFrame, textures: DataFrame) -> DataFrame:
 _NEEDS_STEM = ["bundle", "text_nested", "font", "nested"]
 
 
-def number_unnamed(branched: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def number_unnamed(branched: DataFrame) -> DataFrame:
     """``<Class>_<n>`` for objects whose key needs a name they do not have: ``(run, source_file, path_id, _number_stem)``.
 
     Numbers follow first appearance within ``(run, scope, class)``; one object gets one number.
@@ -225,7 +225,7 @@ def number_unnamed(branched: DataFrame, hot_rows: int | None = None) -> DataFram
     # Stored: the numbering looks at its input twice, and the input is a long way from the scan.
     first = materialize(first, "unnamed")
     numbered = running(
-        first, ["run", "_scope", "class_id"], [F.col("resource_index"), F.col("position")], row_number="_n", hot_rows=hot_rows
+        first, ["run", "_scope", "class_id"], [F.col("resource_index"), F.col("position")], row_number="_n"
     )
     return numbered.select(
         "run", "source_file", "path_id",
@@ -264,12 +264,12 @@ def layer_parts(parts: Column, class_id: Column, file_stem: Column, ext: Column)
     ).otherwise(parts)
 
 
-def object_keys(outputs: DataFrame, prefixes: Sequence[str] = DEFAULT_STRIP, hot_rows: int | None = None) -> DataFrame:
+def object_keys(outputs: DataFrame, prefixes: Sequence[str] = DEFAULT_STRIP) -> DataFrame:
     """Add ``_key_parts`` to every succeeded output that belongs to an object (null for the others)."""
     # Stored: three steps below read these rows, and behind them lies the parsing of the journal.
     rows = materialize(located(outputs, prefixes), "located")
     branched = branches(rows, texture_rule(rows))
-    numbers = number_unnamed(branched, hot_rows)
+    numbers = number_unnamed(branched)
     df = branched.join(numbers, ["run", "source_file", "path_id"], "left")
     df = df.withColumn("_stem", F.when(F.coalesce("_name", F.lit("")) != "", F.col("_name")).otherwise(F.col("_number_stem")))
     df = df.withColumn("_key_parts", object_parts(df))
@@ -371,10 +371,9 @@ def readable_keys(
     cues: DataFrame,
     prefixes: Sequence[str] = DEFAULT_STRIP,
     lowercase: bool = True,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every output of succeeded resources with its wanted key, one row per alias, ready to be claimed."""
-    keyed = cue_aliases(object_keys(outputs, prefixes, hot_rows), cue_names(outputs, cues))
+    keyed = cue_aliases(object_keys(outputs, prefixes), cue_names(outputs, cues))
     return fold_keys(keyed, lowercase).select(
         "run", "key", "resource_index", "position", "alias",
         F.concat_ws("/", "output_directory", "path").alias("local"),

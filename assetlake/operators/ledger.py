@@ -172,13 +172,13 @@ def admission(jobs: DataFrame, events: DataFrame, targets: DataFrame, max_queued
     )
 
 
-def retain(jobs: DataFrame, keep: int, hot_rows: int | None = None) -> DataFrame:
+def retain(jobs: DataFrame, keep: int) -> DataFrame:
     """Active jobs and the ``keep`` most recently updated terminal ones (0 keeps all)."""
     if keep == 0:
         return jobs
     done = F.col("status").isin(TERMINAL)
     ranked = running(
-        jobs.where(done), ["run"], [F.col("updated_at").desc(), F.col("id").desc()], row_number="_n", hot_rows=hot_rows
+        jobs.where(done), ["run"], [F.col("updated_at").desc(), F.col("id").desc()], row_number="_n"
     )
     return jobs.where(~done).unionByName(ranked.where(F.col("_n") <= keep).drop("_n"))
 
@@ -248,9 +248,9 @@ def delivery_status(pending: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def transitions(history: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def transitions(history: DataFrame) -> DataFrame:
     """Illegal status changes in a per-job history ``(run, job_id, seq, status, failed, failure)``."""
-    df = previous(history, ["run", "job_id"], [F.col("seq")], {"_from": "status", "_failed": "failed"}, hot_rows)
+    df = previous(history, ["run", "job_id"], [F.col("seq")], {"_from": "status", "_failed": "failed"})
     to, failure = F.col("status"), F.col("failure")
     legal = F.lit(False)
     for old, new in LEGAL:

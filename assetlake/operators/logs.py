@@ -212,11 +212,11 @@ def access_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def dropped_records(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def dropped_records(df: DataFrame) -> DataFrame:
     """Records lost per run, from the writer's cumulative counter; a counter that falls was restarted."""
     seen = previous(
         df.select("run", "timestamp", "request_id", "queue_dropped_records"),
-        ["run"], [F.col("timestamp"), F.col("request_id")], {"_before": "queue_dropped_records"}, hot_rows,
+        ["run"], [F.col("timestamp"), F.col("request_id")], {"_before": "queue_dropped_records"},
     )
     now, before = F.col("queue_dropped_records"), F.coalesce("_before", F.lit(0))
     lost = F.when(now >= before, now - before).otherwise(now)

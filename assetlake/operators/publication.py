@@ -168,22 +168,22 @@ def raw_paths(df: DataFrame, prefix: str = "raw") -> DataFrame:
     return df.withColumn("raw_path", F.when(ok, F.concat(F.lit(prefix + "/"), source)))
 
 
-def manifest_history(manifests: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def manifest_history(manifests: DataFrame) -> DataFrame:
     """Life of every key over the ordered versions of its target.
 
     ``uploads`` counts first appearance, content changes and returns after a gap; ``pruned_in`` is the
     first version without the key after its last appearance, if any.
     """
     versions = manifests.select("target", "version").distinct()
-    order = previous_values(versions, ["target"], [F.col("version")], {"_before": "version"}, hot_rows)
-    after = previous_values(versions, ["target"], [F.col("version").desc()], {"_after": "version"}, hot_rows)
+    order = previous_values(versions, ["target"], [F.col("version")], {"_before": "version"})
+    after = previous_values(versions, ["target"], [F.col("version").desc()], {"_after": "version"})
     known = order.select("target", "version", "_before").join(
         after.select("target", "version", "_after"), ["target", "version"]
     )
     rows = manifests.select("target", "version", "path", *_CONTENT).join(known, ["target", "version"])
     lagged = previous_values(
         rows, ["target", "path"], [F.col("version")],
-        {"_v": "version", **{f"_l_{c}": c for c in _CONTENT}}, hot_rows,
+        {"_v": "version", **{f"_l_{c}": c for c in _CONTENT}},
     )
     upload = F.col("_first") | ~F.col("_v").eqNullSafe(F.col("_before"))
     for c in _CONTENT:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import ascii_lower
-from assetlake.operators.windows import running
 from assetlake.violations import all_of, violation
 
 # Members per emitted segment: bounds what one task concatenates, however large the whole is.
-SEGMENT = 4096
+# The longest text or document that is put together in one row; what is longer is a violation.
+MAX_DOCUMENT = 256 << 20
 
 
 def bundle_dependencies(locations: DataFrame, asset_locations: DataFrame) -> DataFrame:
@@ -54,36 +54,46 @@ def _references(objects: DataFrame) -> DataFrame:
     return refs.select("run", "object_id", F.col("position").cast("long").alias("position"), "ref.file_id", "ref.path_id")
 
 
-def reassemble_chunks(objects: DataFrame, chunks: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Ordered chunk references replaced by their text and joined in order.
+def _parts(objects: DataFrame, chunks: DataFrame) -> DataFrame:
+    texts = chunks.select("run", "file_id", "path_id", "text")
+    return _references(objects).join(texts, ["run", "file_id", "path_id"], "left")
+
+
+def _text_sizes(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("run", "object_id").agg(
+        F.count(F.lit(1)).alias("chunks"), (F.count("text") == F.count(F.lit(1))).alias("_whole"),
+        F.sum(F.octet_length("text").cast("long")).alias("bytes"),
+    )
+
 
-    A text comes out whole, as consecutive segments of at most ``segment`` chunks: one row for all but
-    very long objects, and no task ever builds more than one segment.
+def reassemble_chunks(objects: DataFrame, chunks: DataFrame, max_bytes: int = MAX_DOCUMENT) -> DataFrame:
+    """Ordered chunk references replaced by their text and joined in order: one row per object.
+
+    Objects with a null or lost chunk, and texts of more than ``max_bytes`` bytes, are left out; both are in
+    :func:`chunk_violations`. Sizes are summed first, so no text beyond the limit is ever built.
     """
-    texts = chunks.select("run", "file_id", "path_id", "text")
-    return (
-        _references(objects)
-        .join(texts, ["run", "file_id", "path_id"])
-        .groupBy("run", "object_id", F.floor(F.col("position") / segment).alias("segment"))
-        .agg(
-            F.count(F.lit(1)).alias("chunks"),
-            F.sort_array(F.collect_list(F.struct("position", "text"))).alias("_parts"),
-        )
-        .select("run", "object_id", "segment", "chunks", F.array_join("_parts.text", "").alias("text"))
+    parts = _parts(objects, chunks)
+    fit = _text_sizes(parts).where(F.col("_whole") & (F.col("bytes") <= max_bytes)).select("run", "object_id", "chunks")
+    ordered = F.sort_array(F.collect_list(F.struct("position", "text")))
+    texts = parts.join(fit.select("run", "object_id"), ["run", "object_id"], "left_semi").groupBy("run", "object_id").agg(
+        F.count(F.lit(1)).alias("chunks"), ordered.alias("_parts")
     )
+    return texts.select("run", "object_id", "chunks", F.array_join("_parts.text", "").alias("text"))
 
 
-def chunk_violations(objects: DataFrame, chunks: DataFrame) -> DataFrame:
+def chunk_violations(objects: DataFrame, chunks: DataFrame, max_bytes: int = MAX_DOCUMENT) -> DataFrame:
     empty = objects.where(F.coalesce(F.size("chunks"), F.lit(0)) <= 0)
     refs = _references(objects)
     null_ref = refs.where(F.col("file_id").isNull() | F.col("path_id").isNull())
     missing = refs.where(F.col("file_id").isNotNull() & F.col("path_id").isNotNull()).join(
         chunks.select("run", "file_id", "path_id"), ["run", "file_id", "path_id"], "left_anti"
     )
+    long = _text_sizes(_parts(objects, chunks)).where(F.col("bytes") > max_bytes)
     return all_of(
         violation(empty, "no_chunks", F.col("object_id")),
         violation(null_ref, "null_chunk", F.col("object_id"), F.col("position")),
         violation(missing, "missing_chunk", F.col("object_id"), F.col("position")),
+        violation(long, "text_too_long", F.col("object_id"), F.col("bytes")),
     )
 
 
@@ -103,46 +113,52 @@ def cue_violations(tracks: DataFrame, waveforms: DataFrame) -> DataFrame:
     return violation(lost, "absent_waveform", F.concat_ws(":", "resource", F.col("cue_id").cast("string")), F.col("wave_id"))
 
 
-def merge_containers(objects: DataFrame, segment: int = SEGMENT, hot_rows: int | None = None) -> DataFrame:
-    """All behaviours of one timeline container as one document, ordered by name, then bundle order.
-
-    The document is emitted in segments of at most ``segment`` objects; the first one is the whole
-    document for all but very large containers. ``object_count`` and the identity are the container's.
-    """
+def _timeline_objects(objects: DataFrame) -> DataFrame:
     container = F.replace(F.col("container"), F.lit("\\"), F.lit("/"))
-    rows = (
+    unnamed = F.concat(F.lit("MonoBehaviour_#"), F.col("index").cast("string"))
+    return (
         objects.where((F.col("class_id") == 114) & (F.trim("container") != ""))
         .withColumn("container", container)
         .where(ascii_lower(F.col("container")).endswith(".playable"))
-        .withColumn(
-            "name",
-            F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(
-                F.concat(F.lit("MonoBehaviour_#"), F.col("index").cast("string"))
-            ),
-        )
-    )
-    group = ["run", "resource", "container"]
-    numbered = running(rows, group, [F.col("name"), F.col("index")], row_number="_n", hot_rows=hot_rows)
-    heads = numbered.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("object_count"),
-        F.min_by(F.struct("source_file", "path_id", "name"), "_n").alias("identity"),
-    )
-    parts = numbered.groupBy(*group, F.floor((F.col("_n") - 1) / segment).alias("segment")).agg(
-        F.sort_array(F.collect_list(F.struct("_n", "name", "data"))).alias("members")
+        .withColumn("name", F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(unnamed))
     )
-    document = F.to_json(
-        F.transform(
-            "members",
-            lambda m: F.struct(
-                m["name"].alias("name"),
-                F.lit("MonoBehaviour").alias("asset_type"),
-                F.parse_json(m["data"]).alias("data"),
-            ),
-        )
+
+
+_CONTAINER = ["run", "resource", "container"]
+
+
+def _container_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_CONTAINER).agg(F.sum(F.octet_length("data").cast("long")).alias("bytes"))
+
+
+def merge_containers(objects: DataFrame, max_bytes: int = MAX_DOCUMENT) -> DataFrame:
+    """All behaviours of one timeline container as one document, ordered by name, then bundle order.
+
+    One row per container with its ``identity`` (the first object's), ``object_count`` and ``document``:
+    ``{container, object_count, objects}``. Containers whose data exceed ``max_bytes`` bytes are left out and in
+    :func:`container_violations`; sizes are summed first, so none of them is ever built.
+    """
+    rows = _timeline_objects(objects)
+    fit = _container_sizes(rows).where(F.col("bytes") <= max_bytes).select(*_CONTAINER)
+    order = F.struct("name", "index")
+    merged = rows.join(fit, _CONTAINER, "left_semi").groupBy(*_CONTAINER).agg(
+        F.count(F.lit(1)).alias("object_count"),
+        F.min_by(F.struct("source_file", "path_id", "name"), order).alias("identity"),
+        F.sort_array(F.collect_list(F.struct("name", "index", "data"))).alias("members"),
     )
-    return parts.withColumn("objects", document).join(heads, group).select(
-        *group, "segment", "object_count", "identity", "objects"
+    members = F.transform(
+        "members",
+        lambda m: F.struct(
+            m["name"].alias("name"), F.lit("MonoBehaviour").alias("asset_type"), F.parse_json(m["data"]).alias("data")
+        ),
     )
+    document = F.to_json(F.struct("container", "object_count", members.alias("objects")))
+    return merged.select(*_CONTAINER, "object_count", "identity", document.alias("document"))
+
+
+def container_violations(objects: DataFrame, max_bytes: int = MAX_DOCUMENT) -> DataFrame:
+    long = _container_sizes(_timeline_objects(objects)).where(F.col("bytes") > max_bytes)
+    return violation(long, "document_too_long", F.concat_ws(":", "resource", "container"), F.col("bytes"))
 
 
 # The class whose items carry bytes inline, and the signature those bytes start with.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,36 +19,133 @@ MAX_PATTERN_BYTES = 2048
 COMPACT_EVERY = 16
 
 
+#: Classes by name inside brackets, and what Java calls them. Fixed values.
+_POSIX = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit",
+    "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper",
+    "xdigit": "XDigit",
+}
+_REPEAT = re.compile(r"[*+?]|\{\d+(?:,\d*)?\}")
+_GROUP = re.compile(r"\(\?P?<([A-Za-z_][\w.\[\]]*)>")
+_FLAGS = re.compile(r"\(\?([imsxu]*)(?:-([imsx]+))?([:)])")
+
+
+def _bracket(pattern: str, i: int) -> tuple[str, int]:
+    """The bracket class at ``i`` in Java's form, and where it ends."""
+    out, i = "[", i + 1
+    if pattern[i : i + 1] == "^":
+        out, i = out + "^", i + 1
+    if pattern[i : i + 1] == "]":  # a leading bracket stands for itself
+        out, i = out + r"\]", i + 1
+    while i < len(pattern):
+        ch = pattern[i]
+        named = re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:])
+        if ch == "]":
+            return out + "]", i + 1
+        if named and named[2] in _POSIX:
+            out, i = out + rf"\{'P' if named[1] else 'p'}{{{_POSIX[named[2]]}}}", i + named.end()
+        elif ch == "[":
+            inner, i = _bracket(pattern, i)
+            out += inner
+        elif pattern.startswith(("--", "~~"), i):
+            raise ValueError(f"unsupported class operation in pattern {pattern!r}")
+        elif ch == "\\":
+            out, i = out + pattern[i : i + 2], i + 2
+        else:
+            out, i = out + ch, i + 1
+    raise ValueError(f"unclosed class in pattern {pattern!r}")
+
+
 def java_pattern(pattern: str) -> str:
-    """Check one configured pattern and give ``$``, ``.`` and the classes their expected meaning.
+    """Check one configured pattern and write it so that Java gives it the expected meaning.
 
-    Look-around, back-references, atomic and possessive groups are refused: the patterns must be
-    matchable in linear time.
+    Without multi-line mode ``$`` is the very end; a dot and line anchors know the line feed only; a repetition may
+    be repeated; names of groups do not matter. Look-around, back-references, atomic and possessive groups are
+    refused: the patterns must be matchable in linear time.
     """
     if len(pattern.encode()) > MAX_PATTERN_BYTES:
         raise ValueError("pattern too long")
-    if re.search(r"(?<!\\)(?:\\\\)*(?:\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+)", pattern):
-        raise ValueError(f"unsupported construct in pattern {pattern!r}")
-    out, in_class, escaped = [], False, False
-    for ch in pattern:
-        if escaped:
-            escaped = False
-        elif ch == "\\":
-            escaped = True
+    out: list[str] = []
+    groups: list[tuple[int, bool]] = []  # where each open group starts, and the mode outside it
+    atom: int | None = None  # where the last repeatable item starts
+    repeated = lines = False
+    i = 0
+    while i < len(pattern):
+        ch, start, was = pattern[i], len(out), repeated
+        repeated = False
+        if ch == "\\":
+            if re.match(r"\\(?:[1-9]|k[<{']|G|Z|Q|R|X|N|h|H|K)|\\\Z", pattern[i:]):
+                raise ValueError(f"unsupported escape in pattern {pattern!r}")
+            wide = re.match(r"\\(?:[pP]\{[^}]*\}|x\{[0-9A-Fa-f]+\}|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})", pattern[i:])
+            token = wide[0] if wide else pattern[i : i + 2]
+            out.append(token)
+            atom, i = start, i + len(token)
         elif ch == "[":
-            in_class = True
-        elif ch == "]":
-            in_class = False
-        elif ch == "$" and not in_class:
-            ch = r"\z"
-        out.append(ch)
+            token, i = _bracket(pattern, i)
+            out.append(token)
+            atom = start
+        elif ch == "(":
+            flags = _FLAGS.match(pattern, i)
+            name = _GROUP.match(pattern, i)
+            inside = lines
+            if flags and (flags[1] or flags[2] or flags[3] == ":"):
+                on, off = flags[1].replace("u", ""), flags[2] or ""
+                inside = (lines or "m" in on) and "m" not in off
+                out.append(f"(?{on}{'-' + off if off else ''}{flags[3]}")
+                i = flags.end()
+                if flags[3] == ")":  # for the rest of the enclosing group
+                    lines, atom = inside, None
+                    continue
+            elif name:
+                out.append("(")
+                i = name.end()
+            elif pattern.startswith("(?", i):
+                raise ValueError(f"unsupported construct in pattern {pattern!r}")
+            else:
+                out.append("(")
+                i += 1
+            groups.append((start, lines))
+            lines, atom = inside, None
+        elif ch == ")":
+            if not groups:
+                raise ValueError(f"unopened group in pattern {pattern!r}")
+            atom, lines = groups.pop()
+            out.append(")")
+            i += 1
+        elif m := _REPEAT.match(pattern, i):
+            if atom is None:
+                raise ValueError(f"nothing to repeat in pattern {pattern!r}")
+            if was:
+                out[atom:] = ["(?:", *out[atom:], ")"]
+            i = m.end()
+            lazy = pattern[i : i + 1] == "?"
+            out.append(m[0] + "?" * lazy)
+            i, repeated = i + lazy, True
+        elif ch == "{":
+            raise ValueError(f"bad repetition in pattern {pattern!r}")
+        else:
+            out.append(r"\z" if ch == "$" and not lines else ch)
+            atom, i = (None if ch == "|" else start), i + 1
+    if groups:
+        raise ValueError(f"unclosed group in pattern {pattern!r}")
     return "(?Ud)" + "".join(out)
 
 
 def java_patterns(patterns: Sequence[str]) -> list[str]:
     if len(patterns) > MAX_PATTERNS:
         raise ValueError("too many patterns")
-    return [java_pattern(p) for p in patterns]
+    return [_compiled(java_pattern(p)) for p in patterns]
+
+
+def _compiled(pattern: str) -> str:
+    """Compile once on the driver, so that a bad pattern is an error here and not in a task."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:
+            raise ValueError(f"bad pattern {pattern!r}") from e
+    return pattern
 
 
 def matches_any(patterns: Sequence[str], *columns: Column) -> Column:

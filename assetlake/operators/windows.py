@@ -1,9 +1,8 @@
 """Ordered computations over groups of any size.
 
-A plain window puts a whole group into one task. These helpers first look at the largest group (one
-combined count): up to ``HOT_ROWS`` rows a plain window is used; beyond it the rows are range-partitioned
-by (group, order), stored once so that the chunk numbers are stable, and computed per chunk with
-per-chunk totals carried over, so no task ever holds more than one chunk of a group.
+A plain window puts a whole group into one task. These helpers store the rows once, range-partition them by
+(group, order), and compute per chunk with per-chunk totals carried over, so no task ever holds more than one
+chunk of a group. There is one path for all sizes.
 """
 
 from __future__ import annotations
@@ -16,27 +15,16 @@ from pyspark.sql import functions as F
 
 from assetlake.session import materialize
 
-HOT_ROWS = 1_000_000
 CHUNK = "_chunk"
 
 
-def chunked(df: DataFrame, group: Sequence[str], order: Sequence[Column], hot_rows: int | None = None) -> DataFrame:
-    """Add ``_chunk``: ascending along ``order`` within each group; a constant if no group is hot."""
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return df.withColumn(CHUNK, F.lit(0))
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(parts, -(-largest // hot_rows) * 2)
-    ranged = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
+def chunked(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Add ``_chunk``: ascending along ``order`` within each group. The result is stored, so chunk numbers stay."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df, "ordered").repartitionByRange(parts, *[F.col(g) for g in group], *order)
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
-def is_plain(df: DataFrame) -> bool:
-    """True when :func:`chunked` left everything in one chunk (a literal, known without a job)."""
-    return not df.schema[CHUNK].nullable
-
-
 def _same(group: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [left[g].eqNullSafe(right[g]) for g in group])
 
@@ -47,23 +35,19 @@ def running(
     order: Sequence[Column],
     row_number: str | None = None,
     sums: dict[str, str] | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Row number and/or inclusive running sums (``{new column: summed column}``) within each group.
 
     ``order`` must be unique within a group.
     """
     sums = sums or {}
-    df = chunked(df, group, order, hot_rows)
-    plain = is_plain(df)
-    w = Window.partitionBy(*group, *([] if plain else [CHUNK])).orderBy(*order)
+    df = chunked(df, group, order)
+    w = Window.partitionBy(*group, CHUNK).orderBy(*order)
     rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {name: F.sum(col).over(rows) for name, col in sums.items()}
     if row_number:
         new[row_number] = F.row_number().over(w).cast("long")
     out = df.withColumns(new)
-    if plain:
-        return out.drop(CHUNK)
     before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = {name: F.sum(col) for name, col in sums.items()}
     if row_number:
@@ -82,20 +66,16 @@ def previous(
     group: Sequence[str],
     order: Sequence[Column],
     columns: dict[str, str],
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Values of the preceding row of the group (``{new column: column}``); null on the first row.
 
     A boolean ``_first`` column tells the first row from a null value.
     """
-    df = chunked(df, group, order, hot_rows)
-    plain = is_plain(df)
-    w = Window.partitionBy(*group, *([] if plain else [CHUNK])).orderBy(*order)
+    df = chunked(df, group, order)
+    w = Window.partitionBy(*group, CHUNK).orderBy(*order)
     out = df.withColumns(
         {**{n: F.lag(c).over(w) for n, c in columns.items()}, "_first": F.row_number().over(w) == 1}
     )
-    if plain:
-        return out.drop(CHUNK)
     last_row = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group, CHUNK).orderBy(*order)))
     ends = last_row.groupBy(*group, CHUNK).agg(
         *[F.max_by(c, "_n").alias(f"_e_{n}") for n, c in columns.items()]

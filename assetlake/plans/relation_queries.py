@@ -50,12 +50,12 @@ _CONV = "c AS (SELECT 'c' || cast(conv_id % 3 AS VARCHAR) AS run, * FROM convers
     "reassemble_chunks",
     f"""WITH {_CONV}, good AS (SELECT *, (conv_id * 7 + turn) % 97 = 5 AS nulled FROM c WHERE conv_id % 37 <> 3),
     p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN nulled THEN 1 ELSE 0 END, turn DESC) - 1 AS position FROM good)
-    SELECT run, conv_id AS object_id, position // 3 AS segment, count(*) AS chunks, string_agg(text, '' ORDER BY position) AS text
-    FROM p WHERE NOT nulled AND (conv_id * 7 + turn) % 41 <> 0 GROUP BY 1, 2, 3""",
+    SELECT run, conv_id AS object_id, count(*) AS chunks, string_agg(text, '' ORDER BY position) AS text
+    FROM p GROUP BY 1, 2 HAVING bool_and(NOT nulled AND (conv_id * 7 + turn) % 41 <> 0)""",
 )
 def _(b):
     objects, chunks = chunked_objects(b)
-    return relations.reassemble_chunks(objects, chunks, segment=3)
+    return relations.reassemble_chunks(objects, chunks)
 
 
 @query(
@@ -106,9 +106,9 @@ def _(b):
       CASE WHEN turn % 3 = 2 THEN 'MonoBehaviour_#' || cast(conv_id * 100 + turn AS VARCHAR) ELSE role END AS name, conv_id * 100 + turn AS index, conv_id AS path_id, turn FROM conversations WHERE conv_id % 5 <> 1),
     n AS (SELECT *, row_number() OVER (PARTITION BY run, resource, container ORDER BY name, index) - 1 AS p, count(*) OVER (PARTITION BY run, resource, container) AS object_count,
       first_value(path_id) OVER (PARTITION BY run, resource, container ORDER BY name, index) AS first_id FROM o)
-    SELECT run, resource, container, p // 4 AS segment, object_count, any_value(first_id) AS first_id,
-      '[' || string_agg('{"name":"' || name || '","asset_type":"MonoBehaviour","data":{"a":[1,2],"t":' || cast(turn AS VARCHAR) || '}}', ',' ORDER BY p) || ']' AS objects
-    FROM n GROUP BY 1, 2, 3, 4, 5""",
+    SELECT run, resource, container, object_count, any_value(first_id) AS first_id,
+      '{"container":"' || container || '","object_count":' || object_count || ',"objects":[' || string_agg('{"name":"' || name || '","asset_type":"MonoBehaviour","data":{"a":[1,2],"t":' || cast(turn AS VARCHAR) || '}}', ',' ORDER BY p) || ']}' AS document
+    FROM n GROUP BY 1, 2, 3, 4""",
 )
 def _(b):
     objects = b.table("conversations").selectExpr(
@@ -117,7 +117,7 @@ def _(b):
         "114 AS class_id", "CASE WHEN turn % 3 = 2 THEN CASE WHEN turn = 2 THEN '' END ELSE role END AS name", "conv_id * 100 + turn AS index",
         "'f' AS source_file", "conv_id AS path_id", "'{\"t\": ' || cast(turn as string) || ', \"a\": [1, 2]}' AS data",
     )
-    return relations.merge_containers(objects, segment=4).withColumn("first_id", F.col("identity.path_id")).drop("identity")
+    return relations.merge_containers(objects).withColumn("first_id", F.col("identity.path_id")).drop("identity")
 
 
 @query(

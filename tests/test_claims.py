@@ -52,8 +52,8 @@ def cases(seed, runs, length, contents):
     return rows, expected
 
 
-def compare(spark, rows, expected, **limits):
-    entries, counts = claim_keys(spark.createDataFrame(rows, SCHEMA), **limits)
+def compare(spark, rows, expected):
+    entries, counts = claim_keys(spark.createDataFrame(rows, SCHEMA))
     got = {}
     for e in entries.collect():
         assert e.path not in got.setdefault(e.run, {})
@@ -68,18 +68,14 @@ def test_small_components(spark):
     compare(spark, *cases(1, 300, 14, 6))
 
 
-def test_components_settled_by_joins(spark):
-    compare(spark, *cases(2, 200, 16, 7), component_rows=0)
-
-
-def test_components_settled_by_joins_in_chunks(spark):
-    compare(spark, *cases(3, 3, 60, 30), component_rows=0, hot_rows=12)
+def test_large_components(spark):
+    compare(spark, *cases(3, 3, 60, 30))
 
 
 def test_one_hot_key_is_numbered_in_chunks(spark):
     rows = [("r", "same.png", i // 7, i % 7, 0, 1, f"c{i * 37 % 900}", "s") for i in range(2000)]
     seq = [(r[1], r[6]) for r in rows]
-    compare(spark, rows, {"r": sequential(seq)}, hot_rows=100)
+    compare(spark, rows, {"r": sequential(seq)})
 
 
 @pytest.mark.parametrize("lowercase", [True, False])

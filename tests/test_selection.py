@@ -64,7 +64,7 @@ def test_nothing_selected_is_a_violation(labelled):
     assert [v.code for v in selection.require_roots(locations, roots).collect()] == ["empty_selection"]
 
 
-@pytest.mark.parametrize("pattern", [r"(?=x)", r"(a)\1", r"(?<!a)b", "a" * 3000, r"a++"])
+@pytest.mark.parametrize("pattern", [r"(?=x)", r"(a)\1", r"(?<!a)b", "a" * 3000, r"(?>a)", r"(a", r"a)", r"*a", r"[a", r"a{x", r"[a--b]", r"\k<x>"])
 def test_unsupported_patterns_are_refused(pattern):
     with pytest.raises(ValueError):
         selection.java_pattern(pattern)
@@ -128,3 +128,22 @@ def test_closure_on_random_graphs(spark, monkeypatch):
         expected |= {(f"g{run}", i) for i in seen}
     got = selection.closure(spark.createDataFrame(roots, "run string, id long"), spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.run, r.id) for r in got.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize(
+    "pattern, text, found",
+    [
+        (r"(?m)^a$", "b\na\n", True), (r"^a$", "b\na\n", False), (r"a$", "a\n", False), (r"(?P<x_1>a)b", "ab", True),
+        (r"^[*+]$", "+", True), (r"^x{2}+$", "xxxx", True), (r"^x{2}+$", "xxx", False), (r"^a++$", "aaa", True),
+        (r"a[]$]b", "a]b", True), (r"a[]$]b", "a$b", True), (r"^[^]a]$", "a", False), (r"(?i:A$)", "a", True),
+        (r"(?m:a$)\nb$", "a\nb", True), (r"^[[:alpha:]_]+$", "a_b", True), (r"^\p{L}+$", "é", True), (r"^a.b$", "a\rb", True),
+    ],
+)
+def test_patterns_mean_what_they_say(spark, pattern, text, found):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(selection.matches_any([pattern], F.col("t"))).first()[0] is found
+
+
+def test_bad_patterns_fail_before_any_job(spark):
+    with pytest.raises(ValueError):
+        selection.matches_any([r"\p{Nonsense}"], F.col("t"))

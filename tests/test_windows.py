@@ -13,19 +13,24 @@ def rows(n, seed=1):
 
 
 def test_running_in_chunks(spark):
-    df = spark.createDataFrame(rows(800), "g string, o long, v long")
-    args = (["g"], [F.col("o").desc()])
-    plain = running(df, *args, row_number="n", sums={"s": "v"}).collect()
-    chunks = running(df, *args, row_number="n", sums={"s": "v"}, hot_rows=60).collect()
-    key = lambda r: (r.g, r.o, r.v, r.n, r.s)
-    assert sorted(map(key, plain)) == sorted(map(key, chunks))
+    table = rows(800)
+    got = running(spark.createDataFrame(table, "g string, o long, v long"), ["g"], [F.col("o").desc()], row_number="n", sums={"s": "v"})
+    want, seen = set(), {}
+    for g, o, v in sorted(table, key=lambda r: -r[1]):
+        n, s = seen.get(g, (0, 0))
+        seen[g] = (n + 1, s + v)
+        want.add((g, o, v, n + 1, s + v))
+    assert {(r.g, r.o, r.v, r.n, r.s) for r in got.collect()} == want
 
 
 def test_previous_in_chunks(spark):
-    df = spark.createDataFrame(rows(500, 2), "g string, o long, v long")
-    args = (["g"], [F.col("o")], {"p": "v"})
-    key = lambda r: (r.g, r.o, r.v, -1 if r.p is None else r.p, r._first)
-    assert sorted(map(key, previous(df, *args).collect())) == sorted(map(key, previous(df, *args, hot_rows=50).collect()))
+    table = rows(500, 2)
+    got = previous(spark.createDataFrame(table, "g string, o long, v long"), ["g"], [F.col("o")], {"p": "v"})
+    want, seen = set(), {}
+    for g, o, v in sorted(table, key=lambda r: r[1]):
+        want.add((g, o, v, seen.get(g), g not in seen))
+        seen[g] = v
+    assert {(r.g, r.o, r.v, r.p, r._first) for r in got.collect()} == want
 
 
 def test_eviction_equals_the_loop(spark):
@@ -38,6 +43,4 @@ def test_eviction_equals_the_loop(spark):
             del entries[min(entries, key=lambda i: (entries[i][1], i))]
         expected |= {(f"c{cache}", i) for i in entries}
     df = spark.createDataFrame(table, "cache_id string, identity string, bytes long, accessed_at long")
-    for hot in (None, 4):
-        got = {(r.cache_id, r.identity) for r in lru_survivors(df, 12, 5, hot_rows=hot).collect()}
-        assert got == expected
+    assert {(r.cache_id, r.identity) for r in lru_survivors(df, 12, 5).collect()} == expected
