@@ -13,6 +13,11 @@ from assetlake.sources import readers, writers
 _PART = 250
 
 
+def with_broken(docs: DataFrame, broken: str = "substring(value, 1, length(value) - 1)") -> DataFrame:
+    """Each document, and beside it a broken one under ``<run>_cut``."""
+    return docs.unionByName(docs.select(F.concat("run", F.lit("_cut")).alias("run"), F.expr(broken).alias("value")))
+
+
 def write_documents(df: DataFrame, path: str, name: str) -> str:
     """Text rows ``(run, value)`` to ``path/<name>/folder=<run>/``."""
     root = f"{path}/{name}"
@@ -27,7 +32,7 @@ def _catalog_files(b: Bound) -> str:
     docs = b.locations.groupBy(
         F.concat("run", F.lit("_"), F.floor(F.col("id") / _PART).cast("string")).alias("run")
     ).agg(F.to_json(F.struct(F.sort_array(F.collect_list(loc)).alias("locations"))).alias("value"))
-    return write_documents(docs, path, "locations")
+    return write_documents(with_broken(docs), path, "locations")
 
 
 @query(
@@ -49,29 +54,61 @@ def _(b):
         F.concat("run", F.lit("_"), F.coalesce(F.floor(F.col("id") / _PART).cast("string"), F.lit("x"))).alias("run"), "key"
     ).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     docs = per_key.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "ids")))).alias("value"))
-    return readers.read_keys(b.spark, write_documents(docs, scratch_path(b.spark, "keys"), "keys"))
+    return readers.read_keys(b.spark, write_documents(with_broken(docs), scratch_path(b.spark, "keys"), "keys"))
 
 
-@query(
-    "read_receipts",
-    "SELECT run || '_' || cast(id // 300 AS VARCHAR) AS run, relative_path, provider, bytes, stored_sha256, decrypted FROM receipts",
-    "receipts",
-)
-def _(b):
+def _receipt_files(b: Bound) -> str:
     asset = F.struct("relative_path", "provider", "bytes", "downloaded_sha256", "stored_sha256", "decrypted")
     docs = b.receipts.groupBy(F.concat("run", F.lit("_"), F.floor(F.col("id") / 300).cast("string")).alias("run")).agg(
         F.to_json(
             F.struct(
                 F.struct(F.lit("jp").alias("region"), F.lit("iOS").alias("platform")).alias("snapshot"),
-                F.lit("https://c.example/catalog_main.bin").alias("catalog_url"),
+                F.lit("https://c.example/catalog_main.bin").alias("catalog_url"), F.count(F.lit(1)).alias("bytes"),
+                F.lit("ab" * 32).alias("sha256"), F.lit("2024-05-06T07:08:09Z").alias("downloaded_at"),
                 F.struct(F.collect_list(asset).alias("assets"), F.sum("bytes").alias("total_bytes")).alias("update"),
             )
         ).alias("value")
     )
-    _, assets = readers.read_receipts(b.spark, write_documents(docs, scratch_path(b.spark, "receipts"), "receipt"))
+    return write_documents(with_broken(docs), scratch_path(b.spark, "receipts"), "receipt")
+
+
+@query(
+    "read_receipts",
+    "SELECT run || '_' || cast(id // 300 AS VARCHAR) AS run, relative_path, provider, bytes, stored_sha256, decrypted FROM receipts",
+    "receipts",
+)
+def _(b):
+    _, assets = readers.read_receipts(b.spark, _receipt_files(b))
     return assets.select("run", "relative_path", "provider", "bytes", "stored_sha256", "decrypted")
 
 
+@query(
+    "receipt_heads",
+    """SELECT run || '_' || cast(id // 300 AS VARCHAR) AS run, 'jp' AS region, 'jp' AS catalog_layout, count(*) AS bytes,
+      cast(sum(bytes) AS BIGINT) AS total_bytes FROM receipts GROUP BY 1""",
+    "receipts",
+)
+def _(b):
+    heads, _ = readers.read_receipts(b.spark, _receipt_files(b))
+    return heads.select("run", "region", "catalog_layout", "bytes", "total_bytes")
+
+
+@query(
+    "document_violations",
+    """SELECT 'bad_locations' AS code, run || '_' || cast(id // 250 AS VARCHAR) || '_cut' AS run, cast(1 AS BIGINT) AS n FROM locations GROUP BY 2
+    UNION ALL SELECT 'bad_receipts', run || '_' || cast(id // 300 AS VARCHAR) || '_cut', 1 FROM receipts GROUP BY 2
+    UNION ALL SELECT 'bad_manifests', run || '_cut', count(*) FROM previous GROUP BY 2
+    UNION ALL SELECT 'bad_ledgers', run || '_' || cast(position // 500 AS VARCHAR) || '_cut', 1 FROM jobs GROUP BY 2""",
+    "locations", "receipts", "previous", "jobs",
+)
+def _(b):
+    """Cut documents, manifest lines with text for a number, ledgers of an unknown version."""
+    places = {"locations": _catalog_files(b), "receipts": _receipt_files(b), "manifests": _manifest_files(b), "ledgers": _ledger_files(b)}
+    out = [readers.document_violations(b.spark, path, kind) for kind, path in places.items()]
+    both = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return both.groupBy("code", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
 def journal_files(b: Bound) -> str:
     """Journal lines per run; every eleventh line is cut short."""
     line = F.to_json(F.struct("cache_hit", "source", "output_directory", "source_sha256", "objects", "selected_objects", "skipped_objects", "outputs", "errors"))
@@ -105,14 +142,19 @@ def _(b):
     docs = b.totals.join(kinds, "run").select(
         "run", F.to_json(F.struct("schema_version", "succeeded", "failed", "output_files", "output_bytes", "payloads")).alias("value")
     )
-    rows = readers.read_summaries(b.spark, write_documents(docs, scratch_path(b.spark, "summaries"), "summary"))
+    rows = readers.read_summaries(b.spark, write_documents(with_broken(docs), scratch_path(b.spark, "summaries"), "summary"))
     return rows.select("run", F.explode("payloads").alias("kind", "files"), "output_bytes", "succeeded")
 
 
+def _manifest_files(b: Bound) -> str:
+    docs = b.previous.select("run", F.to_json(F.struct("path", "bytes", "sha256", "content_type", "source", "kind")).alias("value"))
+    broken = with_broken(docs, r'''regexp_replace(value, '"bytes":[0-9]+', '"bytes":"many"')''')
+    return write_documents(broken, scratch_path(b.spark, "manifests"), "files")
+
+
 @query("read_manifest", "SELECT run, path, bytes, sha256, content_type, source FROM previous", "previous")
 def _(b):
-    docs = b.previous.select("run", F.to_json(F.struct("path", "bytes", "sha256", "content_type", "source", "kind")).alias("value"))
-    rows = readers.read_manifest(b.spark, write_documents(docs, scratch_path(b.spark, "manifests"), "files"))
+    rows = readers.read_manifest(b.spark, _manifest_files(b))
     missing = readers.read_manifest(b.spark, scratch_path(b.spark, "never-written"))
     return rows.unionByName(missing).select("run", "path", "bytes", "sha256", "content_type", "source")
 
@@ -127,8 +169,7 @@ def _(b):
     return rows.select(F.regexp_replace("run", "folder=", "").alias("run"), "length", "sha256", F.col("prefix8").cast("string").alias("prefix"))
 
 
-@query("read_ledger", "SELECT run || '_' || cast(position // 500 AS VARCHAR) AS run, id, region, profile, status, (epoch_us(updated_at) // 1000) AS updated_ms, completed, failed, total FROM jobs", "jobs")
-def _(b):
+def _ledger_files(b: Bound) -> str:
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     job = F.struct(
         F.col("position"), F.col("id"), F.struct("region", "profile", "operation").alias("request"), F.col("status"),
@@ -137,7 +178,13 @@ def _(b):
     docs = b.jobs.groupBy(F.concat("run", F.lit("_"), F.floor(F.col("position") / 500).cast("string")).alias("run")).agg(
         F.to_json(F.struct(F.lit(2).alias("schema_version"), F.sort_array(F.collect_list(job)).alias("jobs"))).alias("value")
     )
-    jobs, _ = readers.read_ledger(b.spark, write_documents(docs, scratch_path(b.spark, "ledgers"), "jobs"))
+    broken = with_broken(docs, r'''regexp_replace(value, '"schema_version":2', '"schema_version":3')''')
+    return write_documents(broken, scratch_path(b.spark, "ledgers"), "jobs")
+
+
+@query("read_ledger", "SELECT run || '_' || cast(position // 500 AS VARCHAR) AS run, id, region, profile, status, (epoch_us(updated_at) // 1000) AS updated_ms, completed, failed, total FROM jobs", "jobs")
+def _(b):
+    jobs, _ = readers.read_ledger(b.spark, _ledger_files(b))
     return jobs.select("run", "id", "region", "profile", "status", F.unix_millis("updated_at").alias("updated_ms"), "completed", "failed", "total")
 
 

@@ -71,21 +71,73 @@ def run_of() -> Column:
     return F.url_decode(F.replace(F.regexp_replace(folder, r"\A[^=]*=", ""), F.lit("+"), F.lit("%2B"))).alias("run")
 
 
+#: Per kind of document: its schema, and what must be there for it to be read at all.
+DOCUMENTS: dict[str, tuple[str, str]] = {
+    "locations": (f"locations ARRAY<{LOCATION}>", "d.locations IS NOT NULL"),
+    "receipts": (
+        RECEIPT,
+        "d.snapshot IS NOT NULL AND d.catalog_url IS NOT NULL AND d.bytes IS NOT NULL AND d.sha256 IS NOT NULL "
+        "AND d.downloaded_at IS NOT NULL AND (d.update IS NULL OR d.update.assets IS NOT NULL)",
+    ),
+    "summaries": (
+        SUMMARY,
+        "d.schema_version IS NOT NULL AND d.succeeded IS NOT NULL AND d.failed IS NOT NULL "
+        "AND d.output_files IS NOT NULL AND d.output_bytes IS NOT NULL",
+    ),
+    "ledgers": (
+        f"schema_version INT, jobs ARRAY<{JOB}>, completions ARRAY<{COMPLETION}>",
+        "d.schema_version IN (1, 2) AND d.jobs IS NOT NULL",
+    ),
+}
+_MANIFEST = "d.path IS NOT NULL AND d.bytes IS NOT NULL AND d.sha256 IS NOT NULL"
+
+
+def _parsed(rows: DataFrame, schema: str, required: str) -> DataFrame:
+    """``(run, file, value)`` with the parsed ``d`` and ``_good``: well-formed, of the right types, nothing missing."""
+    d = F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    good = F.expr(f"d IS NOT NULL AND d._bad IS NULL AND {required}")
+    return rows.withColumn("d", d).withColumn("_good", F.coalesce(good, F.lit(False)))
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file; a document is one value, so it is limited to 2 GiB."""
+    return spark.read.text(f"{path}/*/*", wholetext=True).select(run_of(), F.col("_metadata.file_name").alias("file"), "value")
+
+
+def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return _parsed(_whole_files(spark, path), *DOCUMENTS[kind]).where("_good").select("run", "d.*").drop("_bad")
+
+
+def document_violations(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Files (for ``manifests`` lines) that the reader of their kind leaves out: cut, of a wrong type, or without a
+    required field. A caller that must not go on without them passes this to ``require_none``."""
+    if kind == "keys":
+        rows = _whole_files(spark, path).withColumn("_good", _keys().isNotNull())
+    elif kind == "manifests":
+        lines = spark.read.text(f"{path}/*/*").select(run_of(), F.col("_metadata.file_name").alias("file"), "value")
+        rows = _parsed(lines, ENTRY, _MANIFEST)
+    else:
+        rows = _parsed(_whole_files(spark, path), *DOCUMENTS[kind])
+    return violation(rows.where("NOT _good"), f"bad_{kind}", F.col("file"), F.sha2("value", 256))
+
+
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(f"locations ARRAY<{LOCATION}>").json(f"{path}/*/*", multiLine=True)
-    return docs.select(run_of(), F.inline("locations"))
+    return _documents(spark, path, "locations").select("run", F.inline("locations"))
+
+
+def _keys() -> Column:
+    return F.from_json("value", "MAP<STRING, ARRAY<LONG>>")
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     """One row per (run, key, id); a key without locations keeps one row with a null id."""
-    docs = spark.read.text(f"{path}/*/*", wholetext=True)
-    keys = docs.select(run_of(), F.explode(F.from_json("value", "MAP<STRING, ARRAY<LONG>>")).alias("key", "ids"))
+    keys = _whole_files(spark, path).select("run", F.explode(_keys()).alias("key", "ids"))
     return keys.select("run", "key", F.explode_outer("ids").alias("id"))
 
 
 def read_receipts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Receipt heads and received files. Older receipts state no layout; they are of the first one."""
-    docs = spark.read.schema(RECEIPT).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
+    docs = _documents(spark, path, "receipts")
     heads = docs.select(
         "run", "snapshot.region", "snapshot.platform", "snapshot.resource_version", "snapshot.effective_cdn_root",
         "catalog_url", "bytes", "sha256", F.coalesce("catalog_layout", F.lit("jp")).alias("catalog_layout"),
@@ -100,12 +152,13 @@ def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     long_line = F.octet_length("value") + 1 > MAX_REPORT
     report = F.from_json("value", f"{REPORT}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
     parsed = lines.withColumn("r", F.when(~long_line, report))
-    good = F.col("r._bad").isNull() & F.col("r.source").isNotNull() & F.col("r.output_directory").isNotNull()
+    # All but ``cache_hit`` must be there.
+    good = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    for field in ("source", "output_directory", "source_sha256", "objects", "selected_objects", "skipped_objects", "outputs", "errors"):
+        good = good & F.col(f"r.{field}").isNotNull()
     good = F.coalesce(good, F.lit(False))
-    empty = F.array().cast(f"ARRAY<{OUTPUT}>")
-    journal = parsed.where(good).select("run", "r.*").drop("_bad").withColumns(
-        {"outputs": F.coalesce("outputs", empty), "errors": F.coalesce("errors", F.array().cast("array<string>"))}
-    )
+    journal = parsed.where(good).select("run", "r.*").drop("_bad")
+    journal = journal.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
     bad = parsed.where(~good)
     return journal, violation(
         bad, F.when(long_line, F.lit("journal_line_too_long")).otherwise(F.lit("journal_line")),
@@ -118,18 +171,18 @@ def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SUMMARY).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
+    return _documents(spark, path, "summaries")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows; a place nothing was published to yet gives no rows."""
     try:
-        lines = spark.read.schema(ENTRY).json(f"{path}/*/*")
+        lines = spark.read.text(f"{path}/*/*").select(run_of(), "value")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"run STRING, {ENTRY}")
-    return lines.select(run_of(), "*")
+    return _parsed(lines, ENTRY, _MANIFEST).where("_good").select("run", "d.*").drop("_bad")
 
 
 def file_inventory(spark: SparkSession, root: str, digests: bool = True) -> DataFrame:
@@ -149,9 +202,7 @@ def file_inventory(spark: SparkSession, root: str, digests: bool = True) -> Data
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Jobs in ledger order and undelivered notices (one row per target) of every ledger."""
-    schema = f"schema_version INT, jobs ARRAY<{JOB}>, completions ARRAY<{COMPLETION}>"
-    docs = spark.read.schema(schema).json(f"{path}/*/*", multiLine=True).select(run_of(), "*")
-    docs = docs.where(F.col("schema_version").isin(1, 2))
+    docs = _documents(spark, path, "ledgers")
     rows = docs.select("run", F.posexplode("jobs").alias("position", "j"))
     jobs = rows.select(
         "run", F.col("position").cast("long").alias("position"), "j.id", "j.request.*", "j.status", "j.created_at",
