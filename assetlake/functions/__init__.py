@@ -1,4 +1,9 @@
-"""Scalar functions: Column in, Column out, all inside whole-stage code generation."""
+"""Scalar functions: Column in, Column out, built-in expressions only.
+
+Most are inside whole-stage code generation; those with lambdas (``let``, ``transform``, ``filter``, ``exists``) are
+interpreted row by row in the JVM.
+"""
+
 from assetlake.functions.addresses import ip_hex, ip_text, in_networks
 from assetlake.functions.digests import (
     canonical_json, fingerprint, hex32, multiset_digest, sha256_text, valid_digest,

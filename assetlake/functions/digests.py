@@ -34,10 +34,11 @@ def multiset_digest(row_digest: Column) -> Column:
     The eight 32-bit words of each row's SHA-256 are summed separately and the sums hashed again with
     the row count. It is a plain sum, so it is combined map-side and a group that holds a third of all
     rows costs no more than any other; an ordered concatenation would need the group in one task.
-    Sums stay exact up to 2**31 rows per group (ANSI mode raises beyond).
+    Sums are decimals, exact for any number of rows that a table can hold. It finds differences that happen; it is
+    no protection against somebody who makes rows for a given sum.
     """
     words = [
-        F.sum(F.conv(F.substring(row_digest, 1 + 8 * i, 8), 16, 10).cast("long")).cast("string")
+        F.sum(F.conv(F.substring(row_digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string")
         for i in range(8)
     ]
     return F.sha2(F.concat_ws(",", F.count(row_digest).cast("string"), *words), 256)

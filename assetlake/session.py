@@ -31,11 +31,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for cut points: the cluster's setting, else a local one for local mode only."""
+    """The shared folder for cut points: one the application has set itself, the cluster's setting, else a local one
+    for local mode only."""
+    own = spark.sparkContext.getCheckpointDir()
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = spark.sparkContext.getCheckpointDir()
+    plain = (root or "").rstrip("/").removeprefix("file:").replace("//", "/")
+    if own and not (plain and own.removeprefix("file:").replace("//", "/").startswith(plain)):
+        return own.rstrip("/")
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
