@@ -20,8 +20,8 @@ assert sys.byteorder == "little" and array("I").itemsize == 4  # the byte form o
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per generation; a worker holds two generations at most (about 200 MB).
-KEPT = 600_000
+#: Pieces kept per generation; a worker holds two generations at most (about 150 MB).
+KEPT = 450_000
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}
 _RUN = re.compile(r"\s\s")
@@ -60,6 +60,7 @@ class Encoder:
         self.lowers = lowers and drops
         self.ends = dict(zip(".,", self._raw([".", ","]), strict=True)) | {"": b""}
         self.letters: dict[str, bool] = {}
+        self.heads: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -109,6 +110,14 @@ class Encoder:
         for piece, base, end in ended:
             known[piece] = known[base] + ends[end]
 
+    def _heads(self, pieces: list[str]) -> list[bytes]:
+        """Ids of the pieces that begin a text, where no space stands before them."""
+        if len(self.heads) > self.kept:
+            self.heads = {"": b""}
+        todo = list({p for p in pieces if p not in self.heads})
+        self.heads.update(zip(todo, self._raw(todo), strict=True))
+        return [self.heads[p] for p in pieces]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.kept:
             self.old, self.new = self.new, {}
@@ -117,7 +126,7 @@ class Encoder:
         wanted.difference_update(self.new)
         if wanted:
             self._learn(wanted)
-        heads = self._raw([p[0] if p else "" for p in cut])
+        heads = self._heads([p[0] if p else "" for p in cut])
         known = self.new.__getitem__
         return [head + b"".join(map(known, p[1:])) for head, p in zip(heads, cut, strict=True)]
 
