@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlake.functions.binding import let
@@ -201,8 +201,8 @@ def rotate(df: DataFrame, period: str = "daily", keep: int | None = None) -> Dat
     if keep is None:
         return df
     periods = df.select("run", "period").distinct()
-    newest = periods.groupBy("run").agg(F.slice(F.sort_array(F.collect_list("period"), asc=False), 1, keep).alias("p"))
-    kept = newest.select("run", F.explode("p").alias("period"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(F.col("period").desc()))
+    kept = periods.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
     return df.join(kept, ["run", "period"], "left_semi")
 
 

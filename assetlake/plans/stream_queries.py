@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def streamed(b: Bound, binding: str, table: str) -> DataFrame:
     return b.spark.sql(text.replace("{id}", "{{id}}"), **{table: rows})
 
 
-def landed(b: Bound, df: DataFrame, mode: str = "append") -> DataFrame:
+def landed(b: Bound, df: DataFrame, mode: str = "append", keys: Sequence[str] = ("run",)) -> DataFrame:
     """Run a stream to its end into stored files and read them back."""
     out, state = scratch_path(b.spark, "stream"), scratch_path(b.spark, "stream-state")
     if mode == "append":
@@ -42,19 +44,30 @@ def landed(b: Bound, df: DataFrame, mode: str = "append") -> DataFrame:
     rows = b.spark.read.parquet(out)
     if mode == "append":
         return rows
-    newest = rows.groupBy("run").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("run", "_batch")]), "_batch").alias("r"))
-    return newest.select("run", "r.*")
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "_batch")]), "_batch").alias("r"))
+    return newest.select(*keys, "r.*")
 
 
 @query(
     "stream_summary",
     """WITH res AS (SELECT run, resource_index, any_value(failed) AS failed, count(*) AS n, sum(bytes) AS bytes FROM flat WHERE resource_index % 11 <> 6 GROUP BY 1, 2)
-    SELECT run, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, cast(sum(n) AS BIGINT) AS output_files, cast(sum(bytes) AS BIGINT) AS output_bytes FROM res GROUP BY 1""",
+    SELECT run, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed,
+      count(*) FILTER (NOT failed AND resource_index % 3 = 0) AS cache_hits, cast(sum(n) AS BIGINT) AS output_files,
+      cast(sum(bytes) AS BIGINT) AS output_bytes, cast(sum(n) AS BIGINT) AS unity_objects,
+      cast(sum(n - 1) AS BIGINT) AS selected_unity_objects, count(*) AS skipped_unity_objects FROM res GROUP BY 1""",
+    "flat",
+)
+def _(b):
+    return landed(b, streams.stream_summary(streams.stream_lines(b.spark, journal_files(b))), "update")
+
+
+@query(
+    "stream_payloads",
+    "SELECT run, kind, count(*) AS files FROM flat WHERE resource_index % 11 <> 6 GROUP BY 1, 2",
     "flat",
 )
 def _(b):
-    lines = streams.stream_lines(b.spark, journal_files(b))
-    return landed(b, streams.stream_summary(lines), "update").select("run", "succeeded", "failed", "output_files", "output_bytes")
+    return landed(b, streams.stream_payloads(streams.stream_lines(b.spark, journal_files(b))), "update", ["run", "kind"])
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from assetlake.operators.exports import export_totals
+from assetlake.operators.exports import export_totals, payload_counts
 from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL
 from assetlake.operators.logs import client_ip, normalize_access, rotation_period
 from assetlake.operators.snapshots import MAX_AGE_MS
@@ -33,6 +33,12 @@ def stream_summary(journal_lines: DataFrame) -> DataFrame:
     return export_totals(journal)
 
 
+def stream_payloads(journal_lines: DataFrame) -> DataFrame:
+    """Running numbers of outputs per run and kind; use with update or complete output mode."""
+    journal, _ = parse_journal(journal_lines)
+    return payload_counts(journal)
+
+
 def stream_submissions(requests: DataFrame, keep: str = "7 days") -> DataFrame:
     """Each idempotency key once while it is remembered, and every request without a key.
 
