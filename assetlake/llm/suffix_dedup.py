@@ -33,11 +33,11 @@ from assetlake.session import materialize, materialize_counted
 
 PREFIX, DOUBLE = 16, 32
 #: Rows of one representative that a task takes; more are salted.
-SALTED = 20_000
+SALTED = 4_000
 #: Representatives that are told to every task as salted, at most.
 MOST_SALTED = 50_000
 #: Passages looked at together, and rows ranked together.
-SEGMENT, CHUNK = 1 << 21, 100_000
+SEGMENT, CHUNK = 1 << 21, 50_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 24) - 1)
 
