@@ -8,7 +8,8 @@ a neighbour can lie.
    all others are done. The order puts frequent shingles (counted over all documents) last, so that a common passage
    brings nobody together.
 2. Pivots: of the sets that share a shingle of their beginnings, the smallest is the pivot; the sets that meet at the
-   same pivot are its region. A set is in as many regions as it has pivots, and any two sets within r meet in one.
+   same pivot are its region. A set leaves regions where it shares few shingles, as far as any two sets within r still
+   meet in one.
 3. Regions above ``leaf`` shingles are cut further: some members are sub-pivots, every member goes to the Voronoi
    cell of its nearest one, and also to each whose distance is within 2r of that, because only there a neighbour can
    be at home. This repeats; a region that cannot be cut (all within 2r) is dealt out as pairs of blocks.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetlake.llm.columns import fresh
@@ -236,47 +237,54 @@ def _cells(percent: int):
     return run
 
 
-def join_regions(members: DataFrame, percent: int, leaf: int = LEAF, most: int = MEMBERS) -> DataFrame:
-    """Links (``a``, ``b``) that span each region's components, from stored (``region``, ``s``, ``n``,
-    ``shingles``)."""
-    spark = members.sparkSession
-    found: list[DataFrame] = []
-    columns = ["region", "s", "n", "shingles"]
-    link = "a long, b long"
-
-    def small_and_large(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        sizes = rows.groupBy("region").agg(F.count("*").alias("_m"), F.sum("n").alias("_n"))
-        sizes, left = materialize_counted(sizes, "region-sizes", (F.col("_n") > leaf) | (F.col("_m") > most))
-        large = (F.col("_n") > leaf) | (F.col("_m") > most)
-        marked = rows.join(sizes, "region")
-        return marked.where(~large).select(*columns), marked.where(large).select(*columns, "_m", "_n"), left
-
-    rows, rounds = members, 0
-    while True:
-        small, large, left = small_and_large(rows)
-        found.append(materialize(small.groupBy("region").applyInArrow(_join_leaf(percent), link), "leaf-links"))
-        if not left:
-            break
-        # Sub-pivots: the members with the smallest seeded hashes, a bounded number per region.
-        seeded = F.struct(F.xxhash64(F.lit(rounds), "s").alias("at"), "s", "shingles")
-        pivots = large.groupBy("region", F.pmod(F.xxhash64(F.lit(-1), "s"), F.lit(SUB_PIVOTS)).alias("k")).agg(
-            F.min(seeded).alias("p")
-        )
-        pivots = pivots.groupBy("region").agg(F.collect_list(F.struct("p.s", "p.shingles")).alias("pivots"))
-        cells = large.select(*columns).join(pivots, "region").select(*columns, "pivots")
-        cells = materialize(
-            cells.mapInArrow(_cells(percent), "parent long, region long, s long, n long, shingles binary"), "cells"
-        )
-        # A cut that leaves a cell with most of the region does not pay; its members go to block pairs.
-        whole = large.groupBy("region").agg(F.first("_m").alias("_m")).withColumnRenamed("region", "parent")
-        worst = cells.groupBy("parent", "region").count().groupBy("parent").agg(
-            F.max("count").alias("_w"), F.sum("count").alias("_c")
-        )
-        stuck = whole.join(worst, "parent").where((5 * F.col("_w") > 4 * F.col("_m")) | (F.col("_c") > 3 * F.col("_m")))
-        stuck = materialize(stuck.select(F.col("parent").alias("region")), "stuck-regions")
-        found.append(_block_pairs(large.join(stuck, "region", "left_semi"), percent, leaf, most))
-        rows = cells.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select(*columns)
-        rows, rounds = materialize(rows, "regions"), rounds + 1
+def _split(rows: DataFrame, leaf: int, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of the regions that fit into a leaf, the others' (with ``_m`` members and ``_n`` shingles), and the number
+    of the others. ``rows`` is stored."""
+    sizes = rows.groupBy("region").agg(F.count("*").alias("_m"), F.sum("n").alias("_n"))
+    large = (F.col("_n") > leaf) | (F.col("_m") > most)
+    sizes, left = materialize_counted(sizes.where("_m > 1"), "region-sizes", large)
+    small = rows.join(sizes.where(~large).select("region"), "region", "left_semi")
+    return small, rows.join(sizes.where(large), "region"), left
+
+
+def join_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int = LEAF, most: int = MEMBERS) -> DataFrame:
+    """Links (``a``, ``b``) that span each region's components, from stored (``region``, ``s``, ``n``) and
+    (``s``, ``shingles``). Whole sets are attached to the members of a leaf only."""
+    columns, link = ["region", "s", "n", "shingles"], "a long, b long"
+
+    def joined(members: DataFrame) -> DataFrame:
+        return materialize(members.groupBy("region").applyInArrow(_join_leaf(percent), link), "leaf-links")
+
+    small, large, left = _split(regions, leaf, most)
+    found = [joined(small.join(sets, "s").select(*columns))]
+    if left:
+        rows, rounds = materialize(large.select("region", "s", "n").join(sets, "s").select(*columns), "large-regions"), 0
+        while True:
+            small, large, left = _split(rows, leaf, most)
+            if rounds:
+                found.append(joined(small))
+            if not left:
+                break
+            # Sub-pivots: the members with the smallest seeded hashes, a bounded number per region.
+            seeded = F.struct(F.xxhash64(F.lit(rounds), "s").alias("at"), "s", "shingles")
+            slot = F.pmod(F.xxhash64(F.lit(-1), "s"), F.lit(SUB_PIVOTS)).alias("k")
+            pivots = large.groupBy("region", slot).agg(F.min(seeded).alias("p"))
+            pivots = pivots.groupBy("region").agg(F.collect_list(F.struct("p.s", "p.shingles")).alias("pivots"))
+            cells = large.select(*columns).join(pivots, "region").select(*columns, "pivots")
+            cells = materialize(
+                cells.mapInArrow(_cells(percent), "parent long, region long, s long, n long, shingles binary"), "cells"
+            )
+            # A cut that leaves a cell with most of the region does not pay; its members go to block pairs.
+            whole = large.groupBy("region").agg(F.first("_m").alias("_m")).withColumnRenamed("region", "parent")
+            worst = cells.groupBy("parent", "region").count().groupBy("parent").agg(
+                F.max("count").alias("_w"), F.sum("count").alias("_c")
+            )
+            no_parts = (5 * F.col("_w") > 4 * F.col("_m")) | (F.col("_c") > 3 * F.col("_m"))
+            stuck = whole.join(worst, "parent").where(no_parts)
+            stuck = materialize(stuck.select(F.col("parent").alias("region")), "stuck-regions")
+            found.append(_block_pairs(large.join(stuck, "region", "left_semi"), percent, leaf, most))
+            rows = cells.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select(*columns)
+            rows, rounds = materialize(rows, "regions"), rounds + 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -351,19 +359,22 @@ def link_documents(docs: DataFrame, percent: int = 80, width: int = 5, leaf: int
     meta = third.where("h IS NULL").select("doc_id", "n", "s")
     shared = third.where("h IS NOT NULL").select("h", "s", "n").distinct().join(lists, "h")
     shared = materialize(shared, "shared")
-    t = F.call_function("div", F.col("n") * percent + 99, F.lit(100).cast("long"))
-    alive = shared.groupBy("s", "n").count().where(
-        F.col("count") >= 1 + F.call_function("div", t, F.lit(40).cast("long"))
-    ).select("s")
+    hundred, forty = F.lit(100).cast("long"), F.lit(40).cast("long")
+    must = 1 + F.call_function("div", F.call_function("div", F.col("n") * percent + 99, hundred), forty)
+    alive = shared.groupBy("s", "n").count().where(F.col("count") >= must).select("s")
     alive, n_alive = materialize_counted(alive, "possible-sets")
     met = materialize(shared.join(alive, "s", "left_semi"), "met")
     pivots = met.groupBy("h").agg(F.min("s").alias("region"), F.max("s").alias("_hi")).where("region != _hi")
-    regions = met.join(pivots.select("h", "region"), "h").select("region", "s", "n").distinct()
-    regions = materialize(regions, "regions")
+    regions = met.join(pivots.select("h", "region"), "h").groupBy("region", "s", "n").count()
+    # A set leaves the regions it meets by the fewest shingles, less than half of what it must share with a neighbour
+    # in all. As a neighbour does the same, at least one of their common shingles keeps them in one region.
+    fewest = Window.partitionBy("s").orderBy("count", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spare = F.call_function("div", must - 1, F.lit(2).cast("long"))
+    regions = regions.withColumn("_left", F.sum("count").over(fewest)).where(F.col("_left") > spare)
+    regions = materialize(regions.select("region", "s", "n"), "regions")
     sets = rows.mapInArrow(_whole_sets(width, send(filter_of(alive, "s", n_alive))), "s long, shingles binary")
     sets = sets.groupBy("s").agg(F.first("shingles").alias("shingles"))
-    members = materialize(regions.join(sets, "s").select("region", "s", "n", "shingles"), "members")
-    links = join_regions(members, percent, leaf, most)
+    links = join_regions(regions, sets, percent, leaf, most)
     labels = components(links)
     # The smallest id of each set, then of each component.
     known = meta.where("s IS NOT NULL")
