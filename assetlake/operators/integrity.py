@@ -11,6 +11,7 @@ from assetlake.functions import fingerprint, multiset_digest, safe_path, valid_d
 from assetlake.operators.exports import export_totals, payload_counts
 from assetlake.operators.selection import matches_policy
 from assetlake.operators.sides import side_by_side
+from assetlake.session import of_known_size
 from assetlake.violations import all_of, rule_violations, violation
 
 # Fixed values.
@@ -142,7 +143,7 @@ def summary_rules(summaries: DataFrame, max_failed: int = 0) -> DataFrame:
 
 def journal_rules(journal: DataFrame, summaries: DataFrame) -> DataFrame:
     """Directory names are the zero-padded index below the count; names and sources are unique."""
-    j = journal.join(summaries.select("run", "input_files"), "run", "left")
+    j = journal.join(of_known_size(summaries.select("run", "input_files"), "counts"), "run", "left")
     name = F.col("output_directory")
     index = F.when(name.rlike(r"\A[0-9]{1,18}\z"), name).cast("long")
     text = index.cast("string")
@@ -178,7 +179,9 @@ def failure_rules(journal: DataFrame, max_failed: int) -> DataFrame:
 
 def raw_only_rules(journal: DataFrame, summaries: DataFrame) -> DataFrame:
     """In raw-only mode a succeeded resource has exactly one output and no objects."""
-    rows = journal.where(F.size("errors") == 0).join(summaries.select("run", "raw_mode"), "run")
+    rows = journal.where(F.size("errors") == 0).join(
+        of_known_size(summaries.select("run", "raw_mode"), "modes"), "run"
+    )
     return rule_violations(
         rows.where(F.col("raw_mode") == "only"),
         F.col("source"),
@@ -198,7 +201,7 @@ def output_rules(
 ) -> DataFrame:
     """Per-output rules of succeeded resources."""
     ok = outputs.where(~F.col("failed")).join(
-        summaries.select("run", "acb_preserve", "usm_preserve", "raw_mode"), "run", "left"
+        of_known_size(summaries.select("run", "acb_preserve", "usm_preserve", "raw_mode"), "modes"), "run", "left"
     )
     kind = F.col("kind")
     raw = kind == "raw_bundle"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.functions import ancestors, ascii_lower, safe_relative
+from assetlake.session import of_known_size
 from assetlake.violations import all_of, violation
 
 # Provider ids as stored in catalogs, and the two path prefixes they use.
@@ -45,7 +46,9 @@ def resolve_paths(classified: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has one row per run: ``base`` directory and nullable ``placeholder``.
     """
-    df = classified.where(F.col("provider") != "logical").join(targets.select("run", "base", "placeholder"), "run", "left")
+    df = classified.where(F.col("provider") != "logical").join(
+        of_known_size(targets.select("run", "base", "placeholder"), "targets"), "run", "left"
+    )
     internal = F.col("internal_id")
 
     def under(prefix: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assetlake.functions import encode_segments, public_base_ok, safe_path
 from assetlake.operators.selection import matches_any
 from assetlake.operators.windows import previous as previous_values
+from assetlake.session import of_known_size
 from assetlake.violations import rule_violations
 
 _CONTENT = ["bytes", "sha256", "content_type"]
@@ -124,7 +125,7 @@ def locations_of(entries: DataFrame, runs: DataFrame, providers: Sequence[Mappin
             for p in providers
         ]
     )
-    df = entries.join(runs.select("run", "region", "publication_id"), "run").withColumn("p", F.explode(items))
+    df = entries.join(of_known_size(runs.select("run", "region", "publication_id"), "runs"), "run").withColumn("p", F.explode(items))
     region = F.col("region")
     prefix = _template(F.col("p.prefix"), region)
     prefix = F.when(F.col("p.stable"), prefix).otherwise(

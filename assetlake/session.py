@@ -67,3 +67,12 @@ def materialize_counted(df: DataFrame, label: str = "step", where: Column | None
     seen = Observation()
     df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def of_known_size(df: DataFrame, label: str = "facts") -> DataFrame:
+    """Store a table that has a row per run or so before it meets a large one.
+
+    The optimizer then knows its true size and sends it to the large table's tasks while it is small, instead of
+    dealing out the large table by run, where one run can hold most rows.
+    """
+    return materialize(df, label)
