@@ -155,8 +155,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all its columns."""
-    column = fresh(docs.columns, "_measures")
-    verdict = fresh([*docs.columns, column], "_kept")
-    judged = judge(materialize(measure(docs, column), "measured"), column, verdict)
-    return judged.where(F.col(verdict)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with all its columns.
+
+    Only measures are stored, not texts; rows meet their verdict by two hashes of id, text, language and source.
+    """
+    keys = [fresh(docs.columns, "_row"), fresh(docs.columns, "_check")]
+    hashes = [F.xxhash64(F.lit(i), "doc_id", "text", "lang", "source").alias(k) for i, k in enumerate(keys)]
+    measured = docs.select(*hashes, "lang", "source", measures(F.col("text")).alias("_m"))
+    good = judge(materialize(measured, "measures"), "_m", "_kept").where("_kept").select(*keys).distinct()
+    kept = docs.select("*", *hashes).join(good.hint("shuffle_hash"), keys, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
