@@ -277,8 +277,46 @@ def _mixing_sql() -> str:
     """
 
 
+_PASSAGES = """
+    WITH t AS (
+      SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    q AS (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM t WHERE n >= 50),
+    p AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS passage FROM q),
+    f AS (SELECT passage, min(doc_id) AS first FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    r AS (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new
+      FROM p JOIN f ON f.passage = p.passage WHERE first < doc_id),
+    k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+    s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 50 AS hi FROM k GROUP BY 1, 2),
+    c AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS upto FROM s)
+    SELECT t.doc_id, any_value(n) AS n_bytes, coalesce(sum(hi - lo), 0)::BIGINT AS n_removed, count(lo) AS n_spans,
+      sha256(unhex(coalesce(substr(any_value(x), 1, 2 * min(lo)) ||
+        string_agg(substr(x, 2 * hi + 1, 2 * (coalesce(upto, n) - hi)), '' ORDER BY lo), any_value(x)))) AS kept_sha256
+    FROM t LEFT JOIN c ON c.doc_id = t.doc_id GROUP BY 1
+    """
+_LINKS = """
+    WITH RECURSIVE t AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM p),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    common AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+    links AS (
+      SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    walk AS (SELECT doc_id, doc_id AS seen FROM t UNION SELECT walk.doc_id, y FROM walk JOIN links ON x = seen)
+    SELECT t.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id
+    FROM t JOIN walk ON walk.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY 1
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": _PASSAGES,
     "op5_url_filter": _url_sql(),
     "op7_quality_rules": _quality_sql(),
+    "op8_jaccard_join": _LINKS,
     "op9_mixing": _mixing_sql(),
 }
