@@ -43,11 +43,16 @@ def _grams(data: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def _whole(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    whole = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return np.array([whole], np.uint64), np.zeros(1, np.int64)
+
+
 def anchors(raw: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the closed syncmers; of a text shorter than ``k`` bytes, the whole text at 0."""
+    """Hashes and starts of the closed syncmers; of a text without any (all are shorter than 2 * ``k`` - ``s`` - 1
+    bytes), the whole text at 0."""
     if len(raw) < k:
-        whole = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-        return np.array([whole], np.uint64), np.zeros(1, np.int64)
+        return _whole(raw)
     data = np.frombuffer(raw, np.uint8)
     inner = _grams(data, s)
     n, w = len(raw) - k + 1, k - s + 1
@@ -58,6 +63,8 @@ def anchors(raw: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     if reach < w:
         least = np.minimum(least[:n], least[w - reach : w - reach + n])
     starts = np.flatnonzero((inner[:n] == least) | (inner[w - 1 : w - 1 + n] == least))
+    if not len(starts):
+        return _whole(raw)
     # A k-mer's hash from those of its two halves.
     return _mixed(inner[starts] * _MIX + inner[starts + k - s]), starts
 

@@ -233,4 +233,16 @@ def test_likeness_falls_with_the_share_of_common_text():
     assert shares[0] == 1.0 and shares[1] > 0.7 > shares[2] > 0.3 > shares[3] == 0.0
 
 
+def test_texts_around_the_width_of_an_anchor_have_fingerprints():
+    rnd = random.Random(11)
+    for length in range(1, 30):
+        texts = ["".join(rnd.choices("abcdefgh ", k=length)) for _ in range(40)]
+        found = {t: syncmers.fingerprint(t) for t in texts}
+        assert all(found.values())
+        if length >= 16:
+            assert len(set(found.values())) == len(found)
+            x, y = list(found.values())[:2]
+            assert syncmers.likeness(x, y) < 1.0 and syncmers.likeness(x, x) == 1.0 and syncmers.likeness(x, "") == 0.0
+
+
 assert DOCS.startswith("doc_id")
