@@ -2,9 +2,10 @@
 
 A text's k-mers are those of its UTF-8 bytes. A k-mer is a closed syncmer if the smallest of its s-mers (by hash)
 stands at its first or last place, so whether it is chosen depends on its own bytes only: equal passages have equal
-anchors wherever they stand. A fingerprint holds the ``size`` distinct anchors with the smallest hashes, each with
-the place of its first occurrence in the text as a fraction. Likeness is the estimated share of common anchors
-(the smallest hashes of both together), counted only for anchors whose places fit the same shift of position.
+anchors wherever they stand. A fingerprint holds the text's length and the ``size`` distinct anchors with the smallest
+hashes, each with the byte at which it first occurs. Likeness is the estimated share of common anchors (the smallest
+hashes of both together), counted only for anchors whose places fit the same shift of position, in bytes: lengths may
+differ as they like.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K, S, SIZE = 16, 8, 64
-#: Per anchor: 12 hexadecimal digits of hash, 3 of place.
-PART = 15
-PLACES = 4095
-#: Anchors count together if their shifts of place differ by at most this share of the text.
+#: Hexadecimal digits of a length or place in bytes; a text is one value, so below 2 GiB.
+PLACE = 8
+#: Per anchor: 12 hexadecimal digits of hash, then its place.
+PART = 12 + PLACE
+#: Anchors count together if their shifts of place differ by at most this share of the longer text.
 DRIFT = 0.08
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,12 +88,15 @@ def fingerprint(text: str, size: int = SIZE) -> str:
         near = values <= bound
         values, starts = values[near], starts[near]
     distinct, first = np.unique(values, return_index=True)
-    places = starts[first][:size] * PLACES // max(1, len(raw))
-    return "".join(f"{v:012x}{p:03x}" for v, p in zip(distinct[:size].tolist(), places.tolist(), strict=True))
+    places = starts[first][:size]
+    parts = (f"{v:012x}{p:0{PLACE}x}" for v, p in zip(distinct[:size].tolist(), places.tolist(), strict=True))
+    return f"{len(raw):0{PLACE}x}" + "".join(parts)
 
 
-def _read(fp: str) -> dict[int, int]:
-    return {int(fp[i : i + 12], 16): int(fp[i + 12 : i + PART], 16) for i in range(0, len(fp), PART)}
+def _read(fp: str) -> tuple[int, dict[int, int]]:
+    """Length and anchors."""
+    places = {int(fp[i : i + 12], 16): int(fp[i + 12 : i + PART], 16) for i in range(PLACE, len(fp), PART)}
+    return int(fp[:PLACE], 16), places
 
 
 def likeness(a: str, b: str, size: int = SIZE, drift: float = DRIFT) -> float:
@@ -100,12 +105,12 @@ def likeness(a: str, b: str, size: int = SIZE, drift: float = DRIFT) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = _read(a), _read(b)
+    (n, x), (m, y) = _read(a), _read(b)
     smallest = sorted(x.keys() | y.keys())[:size]
     shifts = sorted(x[h] - y[h] for h in smallest if h in x and h in y)
     best = lo = 0
     for hi, shift in enumerate(shifts):
-        while shift - shifts[lo] > drift * PLACES:
+        while shift - shifts[lo] > drift * max(n, m):
             lo += 1
         best = max(best, hi - lo + 1)
     return best / len(smallest)

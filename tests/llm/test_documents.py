@@ -233,6 +233,20 @@ def test_likeness_falls_with_the_share_of_common_text():
     assert shares[0] == 1.0 and shares[1] > 0.7 > shares[2] > 0.3 > shares[3] == 0.0
 
 
+def test_likeness_counts_all_common_anchors_whatever_the_lengths():
+    rnd = random.Random(10)
+    a, b = ("".join(rnd.choices("abcdefgh ", k=30_000)) for _ in range(2))
+    one = syncmers.fingerprint(a)
+    for short in (300, 1_500, 10_000):
+        edited = a[:20_000] + b[:short]
+        other = syncmers.fingerprint(edited)
+        x, y = (syncmers._read(f)[1] for f in (one, other))
+        smallest = sorted(x.keys() | y.keys())[: syncmers.SIZE]
+        assert syncmers.likeness(one, other) == sum(h in x and h in y for h in smallest) / len(smallest) > 0.35
+    inside = syncmers.likeness(one, syncmers.fingerprint(b[:4_000] + a))
+    assert inside > 0.7
+
+
 def test_texts_around_the_width_of_an_anchor_have_fingerprints():
     rnd = random.Random(11)
     for length in range(1, 30):
