@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Entities are found by pattern: e-mail and IPv4 addresses, payment card numbers with a valid check digit, telephone
-numbers, quoted or assigned hexadecimal secrets, and names after a title. Each is brought to a canonical form
+numbers (international ones behind + or 00, and the national forms of the languages here), quoted or assigned
+hexadecimal secrets, and names after a title (README has the limits). Each is brought to a canonical form
 (lower case, digits only ...). One keyed hash of type, canonical form and attempt gives a canonical surrogate, so
 the same entity has the same surrogate everywhere; every mention is then written in its own format (case and
 punctuation of the original, check digit recomputed, gender by the title, script letter by letter).
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,13 +38,48 @@ _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 #: What a text must hold to be looked at; every pattern below needs one of these.
 CANDIDATE = rf"[0-9@]|\b({_TITLE})\b"
 
+#: What may stand between two digits of a telephone number.
+_GAP = r"(?:[ \u00a0\u202f]?[()/\u2010-\u2013-]{1,2}[ \u00a0\u202f]?|[ \u00a0\u202f]{1,2}|\.)?"
+_NATIONAL = r"(?<!\d[.,/-])"
+#: A card-shaped run with a wrong check digit is no telephone number either.
+_NO_CARD = r"(?!\d{16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d)"
+_PHONE = "|".join([
+    # Behind a plus or 00. Where the length is known, digits that follow belong to something else; else 7 to 15 digits,
+    # but no plain number with a sign (seven digits without gaps, thousands, a decimal fraction).
+    rf"(?:\+|{_NO_CARD}(?P<zeros>00[ \u00a0\u202f]?))(?:1(?:{_GAP}\d){{10}}|3[34](?:{_GAP}\(0\))?(?:{_GAP}\d){{9}}"
+    rf"|44(?:{_GAP}\(0\))?(?:{_GAP}\d){{9,10}}"
+    rf"|(?!\d{{7}}(?!{_GAP}\d)|\d{{1,2}}([ .])\d{{3}}\2\d{{3}}(?!{_GAP}\d)|\d\.\d+(?!{_GAP}\d))[1-9](?:{_GAP}\d){{6,14}})(?!\w)",
+    # French; then German and British with an area code, or in one piece.
+    rf"{_NATIONAL}0[1-9]([ .\u00a0\u202f-]?)\d\d(?:\3\d\d){{3}}(?!\w)",
+    rf"{_NATIONAL}{_NO_CARD}(?:\(0[1-9]\d{{1,4}}\) ?|0[1-9]\d{{1,4}}(?: ?[/\u2010-\u2013-] ?|[ \u00a0]))(?:[ \u00a0-]?\d){{5,9}}(?!\w)",
+    rf"{_NATIONAL}0[1-9]\d{{8,10}}(?!\w)",
+    # Spanish: three threes (not with dots, which part thousands), or pairs at the end.
+    r"(?<!\d[ .,/-])(?:[6-9]\d\d([ -])\d{3}\4\d{3}|[6-9]\d\d([ .-])\d\d\5\d\d\5\d\d|[89]\d([ .-])\d{3}\6\d\d\6\d\d)(?![ .,-]?\d)(?!\w)",
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?!\d)",
+    # North American in one piece.
+    r"(?<![.,/=&#-])[2-9]\d{2}[2-9]\d{6}(?!\w)",
+    r"\+\d{8,15}(?!\d)",
+])
+PHONE = re.compile(rf"(?=[+(\d])(?<![\w+])(?:{_PHONE})")
+#: Calling codes: those of one and two digits, all others have three. Fixed values.
+CODE = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+#: Words inside a name that are no names themselves. Fixed values.
+PARTICLES = ["von", "van", "zu", "de", "del", "du", "di", "da", "dos", "des", "la", "las", "los", "der", "den", "dem"]
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES[:10])})(?:[^\S\n]+(?:{'|'.join(PARTICLES[10:])}))?[^\S\n]+|d['’](?=[^\W\d_]))"
+_LETTERS = r"(?:[^\W\d_][\u0300-\u036f]*)+"
+_JOINT = r"['’ʼ\u2010\u2011-]"
+_WORD = rf"{_LETTERS}(?:{_JOINT}{_LETTERS})*"
+#: After a title: white space with one line break at most, academic titles and particles.
+_BEFORE = rf"(?:[^\S\n]+\n?|\n)[^\S\n]*(?:(?:Dr|Dra|Prof|Ing|Dipl)\b\.?[^\S\n]+|{_PARTICLE})*"
+
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+")),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
     ("card", re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)")),
+    ("phone", PHONE),
     ("secret", re.compile(r"(?i)(?<=[\"'=: ])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9a-z])")),
-    ("name", re.compile(rf"\b(?P<title>{_TITLE})\b\.? (?P<name>[^\W\d_]+(?: [^\W\d_]+)?)")),
+    ("name", re.compile(rf"\b(?P<title>{_TITLE})\b\.?{_BEFORE}(?P<first>{_WORD})(?:[^\S\n]+(?P<second>{_PARTICLE}?{_WORD}))?")),
 ]
 
 ENTITY = "start: int, end: int, kind: string, gender: string, plain: string"
@@ -79,18 +116,29 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
                 plain = re.sub(r"\D", "", raw)
                 if luhn_sum(plain) % 10:
                     continue
+                # Behind a plus or 00 a run may pass by chance.
+                sign = a - (text[a - 1 : a] == "+")
+                if (sign < a or plain.startswith("00")) and PHONE.match(text, sign):
+                    continue
             elif kind == "phone":
-                plain = re.sub(r"\D", "", raw)
+                # The same number behind 00, behind a plus, and with a bracketed zero is one entity.
+                zeros = len(m["zeros"] or "")
+                a += zeros
+                sign = "+" if zeros or raw[0] == "+" else ""
+                plain = sign + re.sub(r"\D", "", raw[zeros:].replace("(0)", ""))
             elif kind == "secret":
                 plain = raw.lower()
             else:
-                parts = m["name"].split(" ")
-                parts = parts[: 1 + (len(parts) > 1 and parts[0][:1].isupper() and parts[1][:1].isupper())]
-                if not parts[0][:1].isupper():
+                first, second = m["first"], m["second"] or ""
+                if not first[:1].isupper():
                     continue
-                a = m.start("name")
-                b = a + len(" ".join(parts))
-                gender, plain = TITLES[m["title"]], " ".join(parts).lower()
+                bare = re.sub(r"(?<=.)['’]s$", "", first)
+                a = m.start("first")
+                b = a + len(bare)
+                if bare == first and re.split(r"\s+|^d['’]", second)[-1][:1].isupper():
+                    b = m.start("second") + len(re.sub(r"(?<=.)['’]s$", "", second))
+                gender, plain = TITLES[m["title"]], unicodedata.normalize("NFC", text[a:b]).lower()
+                plain = re.sub(r"\s+", " ", re.sub("[\u2010\u2011]", "-", re.sub("[’ʼ]", "'", plain)))
             if free(a, b):
                 out.append((a, b, kind, gender, plain))
     return sorted(out)
@@ -139,7 +187,8 @@ def like(char: str, s: Stream) -> str:
 
 def surrogate(key: bytes, kind: str, gender: str, plain: str, attempt: int) -> str:
     """The canonical surrogate. Later attempts of short e-mail names and names are longer, so one is always free."""
-    s = Stream(key, f"{kind}{gender}", plain, attempt)
+    digits = plain.lstrip("+")
+    s = Stream(key, f"{kind}{gender}", digits if kind == "phone" else plain, attempt)
     if kind == "email":
         head, _, last = plain.rpartition(".")
         user, at, host = head.partition("@")
@@ -151,8 +200,16 @@ def surrogate(key: bytes, kind: str, gender: str, plain: str, attempt: int) -> s
         body = plain[0] + "".join(str(s.below(10)) for _ in plain[1:-1])
         return body + str((10 - luhn_sum(body + "0") % 10) % 10)
     if kind == "phone":
-        keep = max(0, len(plain) - 10)  # the country code
-        return plain[:keep] + "".join(str(1 + s.below(9)) if i == 0 else str(s.below(10)) for i in range(len(plain) - keep))
+        # The calling code or the zero before an area code stays, and what tells the form of a national number.
+        code = CODE.match(digits) if plain != digits else re.match("0*", digits)
+        keep = len(code[0]) if code else 0
+        national = len(digits) if plain == digits and not keep else 0
+        keep += national == 9
+        out = digits[:keep]
+        for i in range(keep, len(digits)):
+            least = 2 if national == 10 and i in (0, 3) else int(i == keep)
+            out += str(least + s.below(10 - least))
+        return plain[: len(plain) - len(digits)] + out
     if kind == "secret":
         return "".join("0123456789abcdef"[s.below(16)] for _ in plain)
     script = "latin"
@@ -161,27 +218,33 @@ def surrogate(key: bytes, kind: str, gender: str, plain: str, attempt: int) -> s
     elif any("Ͱ" <= c <= "Ͽ" for c in plain):
         script = "greek"
     syllables, endings = SYLLABLES[script]
-    words = []
-    for i, _ in enumerate(plain.split(" ")):
+    words = re.split("([ '-])", plain)
+    for i in range(0, len(words), 2):
+        if i and (words[i] in PARTICLES or words[i] == "d" and words[i + 1 : i + 2] == ["'"]):
+            continue
         n = 2 + attempt // 2 + (i == 0 and attempt % 2)
-        words.append("".join(syllables[s.below(len(syllables))] for _ in range(n)))
+        words[i] = "".join(syllables[s.below(len(syllables))] for _ in range(n))
     words[0] += endings[gender]
-    return " ".join(words)
+    return "".join(words)
 
 
 def written(kind: str, raw: str, plain: str) -> str:
     """The canonical surrogate in the format of a mention."""
     if kind in ("card", "phone"):
-        digits, out = iter(plain), []
-        for c in raw:
+        digits, out = iter(plain.lstrip("+")), []
+        for c in re.findall(r"\(0\)|.", raw, re.S):
             out.append(next(digits, "") if c.isdigit() else c)
         return "".join(out) + "".join(digits)
     if kind == "ip":
         return plain
+    if kind == "name":
+        new, out = iter(re.split("[ '-]", plain)), []
+        for i, c in enumerate(re.split(rf"(\s+|{_JOINT})", raw)):
+            w = c if i % 2 else next(new, "")
+            out.append(w.upper() if raw.isupper() else w[:1].upper() + w[1:] if c[:1].isupper() else w)
+        return "".join(out)
     if raw.isupper():
         return plain.upper()
-    if kind == "name":
-        return " ".join(w[:1].upper() + w[1:] for w in plain.split(" "))
     if len(raw) == len(plain):
         return "".join(p.upper() if r.isupper() else p for r, p in zip(raw, plain, strict=True))
     return plain

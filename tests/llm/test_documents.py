@@ -81,6 +81,61 @@ def test_surrogates_are_distinct_and_the_same_everywhere(spark):
     assert surrogates.pseudonymize(frame, b"other").where("doc_id = 0").first().text != got[0].text
 
 
+FORMS = [
+    "+49 30 1234567", "+49 (30) 1234567", "+49 (0)30 1234567", "0049 30 1234567", "030/1234567", "(030) 123456", "0151 23456789",
+    "+33 1 23 45 67 89", "+33.1.23.45.67.89", "01 23 45 67 89", "0612345678", "+34 912 345 678", "912 345 678", "91 234 56 78",
+    "+44 20 7946 0958", "020 7946 0958", "07700 900123", "2225550199", "222-555-0199", "+1 (222) 555-0199", "+45 12 34 56 78",
+]
+
+
+def with_surrogates(text):
+    spans = [
+        {"start": a, "end": b, "kind": kind, "made": surrogates.surrogate(b"k", kind, gender, plain, 0)}
+        for a, b, kind, gender, plain in surrogates.find(text)
+    ]
+    return surrogates.replaced(text, spans)
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_telephone_numbers_of_each_language(form):
+    text = f"x {form}, 12 y"
+    (found,) = surrogates.find(text)
+    assert found[2] == "phone" and text[found[0] : found[1]] == form.removeprefix("00")
+    new = with_surrogates(text)
+    assert new != text and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    (again,) = surrogates.find(new)
+    assert again[:3] == found[:3]
+    assert again[4] == surrogates.surrogate(b"k", "phone", "", found[4], 0)
+
+
+def test_one_number_is_one_entity_in_all_its_international_forms():
+    forms = ["+49 30 1234567", "+49 (30) 1234567", "+49 (0)30/1234567", "0049 30 1234567", "+49301234567"]
+    assert {surrogates.find(f"tel {x}.")[0][4] for x in forms} == {"+49301234567"}
+
+
+@pytest.mark.parametrize("text", [
+    "+1000000", "+12.500.000 Euro", "+3.14159265", "01.02.2024 10:30", "912.345.678", "912 345 678 901", "0.2225550199",
+    "0.0123456789", "1700000000", "2024-01-15 10:20:30", "?id=2225550199", "3+4567890", "4556737586899856",
+    "0054994038693466", "0054 9940 3869 3466", "0123 4567 8901 2345",
+])
+def test_other_numbers_are_no_telephone_numbers(text):
+    assert surrogates.find(text) == []
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Frau Mueller-Luedenscheidt kommt", "Mueller-Luedenscheidt"), ("Mr. O'Brien left", "O'Brien"), ("Mr. O’Brien's car", "O’Brien"),
+    ("Mr  Smith", "Smith"), ("Mrs.\tAnna  Smith", "Anna  Smith"), ("Herr\nMüller", "Müller"), ("Frau Prof. Dr. Weber", "Weber"),
+    ("Herr Mu\u0308ller", "Mu\u0308ller"), ("Madame Jean-Luc L’Écuyer", "Jean-Luc L’Écuyer"), ("Monsieur d'Artagnan", "Artagnan"),
+    ("Señora de la Cruz", "Cruz"), ("Señor  Pérez-Reverte", "Pérez-Reverte"), ("Frau Ursula von der Leyen", "Ursula von der Leyen"),
+])
+def test_names_are_found_whole(text, name):
+    (found,) = surrogates.find(text)
+    assert found[2] == "name" and text[found[0] : found[1]] == name
+    new = with_surrogates(text)
+    assert new.startswith(text[: found[0]]) and new.endswith(text[found[1] :])
+    assert not {x for x in re.findall(r"\w{2,}", name) if x[0].isupper()} & set(re.findall(r"\w+", new))
+
+
 def test_surrogates_of_odd_rows(odd, none):
     got = surrogates.pseudonymize(odd, b"k", "n_replaced")
     assert got.columns == [c for c in odd.columns if c != "n_replaced"] + ["n_replaced"]
