@@ -126,6 +126,24 @@ def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.simhash_trie import link_by_fingerprint
+
+    return link_by_fingerprint(table(spark, sf_dir, "documents"))
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assetlake.llm.source_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup,
     "op2_token_files": token_files,
@@ -137,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard_join,
     "op9_mixing": mixing,
     "op10_syncmer_fingerprints": syncmer_fingerprints,
+    "op11_simhash_trie": simhash_trie,
+    "op12_vector_codes": vector_codes,
+    "op13_source_audit": source_audit,
 }
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -313,10 +334,91 @@ _LINKS = """
     """
 
 
+def _codes_sql() -> str:
+    from assetlake.llm.vector_codes import ENTRIES, PARTS, ROUNDS
+
+    steps = [f"""
+    b0 AS (
+      SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p
+      QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {ENTRIES})"""]
+    for n in range(ROUNDS + 1):
+        steps.append(f"""
+    d{n} AS (
+      SELECT vec_id, part, entry, x, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far
+      FROM p JOIN b{n} USING (part)),
+    a{n} AS (
+      SELECT vec_id, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far, any_value(x) AS x FROM d{n} GROUP BY 1, 2)""")
+        if n < ROUNDS:
+            steps.append(f"""
+    m{n} AS (
+      SELECT part, entry, k, floor(sum(x[k])::DOUBLE / count(*))::BIGINT AS v
+      FROM a{n}, unnest(range(1, len(x) + 1)) t(k) GROUP BY 1, 2, 3),
+    b{n + 1} AS (
+      SELECT part, entry, coalesce(any_value(g.e), any_value(b{n}.e)) AS e FROM b{n}
+      LEFT JOIN (SELECT part, entry, list(v ORDER BY k) AS e FROM m{n} GROUP BY 1, 2) g USING (part, entry) GROUP BY 1, 2)""")
+    return f"""
+    WITH v AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (
+      SELECT vec_id, part, x[part * (len(x) // {PARTS}) + 1:(part + 1) * (len(x) // {PARTS})] AS x
+      FROM v, unnest(range(0, {PARTS})) t(part)),{",".join(steps)},
+    h AS (
+      SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{ROUNDS}),
+    c AS (
+      SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+      FROM a{ROUNDS} GROUP BY 1)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM c JOIN v USING (vec_id), h
+    """
+
+
+def _audit_sql() -> str:
+    from assetlake.llm.source_audit import LEAST_DOCS, SCALE, TOP
+
+    def far(p: str, q: str) -> str:
+        return f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+    return f"""
+    WITH t AS (
+      SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    o AS (
+      SELECT lang, source, w, count(*) AS c, count(DISTINCT d) AS docs
+      FROM (SELECT d, lang, source, unnest(w) AS w FROM t) GROUP BY ALL),
+    k AS (SELECT lang, w, sum(c) AS c FROM o GROUP BY ALL HAVING sum(docs) >= {LEAST_DOCS}),
+    l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM t),
+    s AS (SELECT lang, source, sum(o.c) AS n FROM o SEMI JOIN k USING (lang, w) GROUP BY ALL),
+    p AS (
+      SELECT g.lang, g.source, k.w, coalesce(o.c, 0) AS c,
+        1 + ({SCALE}::HUGEINT * (coalesce(o.c, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) AS p,
+        1 + ({SCALE}::HUGEINT * (k.c + 2)) // (l.n + 2 * l.v) AS q
+      FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang
+      LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.w = k.w),
+    f AS (
+      SELECT a.lang, a.source, b.source AS item, sum({far('a.p', 'b.p')}) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+    r AS (
+      SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+      LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+      UNION ALL
+      SELECT lang, source, 'term', w, ({far('p', 'q')})::BIGINT FROM p WHERE c > 0 AND p > q),
+    n AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+    SELECT * FROM n WHERE part = 'pair' OR rank <= {TOP}
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": _PASSAGES,
     "op5_url_filter": _url_sql(),
     "op7_quality_rules": _quality_sql(),
     "op8_jaccard_join": _LINKS,
     "op9_mixing": _mixing_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_source_audit": _audit_sql(),
 }
