@@ -39,6 +39,12 @@ def valid_request(region: Column, profile: Column) -> Column:
     return region.isin(REGIONS) & (region != RESERVED_REGION) & profile.rlike(r"\A[A-Za-z0-9_-]{1,64}\z")
 
 
+def request_ok(key: Column, region: Column, profile: Column) -> Column:
+    """Whether a submission can be judged: a valid request, with no key or a valid one. Never null."""
+    good = valid_request(region, profile) & (key.isNull() | key.rlike(r"\A[A-Za-z0-9._:-]{1,128}\z"))
+    return F.coalesce(good, F.lit(False))
+
+
 def ledger_rules(jobs: DataFrame) -> DataFrame:
     rows = rule_violations(
         jobs,
@@ -123,9 +129,9 @@ def submissions(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     ``requests``: ``(run, position, key, region, profile, operation)``; a null key is never deduplicated.
     """
     key = F.col("key")
-    good = valid_request(F.col("region"), F.col("profile")) & (key.isNull() | key.rlike(r"\A[A-Za-z0-9._:-]{1,128}\z"))
+    good = request_ok(key, F.col("region"), F.col("profile"))
     request = F.struct("region", "profile", "operation")
-    df = requests.withColumn("_ok", F.coalesce(good, F.lit(False))).withColumn("_digest", F.sha2(key, 256))
+    df = requests.withColumn("_ok", good).withColumn("_digest", F.sha2(key, 256))
     known = jobs.where(F.col("idempotency_sha256").isNotNull()).groupBy(
         "run", F.col("idempotency_sha256").alias("_digest")
     ).agg(F.min_by(F.struct("id", "region", "profile", "operation"), "position").alias("_job"))

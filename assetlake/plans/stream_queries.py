@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from assetlake.plans.bindings import BINDINGS
-from assetlake.plans.bound import Bound, query
+from assetlake.plans.bound import ORACLES, Bound, query
 from assetlake.plans.dialects import SparkText
 from assetlake.operators.ledger import LEGAL
 from assetlake.plans.publication_queries import TRUSTED, _CLIENT, _OUTBOX, _pending
 from assetlake.plans.source_queries import journal_files
-from assetlake.session import scratch_path
+from assetlake.session import materialize, scratch_path
 from assetlake.streaming import streams
 
 
@@ -30,6 +32,11 @@ def streamed(b: Bound, binding: str, table: str) -> DataFrame:
     return b.spark.sql(text.replace("{id}", "{{id}}"), **{table: rows})
 
 
+def with_state_store(b: Bound) -> None:
+    for key, value in streams.STATE_STORE.items():
+        b.spark.conf.set(key, value)
+
+
 def landed(b: Bound, df: DataFrame, mode: str = "append", keys: Sequence[str] = ("run",)) -> DataFrame:
     """Run a stream to its end into stored files and read them back."""
     out, state = scratch_path(b.spark, "stream"), scratch_path(b.spark, "stream-state")
@@ -70,14 +77,11 @@ def _(b):
     return landed(b, streams.stream_payloads(streams.stream_lines(b.spark, journal_files(b))), "update", ["run", "kind"])
 
 
-@query(
-    "stream_submissions",
-    "SELECT run, key, CASE WHEN key IS NULL THEN count(*) ELSE 1 END AS accepted FROM requests GROUP BY 1, 2",
-    "requests",
-)
+@query("stream_submissions", ORACLES["submissions"])
 def _(b):
-    done = landed(b, streams.stream_submissions(streamed(b, "requests", "events"), "60 days"))
-    return done.groupBy("run", "key").agg(F.count(F.lit(1)).alias("accepted"))
+    """The rows of the batch form, from requests that come as a stream after the jobs of the ledger."""
+    with_state_store(b)
+    return landed(b, streams.stream_submissions(streamed(b, "requests", "events"), b.jobs, "60 days"))
 
 
 _LEGAL = ", ".join(f"('{old or ''}', '{new}')" for old, new in LEGAL)
@@ -105,26 +109,49 @@ _NEXT = """SELECT o.*, p.s, p.f FROM steps p JOIN ordered o ON o.run = p.run AND
     "history",
 )
 def _(b):
-    for key, value in streams.STATE_STORE.items():
-        b.spark.conf.set(key, value)
+    with_state_store(b)
     return landed(b, streams.stream_jobs(streamed(b, "history", "events")))
 
 
+def _refused(notice: dict) -> str | None:
+    """Some targets are down."""
+    return "unreachable" if notice["identity"] < "4" else None
+
+
+def idle(q: StreamingQuery, limit: float = 600) -> None:
+    """Stops a query with a clock of its own when its source has no more to give."""
+    end = time.time() + limit
+    while time.time() < end:
+        done = q.lastProgress
+        if q.exception() is not None or done and done["batchId"] > 0 and done["numInputRows"] == 0:
+            break
+        time.sleep(0.1)
+    q.stop()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 @query(
     "stream_outbox",
-    f"WITH {_OUTBOX} SELECT run, job_id, identity, cast(1 AS BIGINT) AS deliveries FROM due",
+    f"""WITH {_OUTBOX}, o AS (SELECT *, identity < '4' AS down, row_number() OVER (
+        PARTITION BY run, identity ORDER BY completed_ms % 3, completed_ms, job_id) AS turn FROM due)
+    SELECT run, identity, job_id, completed_ms, turn, cast(1 AS BIGINT) AS attempt, CASE WHEN down THEN 'unreachable' END AS error
+    FROM o WHERE NOT down OR turn = 1""",
     "jobs", "job_targets", "acks",
 )
 def _(b):
-    """Notices arrive as files, twice over; each is delivered once."""
-    source, sent, acks = (scratch_path(b.spark, n) for n in ("notices", "sent", "acks"))
-    notices = _pending(b)
-    for _ in range(2):
-        notices.write.mode("append").parquet(source)
-    rows = b.spark.readStream.schema(notices.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    q = streams.stream_outbox(rows, acks, scratch_path(b.spark, "outbox-state"), lambda df: df.write.mode("append").parquet(sent))
-    q.awaitTermination()
-    return b.spark.read.parquet(sent).groupBy("run", "job_id", "identity").agg(F.count(F.lit(1)).alias("deliveries"))
+    """Notices come in three parts, then all of them again. Each is delivered once, within a part oldest first; targets
+    that are down get their oldest notice and then rest beyond the end of this run."""
+    with_state_store(b)
+    source, out, state = (scratch_path(b.spark, n) for n in ("notices", "attempts", "outbox-state"))
+    notices = materialize(_pending(b), "pending")
+    parts = [notices.where(F.unix_millis("completed_at") % 3 == n) for n in range(3)]
+    for part in [*parts, notices]:
+        part.coalesce(1).write.mode("append").parquet(source)
+    rows = b.spark.readStream.schema(notices.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    attempts = streams.stream_outbox(rows, _refused, retry_ms=86_400_000)
+    idle(attempts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start())
+    return b.spark.read.schema(streams.ATTEMPTS).parquet(out).drop("region")
 
 
 @query(

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from assetlake.operators.exports import export_totals, payload_counts
-from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL
+from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL, request_ok
 from assetlake.operators.logs import client_ip, normalize_access, rotation_period
 from assetlake.operators.snapshots import MAX_AGE_MS
-from assetlake.session import materialize
 from assetlake.sources.readers import parse_journal, run_of
 
 STATE_STORE = {
@@ -39,14 +40,104 @@ def stream_payloads(journal_lines: DataFrame) -> DataFrame:
     return payload_counts(journal)
 
 
-def stream_submissions(requests: DataFrame, keep: str = "7 days") -> DataFrame:
-    """Each idempotency key once while it is remembered, and every request without a key.
+class Submissions(StatefulProcessor):
+    """Judges the requests with one idempotency key: the first one owns it, later ones repeat it or conflict with it.
 
-    The watermark bounds the state; a key may be accepted again after ``keep``.
+    The owner is kept until the watermark has passed its time by ``keep_ms``; a job that was known at the start is kept
+    for good. Of the requests that come in one micro-batch before there is an owner, the one with the least position
+    becomes it; of these a position and a number are held (16 bytes each), whatever the key.
     """
-    rows = requests.withColumn("digest", F.sha2("key", 256)).withWatermark("submitted_at", keep)
-    keyed = rows.where("digest IS NOT NULL").dropDuplicatesWithinWatermark(["run", "digest"])
-    return keyed.unionByName(rows.where("digest IS NULL"))
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.owner = handle.getValueState("owner", "request STRING, position LONG, job_id STRING, until LONG")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.sort_values("position").iloc[0]
+        self.owner.update((first["request"], None, first["id"], None))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        numbers: dict[str, int] = {}
+        owned = self._known(timerValues)
+        waiting, first = [], None
+        for part in rows:
+            codes = np.array([numbers.setdefault(x, len(numbers)) for x in part["request"]], np.int32)
+            positions = part["position"].to_numpy(np.int64)
+            if owned is not None:
+                yield self._judged(key, positions, codes, numbers, owned)
+                continue
+            waiting.append((positions, codes))
+            n = int(np.argmin(positions))
+            if first is None or positions[n] < first[1]:
+                first = (part["request"].iloc[n], int(positions[n]), int(part["at"].iloc[n]))
+        if first is not None:
+            owned = (first[0], first[1], None, first[2] + self.keep_ms)
+            self.owner.update(owned)
+            self.handle.registerTimer(owned[3])
+            for positions, codes in waiting:
+                yield self._judged(key, positions, codes, numbers, owned, True)
+
+    def _known(self, timerValues) -> tuple | None:
+        """The owner, unless the watermark has passed it; its timer may only come at the end of the micro-batch."""
+        owned = self.owner.get() if self.owner.exists() else None
+        passed = owned is not None and owned[3] is not None and owned[3] <= timerValues.getCurrentWatermarkInMs()
+        return None if passed else owned
+
+    @staticmethod
+    def _judged(key, positions, codes, numbers, owned, opening=False) -> pd.DataFrame:
+        request, position, job_id, _ = owned
+        result = np.where(codes == numbers.get(request, -1), "reuse", "conflict").astype(object)
+        at_first = np.full(len(positions), position, object)
+        if opening:
+            new = positions == position
+            result[new], at_first[new] = "new", None
+        return pd.DataFrame(
+            {"run": key[0], "position": positions, "result": result, "job_id": job_id, "first_position": pd.array(at_first, "Int64")}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._known(timerValues) is None:
+            self.owner.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_submissions(requests: DataFrame, jobs: DataFrame | None = None, keep: str = "7 days") -> DataFrame:
+    """What each request leads to: ``run``, ``position``, ``result`` (``new``, ``reuse``, ``conflict`` or ``invalid``)
+    and the job or the position of the request that owns its key; like ``ledger.submissions``, as requests come in.
+
+    ``jobs``, a table, are those known before; requests without a key are always new. A key is remembered for ``keep``
+    after its first request, by the requests' own ``submitted_at``, and requests that come later than ``keep`` after
+    the newest are left out by the watermark.
+    """
+    rows = requests.withWatermark("submitted_at", keep)
+    good = request_ok(F.col("key"), F.col("region"), F.col("profile"))
+    request = F.to_json(F.array("region", "profile", "operation"))
+    keyed = rows.where(good & F.col("key").isNotNull()).select(
+        "run", F.sha2("key", 256).alias("digest"), "position", request.alias("request"), "submitted_at",
+        F.unix_millis("submitted_at").alias("at"),
+    )
+    known = None
+    if jobs is not None:
+        known = jobs.where(F.col("idempotency_sha256").isNotNull()).select(
+            "run", F.col("idempotency_sha256").alias("digest"), "position", request.alias("request"), "id"
+        ).groupBy("run", "digest")
+    span = F.expr(f"cast(interval '{keep}' as interval day to second)")
+    keep_ms = requests.sparkSession.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + span))).first()[0]
+    judged = keyed.groupBy("run", "digest").transformWithStateInPandas(
+        Submissions(keep_ms), outputStructType="run STRING, position LONG, result STRING, job_id STRING, first_position LONG",
+        outputMode="Append", timeMode="EventTime", initialState=known,
+    )
+    others = rows.where(~good | F.col("key").isNull()).select(
+        "run", F.col("position").cast("long").alias("position"), F.when(good, "new").otherwise("invalid").alias("result"),
+        F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("long").alias("first_position"),
+    )
+    return judged.unionByName(others)
 
 
 _LEGAL = {(old or "", new) for old, new in LEGAL}
@@ -106,35 +197,80 @@ def stream_jobs(steps: DataFrame, remembered_ms: int | None = None) -> DataFrame
     )
 
 
-def stream_outbox(
-    notices: DataFrame, acks_path: str, checkpoint: str, deliver: Callable[[DataFrame], None] | None = None
-) -> StreamingQuery:
-    """Deliver notices at least once and record each delivery.
+#: Sends one notice (a dict) to its target; gives an error code, or nothing when it was received.
+Deliver = Callable[[dict], "str | None"]
+ATTEMPTS = "run STRING, identity STRING, turn LONG, job_id STRING, region STRING, completed_ms LONG, attempt LONG, error STRING"
+
 
-    A batch replayed after a failure skips what is already recorded; a failure between delivery and
-    record delivers again, so receivers deduplicate by job. Within a target the order is by completion:
-    notices are range-partitioned in that order, so a target with very many of them spans several tasks.
+class Outbox(StatefulProcessor):
+    """Delivers the notices of one target, oldest first.
+
+    What is not yet received is kept with the target. After a failure the target rests for ``retry_ms``, with all its
+    notices, as later ones must not overtake; a timer wakes it. A notice that comes again is not sent again while it is
+    remembered (``keep_ms`` after its delivery). Only the ``head`` oldest notices are held in memory at a time.
     """
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        keys = ["run", "job_id", "identity"]
-        done = spark.read.schema("run STRING, job_id STRING, identity STRING").parquet(acks_path)
-        due = df.dropDuplicates(keys).join(done, keys, "left_anti")
-        order = ["run", "identity", "completed_at", "job_id"]
-        # Stored, so that exactly what was delivered is what gets recorded.
-        due = materialize(due.repartitionByRange(*order).sortWithinPartitions(*order), "due")
-        if deliver is not None:
-            deliver(due)
-        due.select(*keys).write.mode("append").parquet(acks_path)
-
-    empty = notices.sparkSession.createDataFrame([], "run STRING, job_id STRING, identity STRING")
-    empty.write.mode("append").parquet(acks_path)
-    return (
-        notices.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def __init__(self, deliver: Deliver, retry_ms: int, keep_ms: int, head: int = 1_000):
+        self.deliver, self.retry_ms, self.keep_ms, self.head = deliver, retry_ms, keep_ms, head
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "job_id STRING", "completed_ms LONG, region STRING")
+        self.received = handle.getMapState("received", "job_id STRING", "turn LONG", self.keep_ms)
+        self.target = handle.getValueState("target", "due LONG, attempts LONG, turns LONG")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for job_id, completed, region in zip(part["job_id"], part["completed_ms"], part["region"], strict=True):
+                if not self.received.containsKey((job_id,)):
+                    self.pending.updateValue((job_id,), (int(completed), region))
+        yield from self._sent(key, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._sent(key, timerValues.getCurrentProcessingTimeInMs())
+
+    def _oldest(self) -> list[tuple]:
+        waiting = ((completed, job_id, region) for (job_id,), (completed, region) in self.pending.iterator())
+        return heapq.nsmallest(self.head, waiting, key=lambda x: x[:2])
+
+    def _sent(self, key, now: int) -> Iterator[pd.DataFrame]:
+        due, attempts, turns = self.target.get() if self.target.exists() else (0, 0, 0)
+        out, error = [], None
+        while due <= now and error is None and (oldest := self._oldest()):
+            for completed, job_id, region in oldest:
+                turns, attempts = turns + 1, attempts + 1
+                notice = {"run": key[0], "identity": key[1], "job_id": job_id, "region": region, "completed_ms": completed, "attempt": attempts}
+                try:
+                    error = self.deliver(notice)
+                except Exception as failure:  # whatever a caller's function raises is a failed delivery, and is reported
+                    error = type(failure).__name__
+                out.append((*key, turns, job_id, region, completed, attempts, error))
+                if error is not None:
+                    due = now + self.retry_ms
+                    self.handle.registerTimer(due)
+                    break
+                self.pending.removeKey((job_id,))
+                self.received.updateValue((job_id,), (turns,))
+                attempts = 0
+        if out:
+            self.target.update((due, attempts, turns))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in ATTEMPTS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_outbox(notices: DataFrame, deliver: Deliver, retry_ms: int = 30_000, keep_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Delivers notices (``run``, ``identity``, ``job_id``, ``region``, ``completed_at``) at least once and gives a row
+    per attempt: ``turn`` (its place among the target's attempts), ``attempt`` (at this notice) and ``error``.
+
+    Each target is served by itself, oldest notice first, and rests for ``retry_ms`` after a failure. Nothing but the
+    target's own state is read in a micro-batch. A batch that is replayed after a failure delivers again, so receivers
+    deduplicate by job. Retries go by the clock: use a trigger that goes on, not ``availableNow``.
+    """
+    rows = notices.select("run", "identity", "job_id", "region", F.unix_millis("completed_at").alias("completed_ms"))
+    return rows.groupBy("run", "identity").transformWithStateInPandas(
+        Outbox(deliver, retry_ms, keep_ms), outputStructType=ATTEMPTS, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
