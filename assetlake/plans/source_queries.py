@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.plans.bound import Bound, query
-from assetlake.plans.publication_queries import _lines
+from assetlake.plans.publication_queries import _OUTBOX, _lines, _pending
 from assetlake.session import scratch_path
 from assetlake.sources import readers, writers
 
 _PART = 250
 
 
-def with_broken(docs: DataFrame, broken: str = "substring(value, 1, length(value) - 1)") -> DataFrame:
-    """Each document, and beside it a broken one under ``<run>_cut``."""
-    return docs.unionByName(docs.select(F.concat("run", F.lit("_cut")).alias("run"), F.expr(broken).alias("value")))
+def with_broken(docs: DataFrame, broken: str = "substring(value, 1, length(value) - 1)", lacking: str | None = None) -> DataFrame:
+    """Each document, beside it a broken one under ``<run>_cut``, and under ``<run>_gap`` one without what the pattern
+    ``lacking`` fits: a nested field."""
+    bad = {"cut": broken} | ({"gap": f"regexp_replace(value, r'{lacking}', '')"} if lacking else {})
+    out = docs
+    for name, value in bad.items():
+        out = out.unionByName(docs.select(F.concat("run", F.lit(f"_{name}")).alias("run"), F.expr(value).alias("value")))
+    return out
 
 
 def write_documents(df: DataFrame, path: str, name: str) -> str:
@@ -32,7 +37,7 @@ def _catalog_files(b: Bound) -> str:
     docs = b.locations.groupBy(
         F.concat("run", F.lit("_"), F.floor(F.col("id") / _PART).cast("string")).alias("run")
     ).agg(F.to_json(F.struct(F.sort_array(F.collect_list(loc)).alias("locations"))).alias("value"))
-    return write_documents(with_broken(docs), path, "locations")
+    return write_documents(with_broken(docs, lacking='"provider_id":"[^"]*",?'), path, "locations")
 
 
 @query(
@@ -59,17 +64,26 @@ def _(b):
 
 def _receipt_files(b: Bound) -> str:
     asset = F.struct("relative_path", "provider", "bytes", "downloaded_sha256", "stored_sha256", "decrypted")
+    stated = {
+        "region": "jp", "environment": "production", "platform": "iOS", "client_version": "1.2.3", "protocol_version": "7",
+        "resource_version": "42", "platform_hash": "cd" * 16, "effective_cdn_root": "https://c.example", "credential_ref": "main",
+        "observed_at": "2024-05-06T07:00:00Z", "source": "provider",
+    }
+    snapshot = F.struct(F.lit(1).alias("schema_version"), *[F.lit(v).alias(k) for k, v in stated.items()])
     docs = b.receipts.groupBy(F.concat("run", F.lit("_"), F.floor(F.col("id") / 300).cast("string")).alias("run")).agg(
         F.to_json(
             F.struct(
-                F.struct(F.lit("jp").alias("region"), F.lit("iOS").alias("platform")).alias("snapshot"),
+                snapshot.alias("snapshot"),
                 F.lit("https://c.example/catalog_main.bin").alias("catalog_url"), F.count(F.lit(1)).alias("bytes"),
                 F.lit("ab" * 32).alias("sha256"), F.lit("2024-05-06T07:08:09Z").alias("downloaded_at"),
-                F.struct(F.collect_list(asset).alias("assets"), F.sum("bytes").alias("total_bytes")).alias("update"),
+                F.struct(
+                    F.collect_list(asset).alias("assets"), F.sum("bytes").alias("total_bytes"), F.lit(0).alias("embedded_locations"),
+                    F.count(F.lit(1)).alias("logical_locations"),
+                ).alias("update"),
             )
         ).alias("value")
     )
-    return write_documents(with_broken(docs), scratch_path(b.spark, "receipts"), "receipt")
+    return write_documents(with_broken(docs, lacking='"stored_sha256":"[^"]*",'), scratch_path(b.spark, "receipts"), "receipt")
 
 
 @query(
@@ -95,25 +109,35 @@ def _(b):
 
 @query(
     "document_violations",
-    """SELECT 'bad_locations' AS code, run || '_' || cast(id // 250 AS VARCHAR) || '_cut' AS run, cast(1 AS BIGINT) AS n FROM locations GROUP BY 2
-    UNION ALL SELECT 'bad_receipts', run || '_' || cast(id // 300 AS VARCHAR) || '_cut', 1 FROM receipts GROUP BY 2
+    f"""WITH {_OUTBOX}, bad(part) AS (VALUES ('_cut'), ('_gap'))
+    SELECT code, run, cast(sum(n) AS BIGINT) AS n FROM (SELECT 'bad_locations' AS code, run || '_' || cast(id // 250 AS VARCHAR) || part AS run, cast(1 AS BIGINT) AS n FROM locations, bad GROUP BY 2
+    UNION ALL SELECT 'bad_receipts', run || '_' || cast(id // 300 AS VARCHAR) || part, 1 FROM receipts, bad GROUP BY 2
     UNION ALL SELECT 'bad_manifests', run || '_cut', count(*) FROM previous GROUP BY 2
-    UNION ALL SELECT 'bad_ledgers', run || '_' || cast(position // 500 AS VARCHAR) || '_cut', 1 FROM jobs GROUP BY 2""",
-    "locations", "receipts", "previous", "jobs",
+    UNION ALL SELECT 'bad_summaries', run || part, 1 FROM totals, bad GROUP BY 2
+    UNION ALL SELECT 'bad_ledgers', run || '_' || cast(position // 500 AS VARCHAR) || part, 1 FROM jobs, bad GROUP BY 2
+    UNION ALL SELECT 'bad_ledgers', run || '_' || left(job_id, 1) || '_gap', 1 FROM due GROUP BY 2) GROUP BY 1, 2""",
+    "locations", "receipts", "previous", "jobs", "totals", "job_targets", "acks",
 )
 def _(b):
-    """Cut documents, manifest lines with text for a number, ledgers of an unknown version."""
-    places = {"locations": _catalog_files(b), "receipts": _receipt_files(b), "manifests": _manifest_files(b), "ledgers": _ledger_files(b)}
-    out = [readers.document_violations(b.spark, path, kind) for kind, path in places.items()]
-    both = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    """Cut documents, documents without a nested field, manifest lines with text for a number, ledgers of an unknown
+    version, ledgers whose notices lack a field."""
+    places = [
+        ("locations", _catalog_files(b)), ("receipts", _receipt_files(b)), ("manifests", _manifest_files(b)),
+        ("summaries", _summary_files(b)), ("ledgers", _ledger_files(b)), ("ledgers", _completion_files(b)),
+    ]
+    both, *more = [readers.document_violations(b.spark, path, kind) for kind, path in places]
+    for rows in more:
+        both = both.unionByName(rows)
     return both.groupBy("code", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
 def journal_files(b: Bound) -> str:
-    """Journal lines per run; every eleventh line is cut short."""
+    """Journal lines per run; every eleventh line is cut short or has an output without its digest."""
     line = F.to_json(F.struct("cache_hit", "source", "output_directory", "source_sha256", "objects", "selected_objects", "skipped_objects", "outputs", "errors"))
-    cut = F.col("output_directory").cast("int") % 11 == 6
-    rows = b.journal.select("run", F.when(cut, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    index = F.col("output_directory").cast("int")
+    lacking = F.regexp_replace(line, '"sha256":"[^"]*",?', "")
+    broken = F.when(index % 22 == 6, F.substring(line, 1, 40)).when(index % 11 == 6, lacking)
+    rows = b.journal.select("run", F.coalesce(broken, line).alias("value"))
     return write_documents(rows, scratch_path(b.spark, "journals"), "resources")
 
 
@@ -136,13 +160,19 @@ def _(b):
     return bad.groupBy("run", "code").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _summary_files(b: Bound) -> str:
+    kinds = b.stated_kinds.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("kind", "files"))).alias("payloads"))
+    stated = [F.lit(v).alias(k) for k, v in {"region": "jp", "platform": "iOS", "complete": True, "full_catalog": True, "retained": True,
+              "catalog_files": 1, "catalog_sha256": "ab" * 32}.items()]
+    numbers = ["schema_version", "input_files", "succeeded", "failed", "output_files", "output_bytes", "unity_objects", "payloads"]
+    docs = b.totals.join(kinds, "run").select("run", F.to_json(F.struct(*numbers, *stated)).alias("value"))
+    broken = with_broken(docs, lacking='"catalog_files":1,')
+    return write_documents(broken, scratch_path(b.spark, "summaries"), "summary")
+
+
 @query("read_summaries", "SELECT run, kind, files, output_bytes, succeeded FROM stated_kinds JOIN totals USING (run)", "stated_kinds", "totals")
 def _(b):
-    kinds = b.stated_kinds.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("kind", "files"))).alias("payloads"))
-    docs = b.totals.join(kinds, "run").select(
-        "run", F.to_json(F.struct("schema_version", "succeeded", "failed", "output_files", "output_bytes", "payloads")).alias("value")
-    )
-    rows = readers.read_summaries(b.spark, write_documents(with_broken(docs), scratch_path(b.spark, "summaries"), "summary"))
+    rows = readers.read_summaries(b.spark, _summary_files(b))
     return rows.select("run", F.explode("payloads").alias("kind", "files"), "output_bytes", "succeeded")
 
 
@@ -173,15 +203,41 @@ def _ledger_files(b: Bound) -> str:
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     job = F.struct(
         F.col("position"), F.col("id"), F.struct("region", "profile", "operation").alias("request"), F.col("status"),
-        F.date_format("updated_at", stamp).alias("updated_at"), F.struct("phase", "completed", "failed", "total").alias("progress"), F.col("idempotency_sha256"),
+        *[F.date_format(c, stamp).alias(c) for c in ("created_at", "updated_at")],
+        F.struct("phase", "completed", "failed", "total", F.lit(0).alias("bytes")).alias("progress"), F.col("idempotency_sha256"),
     )
     docs = b.jobs.groupBy(F.concat("run", F.lit("_"), F.floor(F.col("position") / 500).cast("string")).alias("run")).agg(
         F.to_json(F.struct(F.lit(2).alias("schema_version"), F.sort_array(F.collect_list(job)).alias("jobs"))).alias("value")
     )
-    broken = with_broken(docs, r'''regexp_replace(value, '"schema_version":2', '"schema_version":3')''')
+    broken = with_broken(docs, r'''regexp_replace(value, '"schema_version":2', '"schema_version":3')''', '"updated_at":"[^"]*",')
     return write_documents(broken, scratch_path(b.spark, "ledgers"), "jobs")
 
 
+def _completion_files(b: Bound) -> str:
+    """Ledgers without jobs whose notices wait for their targets."""
+    request = F.struct("region", F.lit("p").alias("profile"), F.lit("export").alias("operation")).alias("request")
+    completed = F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("completed_at")
+    event = F.struct(F.lit(1).alias("schema_version"), "job_id", request, F.struct(F.lit("p1").alias("publication_id")).alias("outcome"), completed)
+    part = F.concat("run", F.lit("_"), F.left("job_id", F.lit(1)))
+    waiting = _pending(b).groupBy(part.alias("run"), "job_id", "region", "completed_at").agg(F.sort_array(F.collect_list("identity")).alias("pending_targets"))
+    notice = F.struct(event.alias("event"), "pending_targets")
+    docs = waiting.groupBy("run").agg(
+        F.to_json(F.struct(F.lit(2).alias("schema_version"), F.array().cast("array<string>").alias("jobs"), F.collect_list(notice).alias("completions"))).alias("value")
+    )
+    whole = with_broken(docs, lacking='"outcome":[{][^}]*[}],').where("run NOT LIKE '%_cut'")
+    return write_documents(whole, scratch_path(b.spark, "completions"), "jobs")
+
+
+@query(
+    "read_completions",
+    f"WITH {_OUTBOX} SELECT run || '_' || left(job_id, 1) AS run, job_id, region, completed_ms, identity FROM due",
+    "jobs", "job_targets", "acks",
+)
+def _(b):
+    _, notices = readers.read_ledger(b.spark, _completion_files(b))
+    return notices.select("run", "job_id", "region", F.unix_millis("completed_at").alias("completed_ms"), "identity")
+
+
 @query("read_ledger", "SELECT run || '_' || cast(position // 500 AS VARCHAR) AS run, id, region, profile, status, (epoch_us(updated_at) // 1000) AS updated_ms, completed, failed, total FROM jobs", "jobs")
 def _(b):
     jobs, _ = readers.read_ledger(b.spark, _ledger_files(b))

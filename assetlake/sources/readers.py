@@ -60,7 +60,8 @@ JOB = (
     "retry_of: STRING, outcome: VARIANT, idempotency_sha256: STRING>"
 )
 COMPLETION = (
-    f"STRUCT<event: STRUCT<job_id: STRING, request: {REQUEST}, completed_at: TIMESTAMP>, pending_targets: ARRAY<STRING>>"
+    f"STRUCT<event: STRUCT<schema_version: INT, job_id: STRING, request: {REQUEST}, outcome: VARIANT, completed_at: TIMESTAMP>, "
+    "pending_targets: ARRAY<STRING>>"
 )
 MAX_REPORT = 16 * 1024 * 1024
 
@@ -71,24 +72,58 @@ def run_of() -> Column:
     return F.url_decode(F.replace(F.regexp_replace(folder, r"\A[^=]*=", ""), F.lit("+"), F.lit("%2B"))).alias("run")
 
 
-#: Per kind of document: its schema, and what must be there for it to be read at all.
+def _has(of: str, fields: str) -> str:
+    return " AND ".join(f"{of}.{field} IS NOT NULL" for field in fields.split())
+
+
+def _each(array: str, rule: str) -> str:
+    """Every element is there and keeps ``rule`` (over ``x``)."""
+    return f"({array} IS NOT NULL AND forall({array}, x -> x IS NOT NULL AND {rule}))"
+
+
+def _optional(value: str, rule: str) -> str:
+    return f"({value} IS NULL OR ({rule}))"
+
+
+_REQUEST = "region profile operation"
+_OUTPUT = f"{_has('x', 'path kind bytes sha256')} AND {_optional('x.object', _has('x.object', 'source_file path_id class_id'))}"
+_LIST = "forall({0}, y -> y IS NOT NULL)"
+
+#: Per kind of document: its schema, and what must be there for it to be read at all, at every level. Fields that are
+#: not named may be missing.
 DOCUMENTS: dict[str, tuple[str, str]] = {
-    "locations": (f"locations ARRAY<{LOCATION}>", "d.locations IS NOT NULL"),
+    "locations": (
+        f"locations ARRAY<{LOCATION}>",
+        _each("d.locations", _has("x", "id primary_key internal_id provider_id dependencies") + f" AND {_LIST.format('x.dependencies')}"),
+    ),
     "receipts": (
         RECEIPT,
-        "d.snapshot IS NOT NULL AND d.catalog_url IS NOT NULL AND d.bytes IS NOT NULL AND d.sha256 IS NOT NULL "
-        "AND d.downloaded_at IS NOT NULL AND (d.update IS NULL OR d.update.assets IS NOT NULL)",
+        " AND ".join([
+            _has("d", "snapshot catalog_url bytes sha256 downloaded_at"),
+            _has("d.snapshot", "schema_version environment platform client_version protocol_version resource_version "
+                 "platform_hash effective_cdn_root credential_ref observed_at source"),
+            _optional("d.update", _has("d.update", "embedded_locations logical_locations total_bytes") + " AND " + _each(
+                "d.update.assets", _has("x", "relative_path provider bytes downloaded_sha256 stored_sha256 decrypted"))),
+        ]),
     ),
     "summaries": (
         SUMMARY,
-        "d.schema_version IS NOT NULL AND d.succeeded IS NOT NULL AND d.failed IS NOT NULL "
-        "AND d.output_files IS NOT NULL AND d.output_bytes IS NOT NULL",
+        _has("d", "schema_version region platform complete full_catalog input_files catalog_files succeeded failed "
+             "output_files output_bytes unity_objects catalog_sha256 payloads retained"),
     ),
     "ledgers": (
         f"schema_version INT, jobs ARRAY<{JOB}>, completions ARRAY<{COMPLETION}>",
-        "d.schema_version IN (1, 2) AND d.jobs IS NOT NULL",
+        " AND ".join([
+            "d.schema_version IN (1, 2)",
+            _each("d.jobs", " AND ".join([
+                _has("x", "id request status created_at updated_at progress"), _has("x.request", _REQUEST),
+                _has("x.progress", "phase completed failed bytes")])),
+            _optional("d.completions", _each("d.completions", " AND ".join([
+                _has("x", "event pending_targets"), _has("x.event", "schema_version job_id request outcome completed_at"),
+                _has("x.event.request", _REQUEST), _LIST.format("x.pending_targets")]))),
+        ]),
     ),
-}
+}
 _MANIFEST = "d.path IS NOT NULL AND d.bytes IS NOT NULL AND d.sha256 IS NOT NULL"
 
 
@@ -153,10 +188,9 @@ def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     report = F.from_json("value", f"{REPORT}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
     parsed = lines.withColumn("r", F.when(~long_line, report))
     # All but ``cache_hit`` must be there.
-    good = F.col("r").isNotNull() & F.col("r._bad").isNull()
-    for field in ("source", "output_directory", "source_sha256", "objects", "selected_objects", "skipped_objects", "outputs", "errors"):
-        good = good & F.col(f"r.{field}").isNotNull()
-    good = F.coalesce(good, F.lit(False))
+    fields = _has("r", "source output_directory source_sha256 objects selected_objects skipped_objects errors")
+    rule = f"r IS NOT NULL AND r._bad IS NULL AND {fields} AND {_each('r.outputs', _OUTPUT)} AND {_LIST.format('r.errors')}"
+    good = F.coalesce(F.expr(rule), F.lit(False))
     journal = parsed.where(good).select("run", "r.*").drop("_bad")
     journal = journal.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
     bad = parsed.where(~good)
