@@ -9,14 +9,13 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.session import materialize, materialize_counted
+from assetlake.operators.windows import running
+from assetlake.session import Grown, materialize
 from assetlake.violations import all_of, violation
 
 MAX_KEYS = 256
 MAX_PATTERNS = 128
 MAX_PATTERN_BYTES = 2048
-# Rounds between rewrites of the visited set, so that its plan stays short on deep graphs.
-COMPACT_EVERY = 16
 
 
 #: Classes by name inside brackets, and what Java calls them. Fixed values.
@@ -201,35 +200,62 @@ def require_roots(runs: DataFrame, roots: DataFrame) -> DataFrame:
     return violation(empty, "empty_selection", F.col("run"))
 
 
-def _edges(locations: DataFrame) -> DataFrame:
-    return locations.select("run", F.col("id").alias("_from"), F.explode("dependencies").alias("_to"))
+def _spread(start: DataFrame, locations: DataFrame, scope: list[str], bits: bool = False) -> DataFrame:
+    """Rows reachable from ``start`` (``*scope``, ``id`` and, if asked, ``bits``, which run along the edges).
+
+    Edges are stored in buckets by their start, and what was found by its keys: neither is shuffled again, only the rows
+    found last (unless ``run`` is the only scope) and what they lead to are. Each round is stored, so a lost executor
+    never replays earlier ones. The number of rounds is the greatest distance from a start.
+    """
+    spark, keys = start.sparkSession, [*scope, "id"]
+    edges = Grown(spark, "edges", ["run", "id"])
+    edges.add(locations.select("run", "id", F.explode("dependencies").alias("_to")).repartition(edges.buckets, "run", "id"))
+    found = Grown(spark, "found", keys)
+    rows, rounds = start.repartition(found.buckets, *keys), 0
+    while found.add(rows, rounds):
+        step = found.rows(rounds).join(edges.rows(), ["run", "id"]).withColumn("id", F.col("_to")).drop("_to")
+        if bits:
+            step = step.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+            seen = found.rows().groupBy(*keys).agg(F.bit_or("bits").alias("_seen"))
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+            rows = step.join(seen, keys, "left").select(*keys, fresh.alias("bits")).where("bits != 0")
+        else:
+            rows = step.select(*keys).distinct().join(found.rows(), keys, "left_anti")
+        rounds += 1
+    edges.end()
+    return found.end()
 
 
 def closure(roots: DataFrame, locations: DataFrame) -> DataFrame:
     """Everything reachable from the roots, cycles included once.
 
-    ``roots`` has ``run``, ``id`` and any further scope columns (a label, say), each scope being closed
-    on its own. Every round joins only the newly found nodes with the edges and stores the result, so
-    a round's cost follows the frontier and a lost executor never replays earlier rounds. The number
-    of rounds is the greatest distance from a root.
+    ``roots`` has ``run``, ``id`` and any further scope columns, each scope being closed on its own.
     """
     scope = [c for c in roots.columns if c != "id"]
-    edges = materialize(_edges(locations), "edges")
-    frontier, found = materialize_counted(roots.select(*scope, "id").distinct(), "frontier")
-    visited, rounds = frontier, 0
-    while found:
-        rounds += 1
-        step = (
-            frontier.join(edges, [frontier["run"] == edges["run"], frontier["id"] == edges["_from"]])
-            .select(*[frontier[c] for c in scope], F.col("_to").alias("id"))
-            .distinct()
-            .join(visited, [*scope, "id"], "left_anti")
-        )
-        frontier, found = materialize_counted(step, "frontier")
-        visited = visited.unionByName(frontier)
-        if rounds % COMPACT_EVERY == 0:
-            visited = materialize(visited, "visited")
-    return visited
+    return _spread(roots.select(*scope, "id").distinct(), locations, scope).select(*scope, "id")
+
+
+#: Labels in one block: the bits of a long.
+BLOCK = 64
+
+
+def label_closure(keys: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each label (``run``, ``key``, ``id``) reaches: (``run``, ``key``, ``block``, ``bit``) numbers the labels, and
+    (``run``, ``block``, ``id``, ``bits``) tells for each node which labels of a block reach it.
+
+    A node has a row per block of labels that reach it, not one per label, and rows travel the edges once for all labels
+    of a block that come in the same round.
+    """
+    roots = keys.where("id IS NOT NULL").select("run", "key", "id")
+    numbered = running(roots.select("run", "key").distinct(), ["run"], [F.col("key")], row_number="_n")
+    place = F.col("_n") - 1
+    labels = materialize(
+        numbered.select("run", "key", F.expr(f"(_n - 1) div {BLOCK}").alias("block"), (place % BLOCK).cast("int").alias("bit")), "labels"
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    start = roots.join(labels, ["run", "key"]).groupBy("run", "block", "id").agg(F.bit_or(bit).alias("bits"))
+    reached = _spread(start, locations, ["run", "block"], bits=True)
+    return labels, reached
 
 
 def dangling_dependencies(selected: DataFrame, locations: DataFrame) -> DataFrame:
@@ -271,27 +297,27 @@ def scope_flags(selected: DataFrame, locations: DataFrame) -> DataFrame:
 def key_overlap(keys: DataFrame, locations: DataFrame, paths: DataFrame, base: str) -> DataFrame:
     """Per label: files after closure, how many the base label also has, and how many only it has.
 
-    ``paths`` maps ``(run, id)`` to ``relative_path``. Labels are compared with the base label and
-    with "any other label" through per-file counts, never pair by pair.
+    ``paths`` maps ``(run, id)`` to ``relative_path``. Labels are compared with the base label and with "any other
+    label" through per-file bits, never pair by pair, and files never become a row per label.
     """
-    roots = keys.where("id IS NOT NULL").select("run", "key", "id")
-    files = (
-        closure(roots, locations)
-        .join(paths.select("run", "id", "relative_path"), ["run", "id"])
-        .select("run", "key", "relative_path")
-        .distinct()
-    )
-    per_file = files.groupBy("run", "relative_path").agg(
-        F.count(F.lit(1)).alias("labels"), F.max((F.col("key") == base).cast("int")).alias("in_base")
+    labels, reached = label_closure(keys, locations)
+    files = reached.join(paths.select("run", "id", "relative_path"), ["run", "id"])
+    files = materialize(files.groupBy("run", "block", "relative_path").agg(F.bit_or("bits").alias("bits")), "label-files")
+    based = labels.where(F.col("key") == base).select("run", F.col("block").alias("_block"), F.col("bit").alias("_bit"))
+    own = F.call_function("shiftrightunsigned", F.col("bits"), F.col("_bit")).bitwiseAND(F.lit(1).cast("long"))
+    of_base = (F.col("block") == F.col("_block")) & (own == 1)
+    # Runs without the base label keep their files.
+    per_file = files.join(based, "run", "left").groupBy("run", "relative_path").agg(
+        F.sum(F.bit_count("bits")).alias("labels"), F.max(F.coalesce(of_base, F.lit(False))).alias("in_base")
     )
-    counts = (
-        files.join(per_file, ["run", "relative_path"])
-        .groupBy("run", "key")
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.sum(F.col("in_base").cast("long")).alias("in_base"),
-            F.count_if(F.col("labels") == 1).alias("exclusive"),
-        )
+    marked = files.join(per_file, ["run", "relative_path"]).groupBy("run", "block", "in_base", (F.col("labels") == 1).alias("_alone"))
+    sums = marked.agg(*[F.sum(F.shiftrightunsigned("bits", n).bitwiseAND(F.lit(1).cast("long"))).alias(f"_{n}") for n in range(BLOCK)])
+    each = F.array(*[F.struct(F.lit(n).alias("bit"), F.col(f"_{n}").alias("n")) for n in range(BLOCK)])
+    per_bit = sums.select("run", "block", "in_base", "_alone", F.inline(each)).where("n > 0").join(labels, ["run", "block", "bit"])
+    counts = per_bit.groupBy("run", "key").agg(
+        F.sum("n").alias("files"),
+        F.sum(F.when(F.col("in_base"), F.col("n")).otherwise(0)).alias("in_base"),
+        F.sum(F.when(F.col("_alone"), F.col("n")).otherwise(0)).alias("exclusive"),
     )
     return counts.withColumn("outside_base", F.col("files") - F.col("in_base")).withColumn(
         "relation",

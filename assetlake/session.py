@@ -69,6 +69,37 @@ def materialize_counted(df: DataFrame, label: str = "step", where: Column | None
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+class Grown:
+    """A stored table that grows round by round, with rows of the same ``keys`` in the same one of its buckets.
+
+    Joins and groupings by the keys (or more columns) read it as it lies, so a loop moves only its new rows. While it
+    grows it is an external table of the session's catalog; :meth:`end` takes it off again and leaves the files.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, keys: list[str]):
+        self.spark, self.keys, self.path = spark, keys, scratch_path(spark, label)
+        self.name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, rows: DataFrame, round_: int = 0) -> int:
+        """Stores the rows of a round and gives their number."""
+        seen = Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("_round", F.lit(round_)).write
+        writer = writer.mode("append").format("parquet").option("path", self.path).partitionBy("_round")
+        writer.bucketBy(self.buckets, *self.keys).saveAsTable(self.name)
+        return seen.get["rows"]
+
+    def rows(self, round_: int | None = None) -> DataFrame:
+        rows = self.spark.table(self.name)
+        return (rows if round_ is None else rows.where(F.col("_round") == round_)).drop("_round")
+
+    def end(self) -> DataFrame:
+        """All rows, from the files."""
+        schema = self.rows().schema
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def of_known_size(df: DataFrame, label: str = "facts") -> DataFrame:
     """Store a table that has a row per run or so before it meets a large one.
 

@@ -109,8 +109,7 @@ def test_runtime_path_is_embedded(spark):
     assert (row.remote_files, row.embedded_locations, row.logical_locations) == (0, 1, 0)
 
 
-def test_closure_on_random_graphs(spark, monkeypatch):
-    monkeypatch.setattr(selection, "COMPACT_EVERY", 2)
+def test_closure_on_random_graphs(spark):
     rng = random.Random(5)
     rows, expected, roots = [], set(), []
     for run in range(6):
@@ -130,6 +129,62 @@ def test_closure_on_random_graphs(spark, monkeypatch):
     assert sorted((r.run, r.id) for r in got.collect()) == sorted(expected)
 
 
+def reach(deps, start):
+    seen, todo = set(), list(start)
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += deps.get(x, [])
+    return seen
+
+
+def test_labels_travel_as_bits(spark):
+    """More labels than a block holds, cycles, and labels that meet again after different numbers of rounds."""
+    rng = random.Random(8)
+    rows, keys, want = [], [], set()
+    for run, labels in (("a", 210), ("b", 3)):
+        deps = {i: [rng.randrange(60) for _ in range(rng.randint(0, 2))] for i in range(50)}
+        rows += [(run, i, "k", "i", "p", d) for i, d in deps.items()]
+        for n in range(labels):
+            start = rng.sample(range(50), rng.randint(0, 2))
+            keys += [(run, f"k{n}", s) for s in start] or [(run, f"k{n}", None)]
+            want |= {(run, f"k{n}", x) for x in reach(deps, start)}
+    keys = spark.createDataFrame(keys, "run string, key string, id long")
+    labels, reached = selection.label_closure(keys, spark.createDataFrame(rows, SCHEMA))
+    of = {(r.run, r.block, r.bit): r.key for r in labels.collect()}
+    found = reached.collect()
+    got = [(r.run, of[r.run, r.block, b], r.id) for r in found for b in range(64) if r.bits >> b & 1]
+    assert sorted(got) == sorted(want)
+    assert max(r.block for r in found) == 2
+
+
+def test_a_round_of_the_closure_moves_neither_edges_nor_what_was_found(spark, monkeypatch):
+    plans, add = [], selection.Grown.add
+
+    def spied(self, rows, round_=0):
+        if round_:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return add(self, rows, round_)
+
+    monkeypatch.setattr(selection.Grown, "add", spied)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("r", i, "k", "i", "p", [i + 1, i + 2]) for i in range(6)]
+        locations = spark.createDataFrame(rows, SCHEMA)
+        selection.closure(spark.createDataFrame([("r", 0)], "run string, id long"), locations)
+        selection.label_closure(spark.createDataFrame([("r", "a", 0), ("r", "b", 3)], "run string, key string, id long"), locations)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) >= 8
+    for plan in plans:
+        # What the rows found last lead to is dealt out, and with labels these rows themselves; nothing else.
+        labelled = "bit_or" in plan
+        assert plan.count("Exchange hashpartitioning") == (2 if labelled else 1), plan
+        assert plan.count("Bucketed: true") >= 2
+
+
 @pytest.mark.parametrize(
     "pattern, text, found",
     [
