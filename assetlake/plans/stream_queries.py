@@ -27,7 +27,7 @@ class _Placeholder(SparkText):
 def streamed(b: Bound, binding: str, table: str) -> DataFrame:
     """A binding over ``table`` read as a stream of files."""
     schema = b.table(table).schema
-    rows = b.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(b.sf_dir)
+    rows = b.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", f"{table}.parquet").parquet(b.sf_dir)
     text = BINDINGS[binding](_Placeholder(b.sf_dir))
     return b.spark.sql(text.replace("{id}", "{{id}}"), **{table: rows})
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -140,45 +141,134 @@ def stream_submissions(requests: DataFrame, jobs: DataFrame | None = None, keep:
     return judged.unionByName(others)
 
 
+_STATUSES = ("", "queued", "running", "cancelling", "completed", "failed", "cancelled")
 _LEGAL = {(old or "", new) for old, new in LEGAL}
+#: What a step can be: a status (the last number stands for unknown ones), failed items, a failure code (none, some, the
+#: one of an interrupted service), and whether the step before it has the same ``seq``.
+_KINDS = [(c, k, p, t) for c in range(len(_STATUSES) + 1) for k in (0, 1) for p in (0, 1, 2) for t in (0, 1)]
+
+
+def _effect(state: int, kind: tuple[int, int, int, int]) -> tuple[int, str | None, bool]:
+    """The state after a step, the status it turns into (none: its own) and whether that is legal. A state is a status,
+    whether items have failed, and whether a step of the current ``seq`` has been accepted."""
+    status, (failed, taken) = _STATUSES[state // 4], divmod(state % 4, 2)
+    code, count, failure, tied = kind
+    new = _STATUSES[code] if code < len(_STATUSES) else None
+    taken, failed_now = taken if tied else 0, failed | count
+    turned = status == "running" and new == "completed" and (failed_now or failure)
+    new = "failed" if turned else new
+    restart = status in ACTIVE and new == "failed" and failure == 2
+    legal = not taken and ((status, new) in _LEGAL or restart)
+    after = 4 * _STATUSES.index(new) + 2 * failed_now + 1 if legal else 4 * (state // 4) + 2 * failed + taken
+    return after, "failed" if turned else None, legal
+
+
+_STATES = 4 * len(_STATUSES)
+_EFFECTS = [[_effect(state, kind) for state in range(_STATES)] for kind in _KINDS]
+#: Per kind of step the state after each state, as a table for ``bytes.translate``: maps compose by translation.
+_MAPS = [bytes(x[0] for x in effects).ljust(256, b"\0") for effects in _EFFECTS]
+_SAME = bytes(range(_STATES))
+_STEP = pa.schema([("seq", pa.int64()), ("status", pa.string()), ("failure", pa.string()), ("kind", pa.uint8())])
+_SEGMENT = "run STRING, job_id STRING, first LONG, last LONG, ends BINARY, steps BINARY"
+_PLACED = "run STRING, job_id STRING, first LONG, start INT, late LONG, steps BINARY"
+
+
+def _composed(kinds) -> bytes:
+    ends = _SAME
+    for kind in kinds:
+        ends = ends.translate(_MAPS[kind])
+    return ends
+
+
+def _packed(steps: pd.DataFrame) -> bytes:
+    """Steps in their order, with their kinds."""
+    tied = steps["seq"].diff().eq(0).to_numpy()
+    code = steps["status"].map({x: n for n, x in enumerate(_STATUSES)}).fillna(len(_STATUSES)).to_numpy(np.int64)
+    failure = np.where(steps["failure"].isna(), 0, np.where(steps["failure"] == INTERRUPTED, 2, 1))
+    count = (steps["failed"].fillna(0) > 0).to_numpy() if "failed" in steps else steps["kind"].to_numpy(np.int64) // 6 % 2
+    kind = ((code * 2 + count) * 3 + failure) * 2 + tied
+    table = pa.table([pa.array(x, t.type, from_pandas=True) for x, t in zip(
+        (steps["seq"].to_numpy(), steps["status"].to_numpy(object), steps["failure"].to_numpy(object), kind), _STEP, strict=True
+    )], schema=_STEP)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _STEP) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(steps: bytes) -> pa.Table:
+    return pa.ipc.open_stream(steps).read_all()
+
+
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per job and batch: its steps in order, and what they make of each state."""
+    for batch in batches:
+        out = []
+        ordered = batch.sort_values(["run", "job_id", "seq"], kind="stable")
+        for key, steps in ordered.groupby(["run", "job_id"], sort=False, dropna=False):
+            packed = _packed(steps)
+            ends = _composed(_unpacked(packed).column("kind").to_pylist())
+            out.append((*key, int(steps["seq"].iloc[0]), int(steps["seq"].iloc[-1]), ends, packed))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _SEGMENT.split(", ")])
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """One segment of several that reach into each other."""
+    steps = pa.concat_tables([_unpacked(x[3]) for x in parts]).to_pandas().sort_values("seq", kind="stable")
+    packed = _packed(steps)
+    return parts[0][0], max(x[1] for x in parts), _composed(_unpacked(packed).column("kind").to_pylist()), packed
 
 
 class JobState(StatefulProcessor):
-    """Applies legal status changes of one job in the order of ``seq``; rejected ones are emitted as such.
+    """Keeps the state of one job and tells each segment of its steps in which state it starts.
 
-    All steps of a job in a micro-batch are ordered before they are applied, so neither their order in files nor
-    the size of Arrow batches matters; the source's limit per trigger bounds them. A step that arrives in a later
-    micro-batch than one it precedes is rejected. A run that ends with a failure code or failed items has failed.
+    The steps themselves are not looked at: a segment says what it makes of any state. Only segments that reach into
+    each other, or behind what earlier micro-batches held, are taken apart.
     """
 
     def __init__(self, remembered_ms: int | None = None):
         self.remembered_ms = remembered_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "status STRING, failed LONG, seq LONG", self.remembered_ms)
+        self.state = handle.getValueState("job", "state INT, seq LONG", self.remembered_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, failed, last = self.state.get() if self.state.exists() else ("", 0, -1)
-        steps = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        out, changed = [], False
-        for seq, new, count, failure in zip(steps["seq"], steps["status"], steps["failed"], steps["failure"]):
-            failure = None if pd.isna(failure) else failure
-            failed_now = max(failed or 0, 0 if pd.isna(count) else int(count))
-            if status == "running" and new == "completed" and (failed_now > 0 or failure is not None):
-                new, failure = "failed", failure or "partial_failure"
-            restart = status in ACTIVE and new == "failed" and failure == INTERRUPTED
-            legal = bool(seq > last and ((status, new) in _LEGAL or restart))
-            out.append((*key, seq, status, new, failure, legal))
-            if legal:
-                status, failed, last, changed = new, failed_now, int(seq), True
-        if changed:
-            self.state.update((status, failed, last))
-        yield pd.DataFrame(out, columns=["run", "job_id", "seq", "from_status", "to_status", "failure", "accepted"])
+        state, last = self.state.get() if self.state.exists() else (0, -1)
+        columns = ("first", "last", "ends", "steps")
+        parts = sorted((x for part in rows for x in zip(*(part[c] for c in columns), strict=True)), key=lambda x: (x[0], x[1]))
+        out, at = [], 0
+        while at < len(parts):
+            upto, reach = at + 1, parts[at][1]
+            while upto < len(parts) and parts[upto][0] <= reach:
+                reach, upto = max(reach, parts[upto][1]), upto + 1
+            first, end, ends, steps = parts[at] if upto == at + 1 else _joined(parts[at:upto])
+            if first <= last:
+                late = _unpacked(steps)
+                ends = _composed(k for k, seq in zip(late.column("kind").to_pylist(), late.column("seq").to_pylist(), strict=True) if seq > last)
+            out.append((*key, int(first), state, last, steps))
+            # The next segment begins another seq.
+            state, last, at = ends[state] & ~1, max(last, int(end)), upto
+        self.state.update((state, last))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _PLACED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each step of a segment led to, from the state in which it starts."""
+    for batch in batches:
+        for run, job_id, state, late, packed in zip(*(batch[c] for c in ("run", "job_id", "start", "late", "steps")), strict=True):
+            out = []
+            for seq, status, failure, kind in zip(*(c.to_pylist() for c in _unpacked(packed).columns), strict=True):
+                after, turned, legal = _EFFECTS[kind][state]
+                legal = legal and seq > late
+                failure = failure or "partial_failure" if turned else failure
+                out.append((run, job_id, seq, _STATUSES[state // 4], turned or status, failure, legal))
+                state = after if seq > late else state
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in JOB_STEPS.split(", ")])
+
+
 JOB_STEPS = (
     "run STRING, job_id STRING, seq LONG, from_status STRING, to_status STRING, failure STRING, accepted BOOLEAN"
 )
@@ -187,14 +277,24 @@ JOB_STEPS = (
 def stream_jobs(steps: DataFrame, remembered_ms: int | None = None) -> DataFrame:
     """Status changes ``(run, job_id, seq, status, failed, failure)`` with what each one led to.
 
-    A finished job's state (one short row) is kept, since only it tells that a late step is no new job. With
-    ``remembered_ms`` it is forgotten that long after the last accepted step; that needs a continuous trigger, as
-    ``availableNow`` never ends with processing time.
+    Legal changes of a job are applied in the order of ``seq``; the others are given back as not accepted. Of steps
+    with the same ``seq`` the first legal one counts. A step that comes in a later micro-batch than one it does not
+    follow is not accepted, nor is one without ``seq`` (-1). A run that ends with a failure code or failed items has failed. Neither the order in files
+    nor the size of Arrow batches matters.
+
+    A step is a map over the few states, so whatever steps lie together in a task are composed to one map there. The
+    task that keeps a job's state gets a row per such segment, and the steps are judged in other tasks again; a job
+    with most of all steps is thus spread. A finished job's state (one short row) is kept, since only it tells that a
+    late step is no new job. With ``remembered_ms`` it is forgotten that long after the last step; that needs a
+    continuous trigger, as ``availableNow`` never ends with processing time.
     """
-    return steps.groupBy("run", "job_id").transformWithStateInPandas(
-        JobState(remembered_ms), outputStructType=JOB_STEPS, outputMode="Append",
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-1).cast("long"))
+    fields = steps.select("run", "job_id", seq.alias("seq"), "status", F.col("failed").cast("long").alias("failed"), "failure")
+    placed = fields.mapInPandas(_segments, _SEGMENT).groupBy("run", "job_id").transformWithStateInPandas(
+        JobState(remembered_ms), outputStructType=_PLACED, outputMode="Append",
         timeMode="None" if remembered_ms is None else "ProcessingTime",
     )
+    return placed.repartition("run", "job_id", "first").mapInPandas(_outcomes, JOB_STEPS)
 
 
 #: Sends one notice (a dict) to its target; gives an error code, or nothing when it was received.

@@ -93,3 +93,64 @@ def test_targets_get_their_notices_in_order_and_rest_after_a_failure(spark):
     assert log["slow"][:2] == want and [x[0] for x in log["slow"]] == ["j3", "j3", "j2", "j2", "j1", "j1", "j9", "j9"]
     assert log["broken"][0] == ("j3", 1, "TimeoutError") and {x[0] for x in log["broken"]} == {"j3"}
     assert [x[1] for x in log["broken"]] == list(range(1, len(log["broken"]) + 1))
+
+
+STEPS = "run string, job_id string, seq long, status string, failed long, failure string"
+
+
+def stepped(batches):
+    """The rows of each micro-batch one by one, in the order of seq."""
+    from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL
+
+    states, out = {}, []
+    for batch in batches:
+        seen = {}
+        for run, job, seq, status, failed, failure in sorted(batch, key=lambda x: (x[1], x[2])):
+            now, bad, last, taken = states.get(job, ("", 0, -1, None))
+            turned = now == "running" and status == "completed" and (bad or failed or failure is not None)
+            new, why = ("failed", failure or "partial_failure") if turned else (status, failure)
+            legal = (now, new) in {(a or "", b) for a, b in LEGAL} or (now in ACTIVE and new == "failed" and why == INTERRUPTED)
+            legal = bool(legal and seq > last and seq != taken)
+            out.append((job, seq, now, new, why, legal))
+            states[job] = (new, bad or failed, last, seq) if legal else (now, bad, last, taken)
+            seen[job] = max(seq, seen.get(job, -1))
+        for job, top in seen.items():
+            now, bad, last, _ = states[job]
+            states[job] = (now, bad, max(last, top), None)
+    return sorted(out, key=str)
+
+
+def test_job_steps_in_segments_are_those_one_by_one(spark):
+    """Jobs with many steps and few, segments that reach into each other, repeated and late steps."""
+    import random
+
+    rnd = random.Random(9)
+    names = ["queued", "running", "running", "cancelling", "completed", "failed", "cancelled", "odd"]
+
+    def step(job, seq):
+        why = rnd.choice([None, None, None, "service_interrupted", "io"])
+        return ("r", job, seq, rnd.choice(names), rnd.choice([0, 0, 0, 2]), why)
+
+    batches = []
+    for low in (0, 200, 150):
+        rows = [step("big", n) for n in rnd.sample(range(low, low + 300), 120)]
+        rows += [step(f"j{n}", low + rnd.randint(0, 5)) for n in range(30)]
+        rows = list({(r[1], r[2]): r for r in rows}.values())
+        rows += rows[:15]
+        rnd.shuffle(rows)
+        batches.append(rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    for size in ("9", "10000"):
+        src, out, state = (scratch_path(spark, n) for n in ("steps", "out", "state"))
+        for rows in batches:
+            spark.createDataFrame(rows, STEPS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).parquet(src)
+        spark.conf.set(key, size)
+        try:
+            q = streams.stream_jobs(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            q.trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(key, before)
+        got = [(r.job_id, r.seq, r.from_status, r.to_status, r.failure, r.accepted) for r in spark.read.parquet(out).collect()]
+        assert sorted(got, key=str) == stepped(batches)
