@@ -32,17 +32,15 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
         for part in parts:
             docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lo, hi in batches(texts):
-                out, ids = ([], [], [], [], []), []
+                out, ids = [], []
                 for doc, raw in zip(docs[lo:hi], ids_of(texts[lo:hi]), strict=True):
                     raw += end
-                    for k, at in enumerate(range(0, len(raw), width)):
-                        piece = raw[at : at + width]
-                        for column, value in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece))):
-                            column.append(value)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                    pieces = [raw[at : at + width] for at in range(0, len(raw), width)]
+                    out += [(doc, k, k * capacity, len(x) // 4, zlib.crc32(x)) for k, x in enumerate(pieces)]
+                    if with_ids:
+                        ids += [np.frombuffer(x, "<u4").astype(np.int32) for x in pieces]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -4,8 +4,10 @@ Both vocabularies cut a text into words before merging, and neither ever merges
 character between two visible ones: the byte vocabulary gives such a space to the word on its right, the word
 vocabulary drops it. A text is therefore cut at those places and each distinct piece is given to the library
 once. Every other white space (runs, the ends of the text) stays inside a piece, so the library sees it as it
-stands. Two further cuts save encodings of rare words: a single full stop or comma after a letter is a word of
-its own in both vocabularies, and the word vocabulary lower-cases ASCII letters.
+stands. Two further cuts save encodings of rare words: a run of ASCII punctuation
+between a letter and the end of a piece is a word of its own in both vocabularies, and the word vocabulary lower-cases
+letters (used for Latin ones without combining marks). New pieces of plain ASCII go to the
+library many at once, as one text with a mark between them whose id no such piece can hold.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import sys
 import unicodedata
 from array import array
 
+import numpy as np
+
 assert sys.byteorder == "little" and array("I").itemsize == 4  # the byte form of ids
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,6 +28,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 KEPT = 450_000
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}
+#: Pieces that are given to the library as one text, the mark between them, and what such a piece may be.
+TOGETHER, MARK = 500, " ~ "
+_PLAIN = re.compile(r"[!-}]+")
+#: Punctuation that can end a piece as a word of its own: no quotation marks of contractions, no parts of ``<|...|>``.
+_TAIL = "!\"#$%&()*+,-./:;=?@[]^`{}"
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -58,7 +67,10 @@ class Encoder:
         lowers = self._raw(["Ab ab"])[0] == self._raw(["ab ab"])[0]
         drops = self._raw(["ab ab"])[0] == self._raw([" ab\tab "])[0]
         self.lowers = lowers and drops
-        self.ends = dict(zip(".,", self._raw([".", ","]), strict=True)) | {"": b""}
+        self.ends: dict[str, bytes] = {"": b""}
+        one, two, marked = (array("I", x) for x in self._raw([" ab", " cd", f" ab{MARK}cd"]))
+        alone = len(marked) == len(one) + len(two) + 1 and marked[: len(one)] == one and marked[len(one) + 1 :] == two
+        self.mark = marked[len(one)] if alone else None
         self.letters: dict[str, bool] = {}
         self.heads: dict[str, bytes] = {"": b""}
 
@@ -66,6 +78,22 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _spaced(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces behind a space (of those with a line feed, of themselves)."""
+        plain, others = [], []
+        for piece in pieces:
+            (plain if self.mark is not None and _PLAIN.fullmatch(piece) and "<|" not in piece else others).append(piece)
+        found = {}
+        chunks = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        for chunk, raw in zip(chunks, self._raw([" " + MARK.join(c) for c in chunks]), strict=True):
+            at = (4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark)).tolist()
+            if len(at) != len(chunk) - 1:
+                others += chunk
+                continue
+            found.update((p, raw[a:b]) for p, a, b in zip(chunk, [0, *[x + 4 for x in at]], [*at, len(raw)], strict=True))
+        found.update(zip(others, self._raw([x if x[0] == "\n" else " " + x for x in others]), strict=True))
+        return found
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Pieces of the text, in order. All but the first stand for a space and the piece, those that start
@@ -86,14 +114,13 @@ class Encoder:
                 known[piece] = ids
                 continue
             base, end = piece, ""
-            if piece[-1] in ".," and len(piece) > 1:
-                char = piece[-2]
-                letter = letters.get(char)
+            if piece[-1] in _TAIL and (cut := piece.rstrip(_TAIL)):
+                letter = letters.get(cut[-1])
                 if letter is None:
-                    letter = letters[char] = _stays_letter(char)
+                    letter = letters[cut[-1]] = _stays_letter(cut[-1])
                 if letter:
-                    base, end = piece[:-1], piece[-1]
-            if lowers and base.isascii() and "<|" not in base:
+                    base, end = cut, piece[len(cut) :]
+            if lowers and "<|" not in base and (base.isascii() or (max(base) < "\u0250" and "\u0130" not in base)):
                 base = base.lower()
             if base is not piece and base != piece:
                 ended.append((piece, base, end))
@@ -104,9 +131,12 @@ class Encoder:
                     known[base] = ids
                     continue
             plain.add(base)
-        todo = list(plain)
-        known.update(zip(todo, self._raw([x if x[0] == "\n" else " " + x for x in todo]), strict=True))
+        known.update(self._spaced(list(plain)))
         ends = self.ends
+        if len(ends) > self.kept:
+            ends = self.ends = {"": b""}
+        new = list({end for _, _, end in ended if end not in ends})
+        ends.update(zip(new, self._raw(new), strict=True))
         for piece, base, end in ended:
             known[piece] = known[base] + ends[end]
 
