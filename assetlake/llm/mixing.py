@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlake.llm.columns import same
+from assetlake.llm.columns import fresh, same
 from assetlake.session import materialize
 
 WHOLE = "decimal(38,0)"
@@ -87,7 +87,8 @@ def position(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 def ends(sizes: DataFrame, levels: Sequence[str], weights: DataFrame, total: Column, epochs: int, seed: int):
     """Per leaf ``budget``, ``full`` (whole epochs) and where the last epoch's prefix ends: ``end_at``, ``end_id``,
-    ``end_tokens`` of its last document and ``end_taken``, the tokens taken of it (nulls: no such prefix).
+    ``end_tokens`` of its last document, ``end_whole``, how many rows with this place and size are taken whole, and
+    ``end_taken``, the tokens taken of one more (nulls: no such prefix).
 
     ``sizes``: ``doc_id``, ``levels``, ``n_tokens``, a stored table.
     """
@@ -120,43 +121,67 @@ def ends(sizes: DataFrame, levels: Sequence[str], weights: DataFrame, total: Col
     inside = placed.join(
         last, same([(placed[k], last[f"r{k}"]) for k in keys]) & (placed["range"] == last["_range"])
     )
+    # Rows of one place and size are one row with their number; a prefix may end among them.
+    tied = inside.groupBy(*keys, "rest", "_before", "at", "doc_id", "n_tokens").agg(F.count("*").alias("_m"))
     rows = Window.partitionBy(*keys).orderBy("at", "doc_id", "n_tokens")
     rows = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(rows))
-    final = inside.where((F.col("_upto") >= F.col("rest")) & (F.col("_upto") - F.col("n_tokens") < F.col("rest")))
-    final = final.groupBy(*keys).agg(
-        F.min(
-            F.struct(
-                "at", "doc_id", "n_tokens", (F.col("rest") - F.col("_upto") + F.col("n_tokens")).alias("taken")
-            )
-        ).alias("_end")
-    )
+    size = F.col("n_tokens") * F.col("_m")
+    tied = tied.withColumn("_upto", F.col("_before") + F.sum(size).over(rows))
+    over = F.col("rest") - F.col("_upto") + size
+    final = tied.where((F.col("_upto") >= F.col("rest")) & (over > 0))
     ended = final.select(
-        *[F.col(k).alias(f"e{k}") for k in keys], F.col("_end.at").alias("end_at"), F.col("_end.doc_id").alias("end_id"),
-        F.col("_end.n_tokens").alias("end_tokens"), F.col("_end.taken").alias("end_taken"),
+        *[F.col(k).alias(f"e{k}") for k in keys], F.col("at").alias("end_at"), F.col("doc_id").alias("end_id"),
+        F.col("n_tokens").alias("end_tokens"), F.call_function("div", over, F.col("n_tokens")).alias("end_whole"),
+        (over % F.col("n_tokens")).alias("end_taken"),
     )
     out = plan.join(ended, same([(plan[k], ended[f"e{k}"]) for k in keys]), "left")
-    out = out.select(*keys, "budget", "full", "end_at", "end_id", "end_tokens", "end_taken")
+    out = out.select(*keys, "budget", "full", "end_at", "end_id", "end_tokens", "end_whole", "end_taken")
     return materialize(out, "leaf-ends")
 
 
-def take(rows: DataFrame, levels: Sequence[str], ended: DataFrame, seed: int, n_tokens: str = "n_tokens") -> DataFrame:
+def take(
+    rows: DataFrame, levels: Sequence[str], ended: DataFrame, seed: int, n_tokens: str = "n_tokens",
+    epoch: str = "epoch", taken: str = "taken",
+) -> DataFrame:
     """Rows as often as they are taken, with ``epoch`` and ``taken`` (tokens); only the last document of a leaf's
-    prefix may be taken in part. Joins with one row per leaf and moves nothing else."""
-    leaf = same([(rows[c], ended[f"_l_{c}"]) for c in levels])
-    at = position(seed, F.col("full"), rows["doc_id"])
-    mine = F.struct(at.alias("at"), rows["doc_id"].alias("doc_id"), rows[n_tokens].alias("n_tokens"))
-    end = F.struct(F.col("end_at").alias("at"), F.col("end_id").alias("doc_id"), F.col("end_tokens").alias("n_tokens"))
-    ordered = F.col("end_at").isNotNull() & (mine <= end)
-    last = F.coalesce(mine == end, F.lit(False))
-    whole = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("full")),
-        lambda e: F.struct(
-            e.alias("epoch"),
-            F.when((e < F.col("full")) | (ordered & ~last), rows[n_tokens])
-            .when(ordered, F.col("end_taken")).otherwise(F.lit(0)).cast("long").alias("taken"),
-        ),
+    prefix may be taken in part. Joins with one row per leaf and moves nothing else but rows that share the last
+    document's id and size: these are stored and numbered, task by task, and as many as fit are taken."""
+    used = [*rows.columns, epoch, taken]
+    names = {c: fresh(used, f"_end_{c}") for c in ended.columns}
+    ended = ended.select(*[F.col(c).alias(names[c]) for c in ended.columns])
+
+    def own(c: str) -> Column:
+        return F.col(f"`{c}`")
+
+    def of(c: str) -> Column:
+        return F.col(names[c])
+
+    size, full = own(n_tokens), of("full")
+    at = position(seed, full, own("doc_id"))
+    mine = F.struct(at.alias("at"), own("doc_id").alias("doc_id"), size.alias("n_tokens"))
+    end = F.struct(of("end_at").alias("at"), of("end_id").alias("doc_id"), of("end_tokens").alias("n_tokens"))
+    last = F.coalesce(of("end_at").isNotNull() & (mine == end), F.lit(False))
+    before = F.coalesce(of("end_at").isNotNull() & (mine < end), F.lit(False))
+    placed = rows.join(ended, same([(own(c), of(f"_l_{c}")) for c in levels])).where(size > 0)
+    times = full + F.when(before, 1).otherwise(0)
+    each = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))
+    out = placed.select(*[own(c) for c in rows.columns], F.explode(each).alias(epoch), size.cast("long").alias(taken))
+    # Of the rows that share the last place, the first ones by their hash within tasks that follow each other.
+    task, place = fresh(used, "_task"), fresh(used, "_place")
+    leaf = [names[f"_l_{c}"] for c in levels]
+    tied = placed.where(last).select(
+        *[own(c) for c in rows.columns], *[of(c) for c in ("full", "end_whole", "end_taken")], *leaf,
+        F.spark_partition_id().alias(task), F.xxhash64(*[own(c) for c in rows.columns]).alias(place),
     )
-    out = rows.join(ended, leaf).where(rows[n_tokens] > 0)
-    out = out.select(*[rows[c] for c in rows.columns], F.explode(F.filter(whole, lambda x: x["taken"] > 0)).alias("_e"))
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "_e.epoch", "_e.taken")
+    tied = materialize(tied, "tied-rows")
+    counts = tied.groupBy(*leaf, task).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*leaf).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *[F.col(c).alias(f"_c{c}") for c in [*leaf, task]], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_c_before")
+    )
+    number = F.row_number().over(Window.partitionBy(*leaf, task).orderBy(place))
+    tied = tied.withColumn(place, number).join(counts, same([(F.col(c), F.col(f"_c{c}")) for c in [*leaf, task]]))
+    rank = F.col(place) + F.col("_c_before")
+    part = F.when(rank <= of("end_whole"), size).when(rank == of("end_whole") + 1, of("end_taken")).cast("long")
+    tied = tied.select(*[own(c) for c in rows.columns], full.alias(epoch), part.alias(taken))
+    return out.unionByName(tied.where(F.col(f"`{taken}`") > 0))

@@ -18,6 +18,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -98,9 +99,13 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
     out: list[tuple[int, int, str, str, str]] = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x[0] or a >= x[1] for x in out)
+        # Of the spans of earlier patterns, which do not overlap, the last that starts before b.
+        n = bisect_left(starts, b)
+        return n == 0 or ends[n - 1] <= a
 
     for kind, pattern in PATTERNS:
+        known = sorted(x[:2] for x in out)
+        starts, ends = [x[0] for x in known], [x[1] for x in known]
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
@@ -343,8 +348,12 @@ def pseudonymize(docs: DataFrame, key: bytes, counter: str = "n_replaced") -> Da
     spans = mentions.join(made, ["kind", "gender", "plain"]).groupBy("key").agg(
         F.collect_list(F.struct("start", "end", "kind", "made")).alias("_spans")
     )
-    spans = materialize(spans, "spans").withColumnRenamed("key", key_column)
+    span_column = fresh([*docs.columns, key_column], "_spans")
+    spans = materialize(spans, "spans").select(F.col("key").alias(key_column), F.col("_spans").alias(span_column))
     hit = docs.where(looked).withColumn(key_column, text_key).join(spans.hint("shuffle_hash"), key_column, "left")
     plain = docs.where(~looked).select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias(counter))
-    hit = hit.select(*[F.col(f"`{c}`") for c in others], F.col("_spans").alias(counter))
-    return hit.mapInArrow(_replace(others), plain.schema).unionByName(plain)
+    hit = hit.select(*[F.col(f"`{c}`") for c in others], F.col(span_column).alias(counter))
+    # Plain names for the call, which does not take any name.
+    names, numbers = [*others, counter], [f"c{n}" for n in range(len(others) + 1)]
+    schema = plain.toDF(*numbers).schema
+    return hit.toDF(*numbers).mapInArrow(_replace(others), schema).toDF(*names).unionByName(plain)

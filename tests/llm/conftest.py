@@ -3,7 +3,8 @@ import pytest
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
 CLASHING = ["row", "doc", "spans", "n_words", "kept", "_m", "_measures", "_kept", "_row", "_key", "component_id", "piece",
-            "length", "offset", "epoch", "taken", "_domain", "_n_words", "n_tokens", "n_replaced", "h", "s", "part"]
+            "length", "offset", "epoch", "taken", "_domain", "_n_words", "n_tokens", "n_replaced", "h", "s", "part", "full", "end_at",
+            "end_id", "end_tokens", "end_taken", "_e", "budget", "_spans", "_epoch", "_taken", "_task", "_place", "_end_full"]
 
 
 def rows():

@@ -315,3 +315,13 @@ def test_texts_around_the_width_of_an_anchor_have_fingerprints():
 
 
 assert DOCS.startswith("doc_id")
+
+
+def test_very_many_entities_in_one_text():
+    import time
+
+    start = time.process_time()
+    text = " ".join(f"a{n}@b{n % 97}.example.com, 10.{n % 250}.{n // 250 % 250}.7;" for n in range(50_000))
+    found = surrogates.find(text)
+    assert len(found) == 100_000 and found == sorted(found)
+    assert time.process_time() - start < 30

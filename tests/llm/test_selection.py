@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assetlake.llm import mixing, queries, url_filter
@@ -80,6 +81,28 @@ def test_mixing_of_odd_rows(spark, odd, none, tmp_path):
         assert got == Counter(con(stored).execute(queries.ORACLES["op9_mixing"]).fetchall())
 
 
+@pytest.mark.parametrize("budget", [0, 9, 10, 1505, 4000, 9005, 10_000, 12_005, 19_999, 30_000])
+def test_a_prefix_ends_among_rows_of_one_place_and_size(spark, budget):
+    """Half of the rows have no id or all the same one; what is taken is the budget to the token."""
+    size = "doc_id long, lang string, n_tokens long, note string"
+    for shared in (None, 7):
+        docs = [(shared, "en", 10, f"n{i % 3}") for i in range(1000)] + [(2000 + i, "en", 10, "x") for i in range(500)]
+        sizes = mixing.materialize(spark.createDataFrame(docs, size).repartition(5), "sizes")
+        weights = spark.createDataFrame([("lang", "en", 1)], "level string, name string, weight long")
+        ended = mixing.ends(sizes, ["lang"], weights, F.lit(budget) + 0 * F.sum("tokens"), 2, 3)
+        got = mixing.take(sizes, ["lang"], ended, 3).groupBy().agg(F.sum("taken"), F.count(F.when(F.col("taken") < 10, 1))).first()
+        assert (got[0] or 0) == budget and got[1] == (1 if budget % 10 else 0)
+
+
+@pytest.mark.parametrize("stage", ["mixing", "personal_data", "quality", "near_duplicates"])
+def test_stages_keep_columns_of_any_name(spark, odd, stage):
+    docs = odd.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("_end_end_at"))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    assert out.columns == docs.columns and out.count() > 0
+    plain = dict(corpus_pipeline.STAGES)[stage](spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in plain.collect())
+
+
 def test_pipeline_stage_by_stage(spark, odd, tmp_path, words_file):
     """Each stage on what the one before kept, against a plain version."""
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(
