@@ -51,7 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = [(domain if level == "domain" else level, name, weight) for level, name, weight in WEIGHTS]
     weights = spark.createDataFrame(named, "level string, name string, weight long")
     ended = ends(sizes, levels, weights, F.sum("tokens"), EPOCHS, SEED)
-    return take(sized, levels, ended, SEED, size).select(*[F.col(f"`{c}`") for c in docs.columns])
+    epoch, taken = fresh(sized.columns, "_epoch"), fresh(sized.columns, "_taken")
+    return take(sized, levels, ended, SEED, size, epoch, taken).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
