@@ -38,10 +38,10 @@ def encode(vocabulary: str, end_id: int):
         for part in parts:
             texts, doc_ids = part.column(1).to_pylist(), part.column(0)
             for lo, hi in batches(texts):
-                found = [x + end for x in ids_of(texts[lo:hi])]
-                counts = np.array([len(x) // 4 for x in found], np.int64)
+                found = ids_of(texts[lo:hi])
+                counts = np.array([len(x) // 4 + 1 for x in found], np.int64)
                 ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32, copy=False))
+                values = pa.array(np.frombuffer(end.join([*found, b""]), "<i4"))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -100,10 +100,13 @@ class Encoder:
         with a line feed for themselves."""
         if not text:
             return []
-        if text[0].isspace() or text[-1].isspace() or _RUN.search(text):
+        flat = text.replace("\n", " \n")
+        # Without other white space (none of which is printable) runs show as these pairs; else they are looked for.
+        runs = "  " in flat or "\n " in flat or (not flat.replace("\n", "").isprintable() and _RUN.search(text))
+        if runs or text[0].isspace() or text[-1].isspace():
             head, *rest = _CUT.split(text)
             return [head, *[x[1:] for x in rest]]
-        return text.replace("\n", " \n").split(" ")
+        return flat.split(" ")
 
     def _learn(self, wanted: set[str]) -> None:
         known, old, lowers, letters = self.new, self.old, self.lowers, self.letters
