@@ -5,6 +5,9 @@ per language and source in log-linear histograms: integers share a bucket if the
 bits, so a quantile is off by less than one part in 64. Such counts add up in any order (partial aggregation, then
 merging), do not depend on chance or partitioning, and have a few hundred rows per group at most. Quartiles read
 from them give fences, and a join with the fences judges the documents.
+
+Repetition is rare: where most documents have none, quartiles over all of them are zero and tell nothing of those that
+have some. The quartiles of such measures are therefore taken over the documents that show any.
 """
 
 from __future__ import annotations
@@ -17,15 +20,17 @@ from assetlake.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 
-#: Measure: (numerator, denominator, scale, least spread, both sides). The fence is the quartile plus (or minus)
-#: three times the distance between the quartiles, or three times the least spread where they lie closer.
-RULES: dict[str, tuple[str, str, int, int, bool]] = {
-    "symbols": ("n_symbols", "word_chars", 1000, 20, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 150, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
-    "word_length": ("word_chars", "n_words", 1000, 500, True),
+#: Measure: (numerator, denominator, scale, both sides, only positive values). The fence is the quartile plus (or
+#: minus) ``REACH`` times the distance between the quartiles, both read from the group's own sketch. ``LEAST`` keeps
+#: a group of equal values from rejecting all that differs by rounding.
+RULES: dict[str, tuple[str, str, int, bool, bool]] = {
+    "symbols": ("n_symbols", "word_chars", 1000, False, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, True),
+    "repeats": ("n_repeat_words", "n_words", 1000, False, True),
+    "word_length": ("word_chars", "n_words", 1000, True, False),
 }
 REACH = 3
+LEAST = 5
 
 
 def _repeats(w: Column) -> Column:
@@ -76,14 +81,22 @@ def measures(text: Column) -> Column:
     )
 
 
+def _shift(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+
+
 def bucket(value: Column) -> Column:
     """The lower end of a non-negative integer's bucket."""
-    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, _shift(value)), _shift(value))
+
+
+def bucket_end(value: Column) -> Column:
+    """The largest integer of a non-negative integer's bucket."""
+    return bucket(value) + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(value)) - 1
 
 
 def _value(m: Column, rule: str) -> Column:
-    top, below, scale, _, _ = RULES[rule]
+    top, below, scale, *_ = RULES[rule]
     return F.call_function("div", m[top] * scale, F.greatest(m[below], F.lit(1)))
 
 
@@ -100,20 +113,25 @@ def histogram(measured: DataFrame, column: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """Per language and source ``<rule>_low`` and ``<rule>_high``."""
+    """Per language and source ``<rule>_low`` and ``<rule>_high``, from the outer ends of the quartiles' buckets."""
     group = Window.partitionBy("lang", "source", "rule")
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cumulated = sketch.withColumns({"_upto": F.sum("n").over(running), "_all": F.sum("n").over(group)})
+    positive = [rule for rule, (*_, only) in RULES.items() if only]
+    cumulated = sketch.where((F.col("bucket") > 0) | ~F.col("rule").isin(positive)).withColumns(
+        {"_upto": F.sum("n").over(running), "_all": F.sum("n").over(group)}
+    )
     quartiles = cumulated.groupBy("lang", "source", "rule").agg(
         F.min(F.when(4 * F.col("_upto") >= F.col("_all"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("_upto") >= 3 * F.col("_all"), F.col("bucket"))).alias("q3"),
     )
+    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST))
     ends = []
-    for rule, (_, _, _, least, both) in RULES.items():
-        reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+    for rule, (_, _, _, both, _) in RULES.items():
         here = F.col("rule") == rule
-        ends.append(F.max(F.when(here, F.col("q3") + reach)).alias(f"{rule}_high"))
-        ends.append(F.max(F.when(here, F.col("q1") - reach if both else F.lit(-1))).alias(f"{rule}_low"))
+        # No quartiles: all values of the group are zero.
+        ends.append(F.coalesce(F.max(F.when(here, bucket_end(F.col("q3")) + reach)), F.lit(REACH * LEAST)).alias(f"{rule}_high"))
+        low = F.max(F.when(here, F.col("q1") - reach)) if both else F.lit(-1)
+        ends.append(low.alias(f"{rule}_low"))
     return quartiles.groupBy("lang", "source").agg(*ends)
 
 

@@ -186,18 +186,21 @@ def _url_sql() -> str:
 
 
 def _quality_sql() -> str:
-    from assetlake.llm.quality_rules import REACH, RULES as MEASURES
+    from assetlake.llm.quality_rules import LEAST, REACH, RULES as MEASURES
 
     visible = "[^\\x20\\x09-\\x0D]"
     values = ", ".join(
-        f"('{rule}', ({top} * {scale}) // greatest({below}, 1))" for rule, (top, below, scale, _, _) in MEASURES.items()
+        f"('{rule}', ({top} * {scale}) // greatest({below}, 1))" for rule, (top, below, scale, *_) in MEASURES.items()
     )
+    reach = f"{REACH} * greatest(coalesce(q3 - q1, 0), {LEAST})"
+    width = "(1::BIGINT << greatest(length(bin(q3)) - 7, 0)::INT)"
     checks = " AND ".join(
-        f"max(CASE WHEN v.rule = '{rule}' THEN v.value <= q3 + {REACH} * greatest(q3 - q1, {least})"
-        + (f" AND v.value >= q1 - {REACH} * greatest(q3 - q1, {least})" if both else "")
+        f"max(CASE WHEN v.rule = '{rule}' THEN v.value <= coalesce(q3 + {width} - 1, 0) + {reach}"
+        + (f" AND v.value >= q1 - {reach}" if both else "")
         + " END)"
-        for rule, (_, _, _, least, both) in MEASURES.items()
+        for rule, (_, _, _, both, _) in MEASURES.items()
     )
+    positive = ", ".join(f"'{rule}'" for rule, (*_, only) in MEASURES.items() if only)
     return f"""
     WITH t AS (
       SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -227,7 +230,8 @@ def _quality_sql() -> str:
       FROM e WHERE NOT base_failed GROUP BY ALL),
     c AS (
       SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto,
-        sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM k),
+        sum(n) OVER (PARTITION BY lang, source, rule) AS total
+      FROM k WHERE bucket > 0 OR rule NOT IN ({positive})),
     q AS (
       SELECT lang, source, rule, min(bucket) FILTER (4 * upto >= total) AS q1,
         min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM c GROUP BY ALL),
