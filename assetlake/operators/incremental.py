@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import fingerprint, multiset_digest
 from assetlake.operators.sides import side_by_side
-from assetlake.operators.windows import running
+from assetlake.operators.windows import newest, running
 from assetlake.violations import violation
 
 # Provider tags in download identities.
@@ -95,10 +95,12 @@ def lru_survivors(
 ) -> DataFrame:
     """Entries left after evicting the oldest (by access time, then identity) until both limits hold.
 
-    Counted from the newest entry, sizes only grow, so the kept entries are those within both limits.
+    Counted from the newest entry, sizes only grow, so the kept entries are those within both limits. Only what can
+    be within them is put in order.
     """
+    head = newest(index, ["cache_id"], "accessed_at", max_entries, {} if max_bytes is None else {"bytes": max_bytes})
     ranked = running(
-        index,
+        head,
         ["cache_id"],
         [F.col("accessed_at").desc(), F.col("identity").desc()],
         row_number="_n",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetlake.functions import fingerprint, multiset_digest, safe_path, valid_digest
+from assetlake.functions import fingerprint, safe_path, valid_digest
 from assetlake.operators.exports import export_totals, payload_counts
 from assetlake.operators.selection import matches_policy
 from assetlake.operators.sides import side_by_side
@@ -21,6 +21,8 @@ MAX_RESOURCES = 100_000
 SUMMARY_SCHEMA = 4
 BUNDLE_SIGNATURE = "556E697479465300"
 LOSSY_FRAMES = 1152
+#: Leading digits shared by what a node of a hash tree gathers, from its leaves to its root.
+TREE_WIDTHS = (6, 3, 0)
 
 
 def receipt_vs_plan(receipts: DataFrame, assets: DataFrame) -> DataFrame:
@@ -96,14 +98,31 @@ def total_violations(receipts: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
+def tree_digest(rows: DataFrame, group: str, digest: str) -> DataFrame:
+    """Per group the number of rows (``rows``) and the root of a hash tree over their SHA-256 (``root``).
+
+    A leaf holds the rows whose digests share six hexadecimal digits, a branch the leaves that share three, so the
+    tree depends on the rows alone and no task gathers more than a leaf or 4,096 children. Repeated rows are counted
+    first. Other rows cannot be made to give the same root, as they could with a sum of digests.
+    """
+    counted = rows.groupBy(group, digest).agg(F.count(F.lit(1)).alias("rows"))
+    node = counted.select(group, "rows", F.concat_ws(":", digest, "rows").alias("_part"))
+    for width in TREE_WIDTHS:
+        near = F.substring("_part", 1, width).alias("_near")
+        gathered = node.groupBy(group, near).agg(
+            F.sum("rows").alias("rows"), F.array_join(F.sort_array(F.collect_list("_part")), ",").alias("_parts")
+        )
+        node = gathered.select(group, "rows", F.concat_ws(":", "_near", F.sha2("_parts", 256)).alias("_part"))
+    return node.select(group, "rows", F.substring("_part", -64, 64).alias("root"))
+
+
 def graph_digest(locations: DataFrame) -> DataFrame:
     """One digest per run of the whole location graph; equal digests mean equal graphs."""
     row = fingerprint(
         *[F.col(c) for c in ("id", "primary_key", "internal_id", "provider_id", "dependencies")]
     )
-    return locations.select("run", row.alias("_row")).groupBy("run").agg(
-        F.count(F.lit(1)).alias("locations"), multiset_digest(F.col("_row")).alias("graph_sha256")
-    )
+    tree = tree_digest(locations.select("run", row.alias("_row")), "run", "_row")
+    return tree.select("run", F.col("rows").alias("locations"), F.col("root").alias("graph_sha256"))
 
 
 def summary_rules(summaries: DataFrame, max_failed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import valid_digest
 from assetlake.operators.snapshots import ALIASES, REGIONS, RESERVED_REGION
-from assetlake.operators.windows import previous, running
+from assetlake.operators.windows import newest, previous, running
 from assetlake.session import materialize_counted
 from assetlake.violations import all_of, rule_violations, violation
 
@@ -16,6 +16,8 @@ TERMINAL = ["completed", "failed", "cancelled"]
 ACTIVE = ["running", "cancelling"]
 OPERATIONS = ["update", "export", "verify"]
 MAX_EVENTS = 4096
+#: Up to here the engine itself limits ranked rows before their shuffle.
+FEW = 1000
 MAX_TARGETS = 16
 LEGAL = [
     (None, "queued"),
@@ -179,13 +181,19 @@ def admission(jobs: DataFrame, events: DataFrame, targets: DataFrame, max_queued
 
 
 def retain(jobs: DataFrame, keep: int) -> DataFrame:
-    """Active jobs and the ``keep`` most recently updated terminal ones (0 keeps all)."""
+    """Active jobs and the ``keep`` most recently updated terminal ones (0 keeps all).
+
+    While ``keep`` is small, each task sends on its own first ``keep`` of a run at most. Beyond that, the newest are
+    cut off by a summary of times and put in order by ranges.
+    """
     if keep == 0:
         return jobs
     done = F.col("status").isin(TERMINAL)
-    ranked = running(
-        jobs.where(done), ["run"], [F.col("updated_at").desc(), F.col("id").desc()], row_number="_n"
-    )
+    order = [F.col("updated_at").desc(), F.col("id").desc()]
+    if keep <= FEW:
+        ranked = jobs.where(done).withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy(*order)))
+    else:
+        ranked = running(newest(jobs.where(done), ["run"], "updated_at", keep), ["run"], order, row_number="_n")
     return jobs.where(~done).unionByName(ranked.where(F.col("_n") <= keep).drop("_n"))
 
 

@@ -96,11 +96,15 @@ def _(b):
 _GRAPH = """SELECT run, sha256(to_json({{'id': id, 'primary_key': primary_key, 'internal_id': {internal}, 'provider_id': provider_id, 'dependencies': dependencies}})) AS h FROM locations"""
 _WORDS = " || ',' || ".join(f"cast(sum(cast('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
 _DIGEST = f"sha256(cast(count(*) AS VARCHAR) || ',' || {_WORDS})"
+_TREE = """c0 AS (SELECT run, count(*) AS rows_, h || ':' || count(*) AS part FROM rows_ GROUP BY run, h),
+    c1 AS (SELECT run, sum(rows_) AS rows_, substr(part, 1, 6) || ':' || sha256(string_agg(part, ',' ORDER BY part)) AS part FROM c0 GROUP BY run, substr(part, 1, 6)),
+    c2 AS (SELECT run, sum(rows_) AS rows_, substr(part, 1, 3) || ':' || sha256(string_agg(part, ',' ORDER BY part)) AS part FROM c1 GROUP BY run, substr(part, 1, 3))
+    SELECT run, cast(sum(rows_) AS BIGINT) AS locations, sha256(string_agg(part, ',' ORDER BY part)) AS graph_sha256 FROM c2 GROUP BY run"""
 
 
 @query(
     "graph_digest",
-    f"WITH rows_ AS ({_GRAPH.format(internal='internal_id')}) SELECT run, count(*) AS locations, {_DIGEST} AS graph_sha256 FROM rows_ GROUP BY run",
+    f"WITH rows_ AS ({_GRAPH.format(internal='internal_id')}), {_TREE}",
     "locations",
 )
 def _(b):
