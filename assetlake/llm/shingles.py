@@ -1,4 +1,8 @@
-"""Word-shingle sets of whole texts as sorted 64-bit hashes, computed for many texts at once."""
+"""Word-shingle sets of whole texts as sorted 64-bit hashes, computed for many texts at once.
+
+Texts are read in segments; a word may reach over any number of them. Of a very long text only the hashes of its words
+and shingles are held whole, eight bytes each.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,9 @@ _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, np.uint64)
 _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 
+#: Bytes, or shingles, worked on at once.
+SEGMENT = 1 << 21
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -36,26 +43,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie end to end in ``data``, and each text's first word."""
-    visible = ~_SEPARATORS[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[bounds] = True
-    before = np.concatenate([[False], visible[:-1]]) & ~edge[:-1]
-    after = np.concatenate([visible[1:], [False]]) & ~edge[1:]
-    starts = np.flatnonzero(visible & ~before)
-    ends = np.flatnonzero(visible & ~after) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers_of(_R, len(data)), out=sums[1:])
-    inverse = _powers_of(_R_INVERSE, len(data) + 1)
-    return mixed((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, bounds)
+    found, first, count = [], np.zeros(len(bounds), np.int64), 0
+    total = np.zeros(1, np.uint64)
+    # Sum and inverse power at the start of a word that has not ended yet.
+    open_sums = open_inverse = np.zeros(0, np.uint64)
+    for lo in range(0, len(data), SEGMENT):
+        hi = min(lo + SEGMENT, len(data))
+        near = ~_SEPARATORS[data[max(lo - 1, 0) : hi + 1]]
+        visible = near[lo > 0 :][: hi - lo]
+        edge = np.zeros(hi - lo + 1, bool)
+        a, b = np.searchsorted(bounds, lo), np.searchsorted(bounds, hi, "right")
+        edge[bounds[a:b] - lo] = True
+        before = np.concatenate([near[:1] & (lo > 0), visible[:-1]]) & ~edge[:-1]
+        after = np.concatenate([visible[1:], near[-1:] & (hi < len(data))]) & ~edge[1:]
+        starts = np.flatnonzero(visible & ~before)
+        ends = np.flatnonzero(visible & ~after) + 1
+        scale, back = (np.uint64(pow(base, lo, 1 << 64)) for base in (_R, _R_INVERSE))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTES[data[lo:hi]] * _powers_of(_R, hi - lo), out=sums[1:])
+        sums = sums * scale + total
+        open_sums = np.concatenate([open_sums, sums[starts]])
+        open_inverse = np.concatenate([open_inverse, _powers_of(_R_INVERSE, hi - lo)[starts] * back])
+        n = len(ends)
+        found.append(mixed((sums[ends] - open_sums[:n]) * open_inverse[:n]))
+        first[a:b] = count + np.searchsorted(starts, bounds[a:b] - lo)
+        open_sums, open_inverse, count, total = open_sums[n:], open_inverse[n:], count + len(starts), sums[-1:]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), first
 
 
 def _folded(words: np.ndarray, n: int) -> np.ndarray:
     """One hash per window of ``n`` words."""
-    count = len(words) - n + 1
-    h = np.full(count, n, np.uint64)
-    for j in range(n):
-        h = mixed(h * _FOLD + words[j : j + count])
-    return h
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for lo in range(0, len(out), SEGMENT):
+        h = out[lo : lo + SEGMENT]
+        for j in range(n):
+            h[:] = mixed(h * _FOLD + words[lo + j : lo + j + len(h)])
+    return out
 
 
 def sets_of(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:

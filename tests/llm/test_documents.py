@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from assetlake.llm import jaccard_join, quality_rules, suffix_dedup, surrogates, syncmers
+from assetlake.llm import jaccard_join, quality_rules, shingles, suffix_dedup, surrogates, syncmers
 
 from .conftest import DOCS, rows
 
@@ -216,6 +217,27 @@ def test_quality_follows_groups(spark):
     assert all(kept[d[0]] for d in docs[:80])
 
 
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_shingles_over_segments(monkeypatch, segment):
+    """Words, texts and shingles that reach over segments give the same sets as read at once."""
+    rng = random.Random(segment)
+    words = ["a", "Bc", "word", "é", "x" * 40, "\u00a0", "日本"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", ""]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += ["", " ", "x" * 300, " end ", ""]
+    parts = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    bounds = np.cumsum([0, *map(len, parts)])
+    whole = shingles.sets_of(data, bounds, 5)
+    monkeypatch.setattr(shingles, "SEGMENT", segment)
+    for a, b in zip(whole, shingles.sets_of(data, bounds, 5), strict=True):
+        assert a.tolist() == b.tolist()
+    # Sizes against plain words: equal shingles have equal hashes, different ones different.
+    for text, found in zip(texts, whole, strict=True):
+        w = re.findall("[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        want = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        assert len(found) == len(want)
+
+
 def linked(docs, percent=80):
     sets = []
     for d, t in docs:
