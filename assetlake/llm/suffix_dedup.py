@@ -11,8 +11,9 @@ each step positions whose rank is unique are dropped. What makes this affordable
 * Ranks of 32 and 50: the remaining positions are dealt out by their representative, as one row per run of positions
   that share it, with the bytes of their passages. All equal passages meet, and the ranks at the growing offsets lie
   in the row itself, so sorting pairs and reranking need no further shuffle.
-* A representative of very many rows is dealt out salted. What no salt decides by itself, its first occurrences,
-  goes on as rows of 50-byte ranks, whose smallest document is an aggregation with partial sums.
+* A representative of very many rows is dealt out salted, with the more salts the more rows it has. What no salt
+  decides by itself, its first occurrences, goes on as runs of positions: equal runs meet by their digests, and only
+  one of each goes on as 50-byte ranks, whose smallest document is an aggregation with partial sums.
 
 Whole texts that repeat are found by their digest first and take no part.
 """
@@ -32,10 +33,8 @@ from assetlake.llm.shingles import mixed, text_slices
 from assetlake.session import materialize, materialize_counted
 
 PREFIX, DOUBLE = 16, 32
-#: Rows of one representative that a task takes; more are salted.
+#: Rows of one representative that a task takes, about; more are salted.
 SALTED = 4_000
-#: Representatives that are told to every task as salted, at most.
-MOST_SALTED = 50_000
 #: Passages looked at together, and rows ranked together.
 SEGMENT, CHUNK = 1 << 21, 50_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,10 +113,11 @@ def _representatives(length: int, skipped):
 def _passages(length: int, skipped, repeated, salted):
     """Over (row, doc, text): runs whose representative is in the filter, with the bytes of their passages.
 
-    ``salt`` is -1, or by document for the salted representatives."""
+    ``salt`` is -1, or by row and place for the representatives that are in filters of ``salted``: a number below two to the
+    power of the filters that hold it."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, (hot, salts) = repeated.value, salted.value
+        bits, levels = repeated.value, salted.value
         for part in parts:
             part = _without(part, skipped)
             rows = part.column(0).to_numpy(zero_copy_only=False)
@@ -133,10 +133,13 @@ def _passages(length: int, skipped, repeated, salted):
                     at = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
                     row = rows[lo:hi][text]
                     salt = np.full(len(g), -1, np.int64)
-                    if len(hot):
-                        i = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
-                        is_hot = hot[i] == g
-                        salt[is_hot] = (mixed(row[is_hot].view(np.uint64)) % salts[i[is_hot]]).astype(np.int64)
+                    hot = np.arange(len(g))
+                    for level in levels:
+                        hot = hot[in_filter(level, g[hot])]
+                        salt[hot] = np.where(salt[hot] < 0, 1, 2 * salt[hot] + 1)
+                    hot = np.flatnonzero(salt >= 0)
+                    own = mixed(row[hot].view(np.uint64) + first[hot].astype(np.uint64) * _A)
+                    salt[hot] = (own & salt[hot].view(np.uint64)).astype(np.int64)
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                     passages = pa.Array.from_buffers(
                         pa.binary(), len(g), [None, offsets.buffers()[1], pa.py_buffer(data[at].tobytes())]
@@ -190,10 +193,21 @@ def repeats(data, bounds, row_docs, open_rows, length: int):
     return row, within, verdict, undecided, own_key.view(np.int64), other_key.view(np.int64)
 
 
+def run_digests(length: np.ndarray, first: np.ndarray, *keys: np.ndarray) -> Iterator[np.ndarray]:
+    """One number per run and kind of key, from the run's keys in their order and its length."""
+    place = mixed((np.arange(length.sum()) - np.repeat(first, length)).astype(np.uint64) + _A)
+    for key in keys:
+        total = np.add.reduceat(mixed(key.view(np.uint64) + place), first)
+        yield mixed(total ^ length.astype(np.uint64) * _B).view(np.int64)
+
+
+RANKED = "row long, doc long, lo long, hi long, d1 long, d2 long, k1 array<long>, k2 array<long>"
+
+
 def _rank(length: int):
-    """Over rows sorted by (g, salt): (row, lo, hi) byte ranges to remove, and undecided starts with ``k1``, ``k2``
-    and ``doc``."""
-    names = ["row", "lo", "hi", "k1", "k2", "doc"]
+    """Over rows sorted by (g, salt): ``row``, ``doc`` and byte range to remove, and runs of undecided starts with
+    their digest ``d1``, ``d2`` and the 50-byte ranks ``k1``, ``k2`` of each."""
+    names = ["row", "doc", "lo", "hi", "d1", "d2", "k1", "k2"]
 
     def ranked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -203,20 +217,26 @@ def _rank(length: int):
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
         salt, rows, docs, starts = (table.column(c).to_numpy() for c in ("salt", "row", "doc", "start"))
         row, within, verdict, undecided, k1, k2 = repeats(data, offsets - offsets[0], docs, salt >= 0, length)
+
+        def ranges(some):
+            new = np.concatenate([[True], (row[some[1:]] != row[some[:-1]]) | (within[some[1:]] != within[some[:-1]] + 1)])
+            first = np.flatnonzero(new)
+            size = np.diff(np.concatenate([first, [len(some)]]))
+            at = row[some[first]]
+            lo = starts[at] + within[some[first]]
+            return first, size, [pa.array(rows[at]), pa.array(docs[at]), pa.array(lo), pa.array(lo + size - 1 + length)]
+
         gone = np.flatnonzero(verdict)
         if len(gone):
-            new = np.concatenate([[True], (row[gone[1:]] != row[gone[:-1]]) | (within[gone[1:]] != within[gone[:-1]] + 1)])
-            first = gone[new]
-            last = gone[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(gone) - 1]])]
-            lo, hi = starts[row[first]] + within[first], starts[row[last]] + within[last] + length
-            blank = pa.nulls(len(first), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[row[first]]), pa.array(lo), pa.array(hi), blank, blank, blank], names=names)
+            first, _, columns = ranges(gone)
+            blank, blanks = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, blank, blank, blanks, blanks], names=names)
         if len(undecided):
-            lo = starts[row[undecided]] + within[undecided]
-            r = row[undecided]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[r]), pa.array(lo), pa.array(lo + length), pa.array(k1), pa.array(k2), pa.array(docs[r])], names=names
-            )
+            first, size, columns = ranges(undecided)
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            digests = [pa.array(d) for d in run_digests(size, first, k1, k2)]
+            keys = [pa.ListArray.from_arrays(ends, pa.array(k)) for k in (k1, k2)]
+            yield pa.RecordBatch.from_arrays([*columns, *digests, *keys], names=names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -267,8 +287,28 @@ def _cut_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _across_salts(ranked: DataFrame, length: int) -> DataFrame:
+    """``row``, ``doc``, ``lo``, ``hi`` of undecided starts that repeat one of another salt's documents."""
+    runs_ = ranked.where("d1 IS NOT NULL")
+    distinct = materialize(
+        runs_.groupBy("d1", "d2").agg(
+            F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.any_value("k1").alias("k1"), F.any_value("k2").alias("k2")
+        ), "open-runs",
+    )
+    whole = runs_.join(distinct.where("_first < _last").select("d1", "d2", "_first"), ["d1", "d2"]).where("doc > _first")
+    starts = distinct.select("d1", "d2", "_first", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "key"))
+    starts = starts.select("d1", "d2", "_first", "at", "key.k1", "key.k2")
+    shared = starts.groupBy("k1", "k2").agg(F.min("_first").alias("_least"), F.max("_first").alias("_most"))
+    late = starts.join(shared.where("_least < _most").drop("_most"), ["k1", "k2"]).where("_first > _least")
+    # A run has as many starts as a passage has 16-byte strings, at most.
+    late = late.groupBy("d1", "d2", "_first").agg(F.collect_set("at").alias("ats"))
+    parts = runs_.join(late, ["d1", "d2"]).where("doc = _first").select("row", "doc", "lo", F.explode("ats").alias("at"))
+    parts = parts.select("row", "doc", (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at") + length).alias("hi"))
+    return whole.select("row", "doc", "lo", "hi").unionByName(parts)
+
+
 def repeated_spans(rows: DataFrame, length: int = 50) -> DataFrame:
-    """``row``, ``spans`` (array of ``lo``, ``hi`` byte ranges, in any order, that may overlap) of the rows
+    """``row``, ``doc``, ``spans`` (array of ``lo``, ``hi`` byte ranges, in any order, that may overlap) of the rows
     (``row``, ``doc``, ``text``) with bytes to remove."""
     if length < DOUBLE + 2:
         raise ValueError(f"length must be {DOUBLE + 2} at least")
@@ -280,7 +320,7 @@ def repeated_spans(rows: DataFrame, length: int = 50) -> DataFrame:
     )
     firsts = digests.groupBy("digest", "n").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"))
     copies = digests.join(firsts.where("_first < _last"), ["digest", "n"]).where("doc > _first")
-    copies, n_copies = materialize_counted(copies.select("row", "n"), "copies")
+    copies, n_copies = materialize_counted(copies.select("row", "doc", "n"), "copies")
     skipped = send(filter_of(copies, "row", n_copies))
 
     # A filter has false hits: what it holds back without being a copy is put back.
@@ -290,7 +330,7 @@ def repeated_spans(rows: DataFrame, length: int = 50) -> DataFrame:
             yield part.filter(pa.array(keep))
 
     schema = "row long, doc long, text string"
-    back = rows.mapInArrow(held_back, schema).join(copies.select("row"), "row", "left_anti")
+    back = rows.mapInArrow(held_back, schema).join(copies.select("row", "doc"), ["row", "doc"], "left_anti")
     back = materialize(back, "put-back")
 
     found = rows.mapInArrow(_representatives(length, skipped), "g long, doc long").unionByName(
@@ -299,26 +339,23 @@ def repeated_spans(rows: DataFrame, length: int = 50) -> DataFrame:
     found = found.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
     found, n_found = materialize_counted(found.where("lo != hi").select("g", "n"), "repeated")
     repeated = send(filter_of(found, "g", n_found))
-    total = found.agg(F.sum("n")).first()[0] or 0
-    most = max(SALTED, total // MOST_SALTED)
-    hot = found.where(F.col("n") > most).select("g", "n").toArrow()
-    by_rank = np.argsort(hot.column("g").to_numpy())
-    salts = (hot.column("n").to_numpy()[by_rank] // most + 1).astype(np.uint64)
-    salted = send((hot.column("g").to_numpy()[by_rank], salts))
+    # Those of over 4,000 rows, over 8,000 and so on, each a filter; false hits are salted and lose nothing.
+    levels, bound, most = [], SALTED, found.agg(F.max("n")).first()[0] or 0
+    while bound < most:
+        hot = found.where(F.col("n") > bound)
+        levels.append(filter_of(hot, "g", hot.count()))
+        bound *= 2
+    salted = send(levels)
 
     columns = "g long, salt long, row long, doc long, start long, bytes binary"
     passages = rows.mapInArrow(_passages(length, skipped, repeated, salted), columns).unionByName(
         back.mapInArrow(_passages(length, None, repeated, salted), columns)
     )
     dealt = passages.repartition("g", "salt").sortWithinPartitions("g", "salt")
-    ranked = dealt.mapInArrow(_rank(length), "row long, lo long, hi long, k1 long, k2 long, doc long")
-    ranked = materialize(ranked, "ranked")
-    open_ = ranked.where("k1 IS NOT NULL")
-    smallest = open_.groupBy("k1", "k2").agg(F.min("doc").alias("_first"))
-    late = open_.join(smallest, ["k1", "k2"]).where("doc > _first").select("row", "lo", "hi")
-    spans = ranked.where("k1 IS NULL").select("row", "lo", "hi").unionByName(late)
-    spans = spans.unionByName(copies.select("row", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi")))
-    return spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    ranked = materialize(dealt.mapInArrow(_rank(length), RANKED), "ranked")
+    spans = ranked.where("d1 IS NULL").select("row", "doc", "lo", "hi").unionByName(_across_salts(ranked, length))
+    whole = copies.select("row", "doc", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"))
+    return spans.unionByName(whole).groupBy("row", "doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -340,5 +377,5 @@ def removal_report(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     rows = with_rows(docs)
     spans = materialize(repeated_spans(rows.select("row", "doc", "text"), length), "spans")
-    joined = rows.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("shuffle_hash"), ["row", "doc"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
