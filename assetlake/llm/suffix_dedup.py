@@ -12,8 +12,10 @@ each step positions whose rank is unique are dropped. What makes this affordable
   that share it, with the bytes of their passages. All equal passages meet, and the ranks at the growing offsets lie
   in the row itself, so sorting pairs and reranking need no further shuffle.
 * A representative of very many rows is dealt out salted, with the more salts the more rows it has. What no salt
-  decides by itself, its first occurrences, goes on as runs of positions: equal runs meet by their digests, and only
-  one of each goes on as 50-byte ranks, whose smallest document is an aggregation with partial sums.
+  decides by itself, its first occurrences, goes on in rounds of Spark's own: as runs of positions that share the
+  smallest 32-byte rank in their passages. Equal runs meet by their digests, one of each goes on; of these, runs whose
+  32-byte rank no other document has are unique; the rest goes on as 50-byte ranks, whose smallest document is an
+  aggregation with partial sums.
 
 Whole texts that repeat are found by their digest first and take no part.
 """
@@ -157,7 +159,8 @@ def repeats(data, bounds, row_docs, open_rows, length: int):
     """Which passage starts repeat one of a document with a smaller number.
 
     ``data`` holds the rows' bytes end to end. Returns for all starts: index of the row, start within it, verdict,
-    50-byte rank (two numbers), and whether the start must be compared with other tasks' (rows in ``open_rows``).
+    50-byte rank (two numbers), and whether the start must be compared with other tasks' (rows in ``open_rows``), then
+    with the place and value of the smallest 32-byte rank in its passage.
     """
     counts = np.diff(bounds) - length + 1
     row = np.repeat(np.arange(len(counts)), counts)
@@ -190,7 +193,11 @@ def repeats(data, bounds, row_docs, open_rows, length: int):
     undecided = left[~gone & open_rows[row[left]]]
     other_key = mixed(r32[at[undecided]] ^ (r32[at[undecided] + second] * _A))
     own_key = mixed(r32[at[undecided]] * _B + r32[at[undecided] + second])
-    return row, within, verdict, undecided, own_key.view(np.int64), other_key.view(np.int64)
+    place = at[undecided]
+    for lo in range(0, len(place), 200_000):
+        some = place[lo : lo + 200_000]
+        some += np.argmin(r32[some[:, None] + np.arange(second + 1)], axis=1)
+    return row, within, verdict, undecided, place, r32[place].view(np.int64), own_key.view(np.int64), other_key.view(np.int64)
 
 
 def run_digests(length: np.ndarray, first: np.ndarray, *keys: np.ndarray) -> Iterator[np.ndarray]:
@@ -201,13 +208,13 @@ def run_digests(length: np.ndarray, first: np.ndarray, *keys: np.ndarray) -> Ite
         yield mixed(total ^ length.astype(np.uint64) * _B).view(np.int64)
 
 
-RANKED = "row long, doc long, lo long, hi long, d1 long, d2 long, k1 array<long>, k2 array<long>"
+RANKED = "row long, doc long, lo long, hi long, g long, d1 long, d2 long, k1 array<long>, k2 array<long>"
 
 
 def _rank(length: int):
     """Over rows sorted by (g, salt): ``row``, ``doc`` and byte range to remove, and runs of undecided starts with
-    their digest ``d1``, ``d2`` and the 50-byte ranks ``k1``, ``k2`` of each."""
-    names = ["row", "doc", "lo", "hi", "d1", "d2", "k1", "k2"]
+    their smallest 32-byte rank ``g``, digest ``d1``, ``d2`` and the 50-byte ranks ``k1``, ``k2`` of each."""
+    names = ["row", "doc", "lo", "hi", "g", "d1", "d2", "k1", "k2"]
 
     def ranked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -216,11 +223,12 @@ def _rank(length: int):
         offsets = np.frombuffer(offsets, np.int32)[passages.offset : passages.offset + len(passages) + 1].astype(np.int64)
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
         salt, rows, docs, starts = (table.column(c).to_numpy() for c in ("salt", "row", "doc", "start"))
-        row, within, verdict, undecided, k1, k2 = repeats(data, offsets - offsets[0], docs, salt >= 0, length)
+        found = repeats(data, offsets - offsets[0], docs, salt >= 0, length)
+        row, within, verdict, undecided, place, g, k1, k2 = found
 
-        def ranges(some):
-            new = np.concatenate([[True], (row[some[1:]] != row[some[:-1]]) | (within[some[1:]] != within[some[:-1]] + 1)])
-            first = np.flatnonzero(new)
+        def ranges(some, change):
+            ends = change | (row[some[1:]] != row[some[:-1]]) | (within[some[1:]] != within[some[:-1]] + 1)
+            first = np.flatnonzero(np.concatenate([[True], ends]))
             size = np.diff(np.concatenate([first, [len(some)]]))
             at = row[some[first]]
             lo = starts[at] + within[some[first]]
@@ -228,15 +236,15 @@ def _rank(length: int):
 
         gone = np.flatnonzero(verdict)
         if len(gone):
-            first, _, columns = ranges(gone)
+            first, _, columns = ranges(gone, False)
             blank, blanks = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*columns, blank, blank, blanks, blanks], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, blank, blank, blank, blanks, blanks], names=names)
         if len(undecided):
-            first, size, columns = ranges(undecided)
+            first, size, columns = ranges(undecided, place[1:] != place[:-1])
             ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             digests = [pa.array(d) for d in run_digests(size, first, k1, k2)]
             keys = [pa.ListArray.from_arrays(ends, pa.array(k)) for k in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([*columns, *digests, *keys], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(g[first]), *digests, *keys], names=names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -292,11 +300,13 @@ def _across_salts(ranked: DataFrame, length: int) -> DataFrame:
     runs_ = ranked.where("d1 IS NOT NULL")
     distinct = materialize(
         runs_.groupBy("d1", "d2").agg(
-            F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.any_value("k1").alias("k1"), F.any_value("k2").alias("k2")
+            F.min("doc").alias("_first"), F.max("doc").alias("_last"), *[F.any_value(c).alias(c) for c in ("g", "k1", "k2")]
         ), "open-runs",
     )
     whole = runs_.join(distinct.where("_first < _last").select("d1", "d2", "_first"), ["d1", "d2"]).where("doc > _first")
-    starts = distinct.select("d1", "d2", "_first", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "key"))
+    met = distinct.groupBy("g").agg(F.min("_first").alias("_least"), F.max("_first").alias("_most")).where("_least < _most")
+    starts = distinct.join(met.select("g"), "g", "left_semi")
+    starts = starts.select("d1", "d2", "_first", F.posexplode(F.arrays_zip("k1", "k2")).alias("at", "key"))
     starts = starts.select("d1", "d2", "_first", "at", "key.k1", "key.k2")
     shared = starts.groupBy("k1", "k2").agg(F.min("_first").alias("_least"), F.max("_first").alias("_most"))
     late = starts.join(shared.where("_least < _most").drop("_most"), ["k1", "k2"]).where("_first > _least")

@@ -52,6 +52,18 @@ def test_passages_that_touch_and_overlap(spark):
     assert got == removed(docs)
 
 
+def test_passages_of_many_documents_in_different_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SALTED", 5)
+    rnd = random.Random(4)
+    shared = ["".join(rnd.choices("abcdefgh ", k=n)) for n in (50, 66, 140)]
+    docs = []
+    for i in range(120):
+        around = ["".join(rnd.choices("mnopqrs ", k=rnd.randint(0, 40))) for _ in range(3)]
+        docs.append((rnd.randint(0, 90), around[0] + shared[i % 3] + around[1] + shared[2][: rnd.randint(49, 140)] + around[2]))
+    got = Counter(map(tuple, suffix_dedup.removal_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == removed(docs)
+
+
 def test_passages_of_no_documents(none):
     assert suffix_dedup.removal_report(none).count() == 0
 
