@@ -98,6 +98,7 @@ def normalize_access(df: DataFrame) -> DataFrame:
     )
 
 
+# The placeholders of a template, their columns, and which show "-" when there is no value.
 _PLACEHOLDERS = {
     "time": "timestamp", "status": "status", "method": "method", "path": "route", "route": "route",
     "latency": "", "request_id": "request_id", "peer_ip": "peer_ip", "client_ip": "client_ip",
