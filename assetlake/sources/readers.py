@@ -1,7 +1,9 @@
 """Readers for catalogs, receipts, journals, manifests, file trees, ledgers and logs.
 
 Each kind of file has its own root, with one folder per run below it (``root/<run>/<file>`` or
-``root/<column>=<run>/<file>``); the run is taken from the folder.
+``root/<column>=<run>/<file>``); the run is taken from the folder. Where there are very many small documents, a file
+and a folder for each of them cost more than what is in them; readers of documents take a table of documents
+``(run, file, value)`` in place of the root as well.
 """
 
 from __future__ import annotations
@@ -134,16 +136,18 @@ def _parsed(rows: DataFrame, schema: str, required: str) -> DataFrame:
     return rows.withColumn("d", d).withColumn("_good", F.coalesce(good, F.lit(False)))
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+def _whole_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One row per file; a document is one value, so it is limited to 2 GiB."""
+    if isinstance(path, DataFrame):
+        return path.select("run", "file", "value")
     return spark.read.text(f"{path}/*/*", wholetext=True).select(run_of(), F.col("_metadata.file_name").alias("file"), "value")
 
 
-def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str | DataFrame, kind: str) -> DataFrame:
     return _parsed(_whole_files(spark, path), *DOCUMENTS[kind]).where("_good").select("run", "d.*").drop("_bad")
 
 
-def document_violations(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def document_violations(spark: SparkSession, path: str | DataFrame, kind: str) -> DataFrame:
     """Files (for ``manifests`` lines) that the reader of their kind leaves out: cut, of a wrong type, or without a
     required field. A caller that must not go on without them passes this to ``require_none``."""
     if kind == "keys":
@@ -156,7 +160,7 @@ def document_violations(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return violation(rows.where("NOT _good"), f"bad_{kind}", F.col("file"), F.sha2("value", 256))
 
 
-def read_locations(spark: SparkSession, path: str) -> DataFrame:
+def read_locations(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _documents(spark, path, "locations").select("run", F.inline("locations"))
 
 
@@ -164,13 +168,13 @@ def _keys() -> Column:
     return F.from_json("value", "MAP<STRING, ARRAY<LONG>>")
 
 
-def read_keys(spark: SparkSession, path: str) -> DataFrame:
+def read_keys(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One row per (run, key, id); a key without locations keeps one row with a null id."""
     keys = _whole_files(spark, path).select("run", F.explode(_keys()).alias("key", "ids"))
     return keys.select("run", "key", F.explode_outer("ids").alias("id"))
 
 
-def read_receipts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_receipts(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Receipt heads and received files. Older receipts state no layout; they are of the first one."""
     docs = _documents(spark, path, "receipts")
     heads = docs.select(
@@ -204,7 +208,7 @@ def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_journal(spark.read.text(f"{path}/*/*").select(run_of(), "value"))
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+def read_summaries(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return _documents(spark, path, "summaries")
 
 
@@ -234,7 +238,7 @@ def file_inventory(spark: SparkSession, root: str, digests: bool = True) -> Data
     )
 
 
-def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ledger(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Jobs in ledger order and undelivered notices (one row per target) of every ledger."""
     docs = _documents(spark, path, "ledgers")
     rows = docs.select("run", F.posexplode("jobs").alias("position", "j"))
