@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import operator
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -168,7 +170,6 @@ _EFFECTS = [[_effect(state, kind) for state in range(_STATES)] for kind in _KIND
 #: Per kind of step the state after each state, as a table for ``bytes.translate``: maps compose by translation.
 _MAPS = [bytes(x[0] for x in effects).ljust(256, b"\0") for effects in _EFFECTS]
 _SAME = bytes(range(_STATES))
-_STEP = pa.schema([("seq", pa.int64()), ("status", pa.string()), ("failure", pa.string()), ("kind", pa.uint8())])
 _SEGMENT = "run STRING, job_id STRING, first LONG, last LONG, ends BINARY, steps BINARY"
 _PLACED = "run STRING, job_id STRING, first LONG, start INT, late LONG, steps BINARY"
 
@@ -180,43 +181,48 @@ def _composed(kinds) -> bytes:
     return ends
 
 
-def _packed(steps: pd.DataFrame) -> bytes:
-    """Steps in their order, with their kinds."""
-    tied = steps["seq"].diff().eq(0).to_numpy()
-    code = steps["status"].map({x: n for n, x in enumerate(_STATUSES)}).fillna(len(_STATUSES)).to_numpy(np.int64)
-    failure = np.where(steps["failure"].isna(), 0, np.where(steps["failure"] == INTERRUPTED, 2, 1))
-    count = (steps["failed"].fillna(0) > 0).to_numpy() if "failed" in steps else steps["kind"].to_numpy(np.int64) // 6 % 2
-    kind = ((code * 2 + count) * 3 + failure) * 2 + tied
-    table = pa.table([pa.array(x, t.type, from_pandas=True) for x, t in zip(
-        (steps["seq"].to_numpy(), steps["status"].to_numpy(object), steps["failure"].to_numpy(object), kind), _STEP, strict=True
-    )], schema=_STEP)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _STEP) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+_CODES = {x: n for n, x in enumerate(_STATUSES)}
+_SEGMENTS = pa.schema([("run", pa.string()), ("job_id", pa.string()), ("first", pa.int64()), ("last", pa.int64()),
+                       ("ends", pa.binary()), ("steps", pa.binary())])
 
 
-def _unpacked(steps: bytes) -> pa.Table:
-    return pa.ipc.open_stream(steps).read_all()
+def _kind(status: str | None, failed: int | None, failure: str | None) -> int:
+    """A kind of step, as one that has a ``seq`` of its own."""
+    code, count = _CODES.get(status, len(_STATUSES)), int((failed or 0) > 0)
+    return ((code * 2 + count) * 3 + (0 if failure is None else 2 if failure == INTERRUPTED else 1)) * 2
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _segment(steps: list[tuple]) -> tuple[int, int, bytes, bytes]:
+    """Steps ``(seq, status, failure, kind)`` in the order of ``seq``: the first and last, what they make of each state,
+    and themselves, with their ties."""
+    seqs, statuses, failures, kinds = zip(*steps, strict=True)
+    kinds = bytes([kinds[0] & ~1, *(k & ~1 | (a == b) for a, b, k in zip(seqs, seqs[1:], kinds[1:]))])
+    return seqs[0], seqs[-1], _composed(kinds), pickle.dumps((seqs, statuses, failures, kinds))
+
+
+def _steps(packed: bytes) -> Iterator[tuple]:
+    return zip(*pickle.loads(packed), strict=True)
+
+
+_SEQ = operator.itemgetter(0)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per job and batch: its steps in order, and what they make of each state."""
     for batch in batches:
-        out = []
-        ordered = batch.sort_values(["run", "job_id", "seq"], kind="stable")
-        for key, steps in ordered.groupby(["run", "job_id"], sort=False, dropna=False):
-            packed = _packed(steps)
-            ends = _composed(_unpacked(packed).column("kind").to_pylist())
-            out.append((*key, int(steps["seq"].iloc[0]), int(steps["seq"].iloc[-1]), ends, packed))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in _SEGMENT.split(", ")])
+        jobs: dict[tuple, list[tuple]] = {}
+        names: dict[str | None, str | None] = {}  # equal texts as one object are packed once
+        for run, job_id, seq, status, failed, failure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            step = (seq, names.setdefault(status, status), names.setdefault(failure, failure), _kind(status, failed, failure))
+            jobs.setdefault((run, job_id), []).append(step)
+        out = [(*key, *_segment(sorted(steps, key=_SEQ))) for key, steps in jobs.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
 
 def _joined(parts: list[tuple]) -> tuple:
     """One segment of several that reach into each other."""
-    steps = pa.concat_tables([_unpacked(x[3]) for x in parts]).to_pandas().sort_values("seq", kind="stable")
-    packed = _packed(steps)
-    return parts[0][0], max(x[1] for x in parts), _composed(_unpacked(packed).column("kind").to_pylist()), packed
+    return _segment(sorted((step for part in parts for step in _steps(part[3])), key=_SEQ))
 
 
 class JobState(StatefulProcessor):
@@ -243,8 +249,7 @@ class JobState(StatefulProcessor):
                 reach, upto = max(reach, parts[upto][1]), upto + 1
             first, end, ends, steps = parts[at] if upto == at + 1 else _joined(parts[at:upto])
             if first <= last:
-                late = _unpacked(steps)
-                ends = _composed(k for k, seq in zip(late.column("kind").to_pylist(), late.column("seq").to_pylist(), strict=True) if seq > last)
+                ends = _composed(kind for seq, _, _, kind in _steps(steps) if seq > last)
             out.append((*key, int(first), state, last, steps))
             # The next segment begins another seq.
             state, last, at = ends[state] & ~1, max(last, int(end)), upto
@@ -255,23 +260,32 @@ class JobState(StatefulProcessor):
         pass
 
 
-def _outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What each step of a segment led to, from the state in which it starts."""
+JOB_STEPS = (
+    "run STRING, job_id STRING, seq LONG, from_status STRING, to_status STRING, failure STRING, accepted BOOLEAN"
+)
+_OUTCOMES = pa.schema([(x.split()[0], {"LONG": pa.int64(), "BOOLEAN": pa.bool_()}.get(x.split()[1], pa.string())) for x in JOB_STEPS.split(", ")])
+
+
+def _outcomes(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """What each step of a segment led to, from the state in which it starts; some ``most`` rows at a time."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _OUTCOMES, strict=True)], schema=_OUTCOMES)
+
+    out = []
     for batch in batches:
-        for run, job_id, state, late, packed in zip(*(batch[c] for c in ("run", "job_id", "start", "late", "steps")), strict=True):
-            out = []
-            for seq, status, failure, kind in zip(*(c.to_pylist() for c in _unpacked(packed).columns), strict=True):
+        for run, job_id, state, late, packed in zip(*(batch.column(c).to_pylist() for c in ("run", "job_id", "start", "late", "steps")), strict=True):
+            for seq, status, failure, kind in _steps(packed):
                 after, turned, legal = _EFFECTS[kind][state]
                 legal = legal and seq > late
                 failure = failure or "partial_failure" if turned else failure
                 out.append((run, job_id, seq, _STATUSES[state // 4], turned or status, failure, legal))
                 state = after if seq > late else state
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in JOB_STEPS.split(", ")])
-
-
-JOB_STEPS = (
-    "run STRING, job_id STRING, seq LONG, from_status STRING, to_status STRING, failure STRING, accepted BOOLEAN"
-)
+                if len(out) >= most:
+                    yield rows()
+                    out = []
+    if out:
+        yield rows()
 
 
 def stream_jobs(steps: DataFrame, remembered_ms: int | None = None) -> DataFrame:
@@ -290,11 +304,11 @@ def stream_jobs(steps: DataFrame, remembered_ms: int | None = None) -> DataFrame
     """
     seq = F.coalesce(F.col("seq").cast("long"), F.lit(-1).cast("long"))
     fields = steps.select("run", "job_id", seq.alias("seq"), "status", F.col("failed").cast("long").alias("failed"), "failure")
-    placed = fields.mapInPandas(_segments, _SEGMENT).groupBy("run", "job_id").transformWithStateInPandas(
+    placed = fields.mapInArrow(_segments, _SEGMENT).groupBy("run", "job_id").transformWithStateInPandas(
         JobState(remembered_ms), outputStructType=_PLACED, outputMode="Append",
         timeMode="None" if remembered_ms is None else "ProcessingTime",
     )
-    return placed.repartition("run", "job_id", "first").mapInPandas(_outcomes, JOB_STEPS)
+    return placed.repartition("run", "job_id", "first").mapInArrow(_outcomes, JOB_STEPS)
 
 
 #: Sends one notice (a dict) to its target; gives an error code, or nothing when it was received.

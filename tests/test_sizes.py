@@ -49,3 +49,16 @@ def test_ledgers_take_no_file_each(spark):
         docs = source_queries._ledger_files(Bound(spark, events(spark, users)))
         assert len(docs.inputFiles()) <= int(before) * 3
         assert docs.count() == (12 if users == 40 else 3 * docs.where("run NOT LIKE '%\\_cut' AND run NOT LIKE '%\\_gap'").count())
+
+
+def test_a_segment_of_one_step_is_small_and_steps_are_judged(spark):
+    names = ["run", "job_id", "seq", "status", "failed", "failure"]
+    rows = [["r", f"j{n}", n, "queued", None, None] for n in range(5000)] + [["r", "j0", 9000, "running", 2, None], ["r", "j0", 9001, "completed", 0, None]]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=names)
+    (out,) = streams._segments([batch])
+    assert out.num_rows == 5000 and max(len(x) for x in out.column("steps").to_pylist()[1:]) < 100
+    first = out.slice(0, 1).to_pylist()[0]
+    placed = pa.RecordBatch.from_pylist([{k: first[k] for k in ("run", "job_id", "first", "steps")} | {"start": 0, "late": -1}])
+    got = [tuple(r.values())[2:] for b in streams._outcomes([placed], most=1) for r in b.to_pylist()]
+    assert got == [(0, "", "queued", None, True), (9000, "queued", "running", None, True), (9001, "running", "failed", "partial_failure", True)]
