@@ -18,6 +18,7 @@ from assetlake.operators.exports import export_totals, payload_counts
 from assetlake.operators.ledger import ACTIVE, INTERRUPTED, LEGAL, request_ok
 from assetlake.operators.logs import client_ip, normalize_access, rotation_period
 from assetlake.operators.snapshots import MAX_AGE_MS
+from assetlake.session import materialize
 from assetlake.sources.readers import parse_journal, run_of
 
 STATE_STORE = {
@@ -43,12 +44,19 @@ def stream_payloads(journal_lines: DataFrame) -> DataFrame:
     return payload_counts(journal)
 
 
+_JUDGED = "run STRING, position LONG, result STRING, job_id STRING, first_position LONG"
+#: Keys are dealt to so many groups. A group is one call in a micro-batch, however many keys it has.
+_GROUPS = 1024
+
+
 class Submissions(StatefulProcessor):
-    """Judges the requests with one idempotency key: the first one owns it, later ones repeat it or conflict with it.
+    """Judges the requests of a group of idempotency keys: the first one owns its key, later ones repeat it or conflict
+    with it.
 
-    The owner is kept until the watermark has passed its time by ``keep_ms``; a job that was known at the start is kept
-    for good. Of the requests that come in one micro-batch before there is an owner, the one with the least position
-    becomes it; of these a position and a number are held (16 bytes each), whatever the key.
+    The owner is kept until the watermark has passed its time by ``keep_ms``. A job that was known at the start comes
+    with the requests (``known``, ``known_request``, ``known_id``) and owns its key for good. Of the requests that come in
+    one micro-batch before there is an owner, the one with the least position becomes it; of these two numbers, a
+    position and a time are held (24 bytes each), whatever the key.
     """
 
     def __init__(self, keep_ms: int):
@@ -56,54 +64,78 @@ class Submissions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.owner = handle.getValueState("owner", "request STRING, position LONG, job_id STRING, until LONG")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.sort_values("position").iloc[0]
-        self.owner.update((first["request"], None, first["id"], None))
+        self.owners = handle.getMapState("owners", "run STRING, digest STRING", "request STRING, position LONG, until LONG")
+        self.cleaning = handle.getValueState("cleaning", "due LONG")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        numbers: dict[str, int] = {}
-        owned = self._known(timerValues)
-        waiting, first = [], None
+        now = timerValues.getCurrentWatermarkInMs()
+        keys: dict[tuple, int] = {}
+        requests: dict[str, int] = {}
+        parts = []
         for part in rows:
-            codes = np.array([numbers.setdefault(x, len(numbers)) for x in part["request"]], np.int32)
-            positions = part["position"].to_numpy(np.int64)
-            if owned is not None:
-                yield self._judged(key, positions, codes, numbers, owned)
-                continue
-            waiting.append((positions, codes))
-            n = int(np.argmin(positions))
-            if first is None or positions[n] < first[1]:
-                first = (part["request"].iloc[n], int(positions[n]), int(part["at"].iloc[n]))
-        if first is not None:
-            owned = (first[0], first[1], None, first[2] + self.keep_ms)
-            self.owner.update(owned)
-            self.handle.registerTimer(owned[3])
-            for positions, codes in waiting:
-                yield self._judged(key, positions, codes, numbers, owned, True)
-
-    def _known(self, timerValues) -> tuple | None:
-        """The owner, unless the watermark has passed it; its timer may only come at the end of the micro-batch."""
-        owned = self.owner.get() if self.owner.exists() else None
-        passed = owned is not None and owned[3] is not None and owned[3] <= timerValues.getCurrentWatermarkInMs()
-        return None if passed else owned
+            known = part["known"].to_numpy(bool)
+            if known.any():
+                old = part[known]
+                result = np.where(old["request"] == old["known_request"], "reuse", "conflict")
+                yield self._rows(old["run"].to_numpy(object), old["position"].to_numpy(np.int64), result, old["known_id"].to_numpy(object))
+                part = part[~known]
+            if len(part):
+                parts.append((
+                    np.array([keys.setdefault(x, len(keys)) for x in zip(part["run"], part["digest"], strict=True)], np.int32),
+                    np.array([requests.setdefault(x, len(requests)) for x in part["request"]], np.int32),
+                    part["position"].to_numpy(np.int64), part["at"].fillna(now).to_numpy(np.int64),
+                ))
+        if not parts:
+            return
+        owner, place, opened = self._owners(keys, requests, *(np.concatenate(x) for x in zip(*parts, strict=True)), now)
+        runs = np.array([x[0] for x in keys], object)
+        for k, r, positions, _ in parts:
+            new = opened[k] & (positions == place[k])
+            result = np.where(new, "new", np.where(owner[k] == r, "reuse", "conflict"))
+            yield self._rows(runs[k], positions, result, None, pd.arrays.IntegerArray(place[k], new))
+
+    def _owners(self, keys, requests, k, r, positions, at, now) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per key the number of its owner's request, the owner's position, and whether it has become it now."""
+        order = np.lexsort((positions, k))
+        leads = order[np.flatnonzero(np.diff(k[order], prepend=-1))]
+        names = list(requests)
+        owner, place, opened = r[leads], positions[leads], np.ones(len(leads), bool)
+        until = at[leads] + self.keep_ms
+        for key, n in keys.items():
+            owned = self.owners.getValue(key)
+            if owned is None or owned[2] <= now:
+                self.owners.updateValue(key, (names[owner[n]], int(place[n]), int(until[n])))
+            else:
+                owner[n], place[n], opened[n] = requests.get(owned[0], -1), owned[1], False
+        if opened.any() and not self.cleaning.exists():
+            self._clean_at(int(until[opened].max()))
+        return owner, place, opened
 
     @staticmethod
-    def _judged(key, positions, codes, numbers, owned, opening=False) -> pd.DataFrame:
-        request, position, job_id, _ = owned
-        result = np.where(codes == numbers.get(request, -1), "reuse", "conflict").astype(object)
-        at_first = np.full(len(positions), position, object)
-        if opening:
-            new = positions == position
-            result[new], at_first[new] = "new", None
-        return pd.DataFrame(
-            {"run": key[0], "position": positions, "result": result, "job_id": job_id, "first_position": pd.array(at_first, "Int64")}
-        )
+    def _rows(runs, positions, result, job_ids, at_first=None) -> pd.DataFrame:
+        at_first = pd.array([None] * len(positions), "Int64") if at_first is None else at_first
+        return pd.DataFrame({"run": runs, "position": positions, "result": result, "job_id": job_ids, "first_position": at_first})
+
+    def _clean_at(self, due: int) -> None:
+        self.cleaning.update((due,))
+        self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._known(timerValues) is None:
-            self.owner.clear()
+        """Forgets the owners that the watermark has passed. The next time is that of the last one left, so a group is
+        gone through about once in ``keep_ms``."""
+        now, last = timerValues.getCurrentWatermarkInMs(), None
+        passed = []
+        for owned_key, (_, _, until) in self.owners.iterator():
+            if until <= now:
+                passed.append(owned_key)
+            else:
+                last = until if last is None else max(last, until)
+        for owned_key in passed:
+            self.owners.removeKey(tuple(owned_key))
+        if last is None:
+            self.cleaning.clear()
+        else:
+            self._clean_at(last)
         return iter(())
 
     def close(self) -> None:
@@ -114,7 +146,8 @@ def stream_submissions(requests: DataFrame, jobs: DataFrame | None = None, keep:
     """What each request leads to: ``run``, ``position``, ``result`` (``new``, ``reuse``, ``conflict`` or ``invalid``)
     and the job or the position of the request that owns its key; like ``ledger.submissions``, as requests come in.
 
-    ``jobs``, a table, are those known before; requests without a key are always new. A key is remembered for ``keep``
+    ``jobs``, a table, are those known before: it is read and stored at the start, one row per key, and each micro-batch
+    is joined with that; requests without a key are always new. A key is remembered for ``keep``
     after its first request, by the requests' own ``submitted_at``, and requests that come later than ``keep`` after
     the newest are left out by the watermark.
     """
@@ -125,17 +158,24 @@ def stream_submissions(requests: DataFrame, jobs: DataFrame | None = None, keep:
         "run", F.sha2("key", 256).alias("digest"), "position", request.alias("request"), "submitted_at",
         F.unix_millis("submitted_at").alias("at"),
     )
-    known = None
-    if jobs is not None:
-        known = jobs.where(F.col("idempotency_sha256").isNotNull()).select(
-            "run", F.col("idempotency_sha256").alias("digest"), "position", request.alias("request"), "id"
-        ).groupBy("run", "digest")
+    none = {"known": F.lit(False), "known_request": F.lit(None).cast("string"), "known_id": F.lit(None).cast("string")}
+    if jobs is None:
+        keyed = keyed.withColumns(none)
+    else:
+        # Without a position a job comes last.
+        least = F.min_by(F.struct(request.alias("known_request"), F.col("id").alias("known_id")), F.coalesce("position", F.lit(2**63 - 1)))
+        known = jobs.where(F.col("idempotency_sha256").isNotNull()).groupBy(
+            F.col("run").alias("known_run"), F.col("idempotency_sha256").alias("known_digest")
+        ).agg(least.alias("k")).select("known_run", "known_digest", "k.*", F.lit(True).alias("known"))
+        known = materialize(known, "known")
+        same = F.col("run").eqNullSafe(F.col("known_run")) & (F.col("digest") == F.col("known_digest"))
+        keyed = keyed.join(known, same, "left").drop("known_run", "known_digest").withColumn("known", F.coalesce("known", F.lit(False)))
     span = F.expr(f"cast(interval '{keep}' as interval day to second)")
     keep_ms = requests.sparkSession.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + span))).first()[0]
-    judged = keyed.groupBy("run", "digest").transformWithStateInPandas(
-        Submissions(keep_ms), outputStructType="run STRING, position LONG, result STRING, job_id STRING, first_position LONG",
-        outputMode="Append", timeMode="EventTime", initialState=known,
-    )
+    grouped = keyed.withColumn("group", F.pmod(F.xxhash64("run", "digest"), F.lit(_GROUPS))).groupBy("group")
+    judged = grouped.transformWithStateInPandas(
+        Submissions(keep_ms), outputStructType=_JUDGED, outputMode="Append", timeMode="EventTime"
+    )
     others = rows.where(~good | F.col("key").isNull()).select(
         "run", F.col("position").cast("long").alias("position"), F.when(good, "new").otherwise("invalid").alias("result"),
         F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("long").alias("first_position"),

@@ -62,3 +62,59 @@ def test_a_segment_of_one_step_is_small_and_steps_are_judged(spark):
     placed = pa.RecordBatch.from_pylist([{k: first[k] for k in ("run", "job_id", "first", "steps")} | {"start": 0, "late": -1}])
     got = [tuple(r.values())[2:] for b in streams._outcomes([placed], most=1) for r in b.to_pylist()]
     assert got == [(0, "", "queued", None, True), (9000, "queued", "running", None, True), (9001, "running", "failed", "partial_failure", True)]
+
+
+class Kept:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def exists(self):
+        return bool(self.rows)
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def clear(self):
+        self.rows.clear()
+
+
+def test_a_group_of_keys_is_one_call_and_forgets_passed_owners():
+    owners, timers = Kept(), []
+    op = streams.Submissions(100)
+    op.init(SimpleNamespace(getMapState=lambda *a: owners, getValueState=lambda *a: Kept(), registerTimer=timers.append))
+
+    def clock(now):
+        return SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+
+    def sent(rows, now):
+        part = pd.DataFrame(rows, columns=["run", "digest", "position", "request", "at"]).assign(known=False, known_request=None, known_id=None)
+        out = pd.concat(op.handleInputRows((0,), iter([part.iloc[: len(part) // 2], part.iloc[len(part) // 2 :]]), clock(now)))
+        return {r.position: (r.result, None if pd.isna(r.first_position) else r.first_position) for r in out.itertuples()}
+
+    rows = [("r", f"k{n % 500}", n, "ab"[n // 500 % 2], 1000 + n % 500) for n in range(1500)][::-1]
+    got = sent(rows, 0)
+    assert owners.calls == 500 and len(owners.rows) == 500
+    assert all(got[n] == ("new", None) and got[n + 500] == ("conflict", n) and got[n + 1000] == ("reuse", n) for n in range(500))
+    # The watermark has passed the first ones: their keys are free again, the others are not.
+    assert sent([("r", "k0", 2000, "a", 1400), ("r", "k499", 2001, "a", 1400), (None, "k0", 2002, "a", None)], 1300) == {
+        2000: ("new", None), 2001: ("reuse", 499), 2002: ("new", None)}
+    assert timers == [1599]
+    list(op.handleExpiredTimer((0,), clock(1450), None))
+    assert min(x[2] for x in owners.rows.values()) > 1400 and len(owners.rows) < 500
+    list(op.handleExpiredTimer((0,), clock(1600), None))
+    assert not owners.rows
