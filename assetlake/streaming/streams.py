@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import operator
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +48,13 @@ def stream_payloads(journal_lines: DataFrame) -> DataFrame:
 _JUDGED = "run STRING, position LONG, result STRING, job_id STRING, first_position LONG"
 #: Keys are dealt to so many groups. A group is one call in a micro-batch, however many keys it has.
 _GROUPS = 1024
+#: A group's owners lie in so many packed values: reading or writing one is a call to the state store.
+_SLOTS = 32
+
+
+def _still(packed: tuple, now: int) -> dict[tuple, tuple]:
+    """The owners ``(request, position, until)`` of a slot by their keys, without those that the watermark has passed."""
+    return {key: owned for key, owned in pickle.loads(packed[0]).items() if owned[2] > now}
 
 
 class Submissions(StatefulProcessor):
@@ -56,7 +64,8 @@ class Submissions(StatefulProcessor):
     The owner is kept until the watermark has passed its time by ``keep_ms``. A job that was known at the start comes
     with the requests (``known``, ``known_request``, ``known_id``) and owns its key for good. Of the requests that come in
     one micro-batch before there is an owner, the one with the least position becomes it; of these two numbers, a
-    position and a time are held (24 bytes each), whatever the key.
+    position and a time are held (24 bytes each), whatever the key. A micro-batch reads and writes the slots of the keys
+    at hand, with all the owners in them.
     """
 
     def __init__(self, keep_ms: int):
@@ -64,7 +73,7 @@ class Submissions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.owners = handle.getMapState("owners", "run STRING, digest STRING", "request STRING, position LONG, until LONG")
+        self.owners = handle.getMapState("owners", "slot INT", "packed BINARY")
         self.cleaning = handle.getValueState("cleaning", "due LONG")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -101,14 +110,24 @@ class Submissions(StatefulProcessor):
         names = list(requests)
         owner, place, opened = r[leads], positions[leads], np.ones(len(leads), bool)
         until = at[leads] + self.keep_ms
+        slots: dict[int, list[tuple]] = {}
         for key, n in keys.items():
-            owned = self.owners.getValue(key)
-            if owned is None or owned[2] <= now:
-                self.owners.updateValue(key, (names[owner[n]], int(place[n]), int(until[n])))
-            else:
-                owner[n], place[n], opened[n] = requests.get(owned[0], -1), owned[1], False
-        if opened.any() and not self.cleaning.exists():
-            self._clean_at(int(until[opened].max()))
+            slots.setdefault(zlib.crc32(key[1].encode()) % _SLOTS, []).append((key, n))
+        fresh = not self.cleaning.exists()  # then there is no owner either
+        for slot, members in slots.items():
+            packed = None if fresh else self.owners.getValue((slot,))
+            kept = {} if packed is None else _still(packed, now)
+            before = len(kept)
+            for key, n in members:
+                if key in kept:
+                    owned = kept[key]
+                    owner[n], place[n], opened[n] = requests.get(owned[0], -1), owned[1], False
+                else:
+                    kept[key] = (names[owner[n]], int(place[n]), int(until[n]))
+            if len(kept) > before:
+                self.owners.updateValue((slot,), (pickle.dumps(kept),))
+        if fresh:
+            self._clean_at(int(until.max()))
         return owner, place, opened
 
     @staticmethod
@@ -124,14 +143,12 @@ class Submissions(StatefulProcessor):
         """Forgets the owners that the watermark has passed. The next time is that of the last one left, so a group is
         gone through about once in ``keep_ms``."""
         now, last = timerValues.getCurrentWatermarkInMs(), None
-        passed = []
-        for owned_key, (_, _, until) in self.owners.iterator():
-            if until <= now:
-                passed.append(owned_key)
+        for slot, packed in list(self.owners.iterator()):
+            if kept := _still(packed, now):
+                self.owners.updateValue(tuple(slot), (pickle.dumps(kept),))
+                last = max(x[2] for x in kept.values()) if last is None else max(last, *(x[2] for x in kept.values()))
             else:
-                last = until if last is None else max(last, until)
-        for owned_key in passed:
-            self.owners.removeKey(tuple(owned_key))
+                self.owners.removeKey(tuple(slot))
         if last is None:
             self.cleaning.clear()
         else:
