@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetlake.llm.vocabulary import batches, encoder
+from assetlake.llm.vocabulary import encoder, text_batches
 from assetlake.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,23 +27,25 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
     """For ``mapInArrow`` over (doc_id, text): pieces of the encoded text and its end id."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
+        encoded, end = encoder(vocabulary).encoded, np.array([end_id], "<u4").tobytes()
         for part in parts:
-            docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for lo, hi in batches(texts):
-                out, ids = [], []
-                for doc, raw in zip(docs[lo:hi], ids_of(texts[lo:hi]), strict=True):
-                    raw += end
-                    pieces = [raw[at : at + width] for at in range(0, len(raw), width)]
-                    out += [(doc, k, k * capacity, len(x) // 4, zlib.crc32(x)) for k, x in enumerate(pieces)]
-                    if with_ids:
-                        ids += [np.frombuffer(x, "<u4").astype(np.int32) for x in pieces]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            for lo, hi, texts in text_batches(part.column(1)):
+                ids, bounds = encoded(texts, end)
+                # Every text has an id at least, so a piece.
+                counts = -(-np.diff(bounds) // capacity)
+                of = np.repeat(np.arange(hi - lo), counts)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                first = bounds[of] + capacity * piece
+                last = np.minimum(first + capacity, bounds[of + 1])
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                columns = [
+                    part.column(0).slice(lo, hi - lo).take(pa.array(of)), pa.array(piece, pa.int32()),
+                    pa.array(capacity * piece), pa.array(last - first), pa.array(crc, pa.int64()),
+                ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    starts = np.append(first, bounds[-1]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(ids.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -37,7 +37,7 @@ def _first_pass(vocabulary: str, chunk: int, overlap: int):
     step = chunk - overlap
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary).ids
+        encoded = encoder(vocabulary).encoded
         names = ["row", "doc_id", "n_bytes", "n_tokens", "piece", "pieces", "at", "text"]
         kinds = [pa.int64()] * 7 + [pa.string()]
 
@@ -52,7 +52,7 @@ def _first_pass(vocabulary: str, chunk: int, overlap: int):
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             chosen = [texts[i] for i in short]
             for lo, hi in batches(chosen):
-                counts = [len(x) // 4 for x in ids_of(chosen[lo:hi])]
+                counts = np.diff(encoded(chosen[lo:hi])[1]).tolist()
                 yield made(
                     [(row[i], doc[i], size[i], n, None, None, None, None) for i, n in zip(short[lo:hi], counts)]
                 )

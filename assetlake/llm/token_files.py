@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assetlake.llm.vocabulary import batches, encoder
+from assetlake.llm.vocabulary import encoder, text_batches
 
 WRITER = {
     "compression": "zstd",
@@ -34,25 +34,14 @@ def encode(vocabulary: str, end_id: int):
     """For ``mapInArrow`` over (doc_id, text): adds ids, their number and the running start in the partition."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, start, end = encoder(vocabulary).ids, 0, np.array([end_id], "<u4").tobytes()
+        encoded, start, end = encoder(vocabulary).encoded, 0, np.array([end_id], "<u4").tobytes()
         for part in parts:
-            texts, doc_ids = part.column(1).to_pylist(), part.column(0)
-            for lo, hi in batches(texts):
-                found = ids_of(texts[lo:hi])
-                counts = np.array([len(x) // 4 + 1 for x in found], np.int64)
-                ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(end.join([*found, b""]), "<i4"))
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.slice(lo, hi - lo),
-                        pa.array(start + ends - counts),
-                        pa.array(counts),
-                        pa.ListArray.from_arrays(offsets, values),
-                    ],
-                    names=["doc_id", "shard_start", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
+            for lo, hi, texts in text_batches(part.column(1)):
+                ids, bounds = encoded(texts, end)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+                columns = [part.column(0).slice(lo, hi - lo), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard_start", "n_tokens", "ids"])
+                start += int(bounds[-1])
 
     return run
 

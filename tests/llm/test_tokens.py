@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assetlake.llm import best_fit, token_counts, token_files, vocabulary
@@ -34,6 +35,31 @@ def test_encoder_gives_the_librarys_ids(file, request):
     assert got == library(path, texts)
 
 
+@pytest.mark.parametrize("file", ["words_file", "bytes_file"])
+def test_encoder_keeps_words_once_and_gives_letters_to_the_model(file, request, monkeypatch):
+    encoder = vocabulary.Encoder(request.getfixturevalue(file))
+    given = []
+    raw = encoder._raw
+    monkeypatch.setattr(encoder, "_raw", lambda texts: given.extend(texts) or raw(texts))
+    words = ["wagon", "été", "straße", "zzqxv"]
+    texts = ["start " + " ".join(w + end for w in words for end in ("", ",", "***", "$$$", ").")) for _ in range(5)]
+    texts += [" start\t" + texts[0] + "  wagon\n\nété ", "", "start", "start wagon\nzzqxv"]
+    ids, bounds = encoder.encoded(texts, np.array([7], "<u4").tobytes())
+    want = library(request.getfixturevalue(file), texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*x, 7] for x in want]
+    # A word with punctuation behind it is the same entry as the word alone.
+    assert set(words) <= set(encoder.new) and not any(x.endswith(("***", "$$$", ",")) for x in encoder.new)
+    assert not any(x.strip(" ") in words for x in given)
+
+
+def test_text_batches_are_bounded_before_texts_are_read():
+    texts = ["a" * 30, None, "é" * 40, "b", "c" * 500, "d"] + ["e"] * 9
+    found = list(vocabulary.text_batches(pa.array(texts), 100, 4))
+    assert [t for _, _, part in found for t in part] == texts
+    assert [(lo, hi) for lo, hi, _ in found] == [(0, 2), (2, 4), (4, 5), (5, 9), (9, 13), (13, 15)]
+    assert list(vocabulary.text_batches(pa.array([], pa.string()))) == []
+
+
 def test_token_files_round_trip(spark, odd, none, bytes_file):
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(odd, path, bytes_file)
