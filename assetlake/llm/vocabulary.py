@@ -31,8 +31,8 @@ assert sys.byteorder == "little" and array("I").itemsize == 4  # the byte form o
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept per generation; a worker holds two generations at most (about 100 MB).
-KEPT = 300_000
+#: Pieces kept per generation; a worker holds two generations at most (about 70 MB).
+KEPT = 200_000
 #: Occurrences of pieces whose ids are laid out at once.
 LAID_OUT = 1 << 18
 
@@ -303,7 +303,7 @@ def batches(texts: list[str], most_chars: int = 4_000_000, most_rows: int = 2_00
 
 
 def text_batches(
-    column: pa.Array, most_bytes: int = 4_000_000, most_rows: int = 2_000
+    column: pa.Array, most_bytes: int = 2_000_000, most_rows: int = 2_000
 ) -> Iterator[tuple[int, int, list[str]]]:
     """Index ranges of a column of texts and the texts, of a bounded size; a longer single text is a range of its own.
     Only one range's texts are Python's at a time."""
