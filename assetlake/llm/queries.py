@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.session import configure, materialize, scratch_path
+from assetlake.session import configure, materialize, scratch_path, small_batches
 
 CAPACITY = 2_048
 
@@ -47,7 +47,9 @@ def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assetlake.llm.best_fit import cut_pieces, pack
 
     pieces = cut_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0, CAPACITY)
-    return pack(materialize(pieces, "pieces"), CAPACITY)
+    with small_batches(spark):
+        pieces = materialize(pieces, "pieces")
+    return pack(pieces, CAPACITY)
 
 
 RULES = [

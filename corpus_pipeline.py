@@ -14,7 +14,7 @@ from assetlake.llm.mixing import ends, take
 from assetlake.llm.quality_rules import keep_good
 from assetlake.llm.queries import CAPACITY, EPOCHS, KEY, SEED, WEIGHTS, vocabulary, with_domain
 from assetlake.llm.surrogates import pseudonymize
-from assetlake.session import configure, materialize
+from assetlake.session import configure, materialize, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenized texts with their places in sequences."""
     pieces = cut_pieces(docs, vocabulary("word_bpe_49k.json"), 0, CAPACITY)
-    return pack(materialize(pieces, "pieces"), CAPACITY)
+    with small_batches(spark):
+        pieces = materialize(pieces, "pieces")
+    return pack(pieces, CAPACITY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -60,6 +60,24 @@ def test_text_batches_are_bounded_before_texts_are_read():
     assert list(vocabulary.text_batches(pa.array([], pa.string()))) == []
 
 
+def test_packing_hands_texts_over_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] * 5, names=["a", "b", "c", "d", "length"])
+
+    schema = "a long, b long, c long, d long, length long"
+    monkeypatch.setattr(corpus_pipeline, "cut_pieces", lambda docs, *_: docs.mapInArrow(sizes, schema))
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda pieces, _: pieces)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('x', 200000) AS text")
+    rows = [r.length for r in corpus_pipeline.packing(spark, docs, "").collect()]
+    assert sum(rows) == 200 and max(rows) <= 60
+    assert spark.conf.get(key) == before
+
+
 def test_token_files_round_trip(spark, odd, none, bytes_file):
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(odd, path, bytes_file)
